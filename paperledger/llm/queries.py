@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, shingle_join, url_filter, vector_topk
+from . import exact_dedup, mixing, secret_scan, shingle_join, url_filter, vector_topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +30,17 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(_read(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(_read(spark, sf_dir, "documents")))
+
+
 def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return vector_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op9_vector_topk)}
+    return {f.__name__: f for f in (op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
