@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secret_scan, shingle_join, url_filter, vector_topk
+from . import exact_dedup, mixing, packing, secret_scan, shingle_join, url_filter, vector_topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,18 @@ def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk)}
+    return {f.__name__: f for f in (op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
