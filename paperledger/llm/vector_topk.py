@@ -5,8 +5,8 @@ p, and q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2; the largest of these lower bounds
 the score. Rows are evaluated in the order of that bound, and a query stops when the next bound is below its k-th
 score. Rows with a bound equal to the k-th score are still evaluated, so that ties fall to the smaller id.
 
-Queries come in blocks of a fixed size, each broadcast with its pivot table; all rows pass each block in batches, and
-what a batch keeps is k rows a query. A row meets its k best rivals again in one aggregation by query.
+Queries come in blocks of a fixed size, each broadcast; all rows pass each block in batches, and what a partition keeps
+is k rows a query, which one window by query then ranks.
 
 Pivots are directions of a fixed sequence scaled to the rows' usual length: no pass over the data is needed, and any
 pivots give exact results.
@@ -31,6 +31,7 @@ BLOCK = 1024
 PIVOTS = 24
 CHUNK = 4096
 STEP = 64
+SIDE = 32
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -63,26 +64,31 @@ def _dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64) @ q.astype(np.int64)
 
 
-def best_of(q_id: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The k best (score, id) of the rows by bound order, and how many rows were evaluated."""
-    top: list[tuple[int, int]] = []
-    seen = 0
-    step, left = STEP, np.arange(len(ids))
+def best_of(q_id: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, top: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """``top``, the k best scores and ids so far, with the rows evaluated in the order of their bounds until the next
+    bound is below the k-th score; and how many rows were evaluated."""
+    scores, names = top
+    left = np.flatnonzero(bound >= scores[-1]) if len(scores) == k else np.arange(len(ids))
+    seen, step = 0, STEP
     while len(left):
-        n = min(step, len(left))
-        first = np.argpartition(-bound[left], n - 1)[:n] if n < len(left) else np.arange(len(left))
-        rows = left[first]
-        seen += n
-        scores = _dots(q, x[rows])
-        pool = top + [(int(s), int(i)) for s, i in zip(scores, ids[rows], strict=True) if i != q_id]
-        top = sorted(pool, key=lambda t: (-t[0], t[1]))[:k]
-        rest = np.ones(len(left), bool)
-        rest[first] = False
-        left = left[rest]
-        if len(top) == k:
-            left = left[bound[left] >= top[-1][0]]
-        step *= 4
-    return top, seen
+        if step < len(left):
+            by = np.argpartition(-bound[left], step)
+            rows, left = left[by[:step]], left[by[step:]]
+        else:
+            rows, left = left, left[:0]
+        seen += len(rows)
+        own = _dots(q, x[rows])
+        good = ids[rows] != q_id
+        if len(scores) == k:
+            good &= own >= scores[-1]
+        if good.any():
+            scores, names = np.r_[scores, own[good]], np.r_[names, ids[rows][good]]
+            first = np.lexsort((names, -scores))[:k]
+            scores, names = scores[first], names[first]
+        if len(scores) == k:
+            left = left[bound[left] >= scores[-1]]
+        step *= 16
+    return (scores, names), seen
 
 
 def _search(shared, k: int, count: int):
@@ -91,24 +97,32 @@ def _search(shared, k: int, count: int):
         for d, (q_ids, q) in shared.value.items():
             p = pivots(d, count, float(np.sqrt(np.median((q * q).sum(1)))) or 1.0)
             tables[d] = (q_ids, q, p, _to_pivots(q, p), (q * q).sum(1))
+        none = np.empty(0, np.int64)
+        tops = {d: [(none, none)] * len(t[0]) for d, t in tables.items()}
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
             for d, all_ids, all_x in _vectors(batch):
                 if d not in tables:
                     continue
                 q_ids, qs, p, q_to, q_square = tables[d]
+                best = tops[d]
                 for s in range(0, len(all_ids), CHUNK):
                     ids, x = all_ids[s : s + CHUNK], all_x[s : s + CHUNK]
-                    x_to, x_square = _to_pivots(x, p), (x * x).sum(1)
-                    for j, q_id in enumerate(q_ids):
-                        lower = np.abs(x_to - q_to[j]).max(1)
+                    x_to, x_square = np.ascontiguousarray(_to_pivots(x, p).T), (x * x).sum(1)
+                    for a in range(0, len(q_ids), SIDE):
+                        lower = np.zeros((len(q_ids[a : a + SIDE]), len(ids)))
+                        for to, own in zip(q_to[a : a + SIDE].T, x_to, strict=True):
+                            gap = own[None] - to[:, None]
+                            np.maximum(lower, np.abs(gap, out=gap), out=lower)
                         # The slack covers the rounding of the distances; a bound that is too high costs work only.
                         lower = np.maximum(lower - 1e-6 * (1 + lower), 0)
-                        bound = (q_square[j] + x_square - lower * lower) / 2 + 1e-6 * (1 + q_square[j])
-                        out += [(int(q_id), i, s_) for s_, i in best_of(int(q_id), qs[j], ids, x, bound, k)[0]]
-            if out:
-                q_id, i, score = (np.array(c, np.int64) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(i), pa.array(score)], ["query_id", "vec_id", "score"])
+                        bound = (q_square[a : a + SIDE, None] + x_square - lower * lower) / 2 + 1e-6 * (1 + q_square[a : a + SIDE, None])
+                        for j in range(a, a + len(bound)):
+                            best[j] = best_of(int(q_ids[j]), qs[j], ids, x, bound[j - a], k, best[j])[0]
+        for d, best in tops.items():
+            counts = [len(t[0]) for t in best]
+            if sum(counts):
+                columns = [np.repeat(tables[d][0], counts), np.concatenate([t[1] for t in best]), np.concatenate([t[0] for t in best])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
