@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secret_scan, shingle_join, url_filter, vector_topk
+from . import exact_dedup, mixing, packing, pii, quality, secret_scan, shingle_join, url_filter, vector_topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_read(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
