@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality, secret_scan, shingle_join, url_filter, vector_topk
+from . import exact_dedup, line_dedup, mixing, packing, pii, quality, secret_scan, shingle_join, url_filter, vector_topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed")
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(_read(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_mixing, op4_url_filter, op5_exact_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_mixing, op4_url_filter, op5_exact_dedup, op6_line_dedup, op7_shingle_join, op8_secret_scan, op9_vector_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
