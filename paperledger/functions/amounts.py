@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, _col, trim
+from .text import SPACE, _col, let, trim
 
 #: The currency marks that a printed amount may carry.
 CURRENCY = r"(?i)EUR|€|USD|\$|GBP|£|CHF"
 
 
+def _after(text: Column, sign: Column) -> Column:
+    """What follows the last ``sign``."""
+    return F.call_function("substring_index", text, sign, F.lit(-1))
+
+
 def strip_noise(text: Column | str) -> Column:
     """Digits, separators and signs alone."""
     return F.regexp_replace(F.regexp_replace(_col(text), CURRENCY, ""), r"[^0-9.,\-+]", "")
@@ -25,42 +30,52 @@ def holds_multiple(text: Column | str) -> Column:
     """Whether two amounts stand side by side. Groups of three digits between spaces are one amount, and only its last
     group may carry a fraction. Parts without digits do not count."""
     bare = F.regexp_replace(F.regexp_replace(_col(text), CURRENCY, ""), rf"^{SPACE}*([-+]){SPACE}*", "$1")
-    parts = F.filter(F.split(trim(bare), f"{SPACE}+"), lambda p: p.rlike("[0-9]"))
-    last = F.size(parts) - 1
 
-    def apart(p: Column, i: Column) -> Column:
-        head, tail, middle = p.rlike(r"^[-+]?[0-9]{1,3}$"), p.rlike(r"^[0-9]{3}([.,][0-9]{1,4})?$"), p.rlike("^[0-9]{3}$")
-        return ~F.when(i == 0, head).when(i == last, tail).otherwise(middle)
+    def any_apart(parts: Column) -> Column:
+        def apart(p: Column, i: Column) -> Column:
+            head, tail, middle = p.rlike(r"^[-+]?[0-9]{1,3}$"), p.rlike(r"^[0-9]{3}([.,][0-9]{1,4})?$"), p.rlike("^[0-9]{3}$")
+            return ~F.when(i == 0, head).when(i == F.size(parts) - 1, tail).otherwise(middle)
+
+        return (F.size(parts) > 1) & F.exists(F.transform(parts, apart), lambda x: x)
 
-    return (F.size(parts) > 1) & F.exists(F.transform(parts, apart), lambda x: x)
+    return let(F.filter(F.split(trim(bare), f"{SPACE}+"), lambda p: p.rlike("[0-9]")), any_apart)
 
 
 def parse_amount(text: Column | str, decimal: Column | None = None) -> Column:
     """The amount as a dot-decimal string with its zeros kept, or null. ``decimal`` pins the separator."""
-    text = _col(text)
-    signed = strip_noise(text)
-    s = F.regexp_replace(signed, "^[-+]", "")
-    sep = F.coalesce(decimal, detect_separator(s)) if decimal is not None else detect_separator(s)
-    after = F.when(sep.isNotNull() & (F.instr(s, sep) > 0), F.substring_index(s, sep, -1))
-    whole = F.when(after.isNull(), s).otherwise(F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1))
-    digits = F.regexp_replace(whole, "[.,]", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    good = ~holds_multiple(text) & s.rlike(r"^[0-9][0-9.,]*$") & digits.rlike("^[0-9]{1,12}$") & (after.isNull() | after.rlike("^[0-9]{1,4}$"))
-    out = F.concat(digits, F.when(after.isNull(), F.lit("")).otherwise(F.concat(F.lit("."), after)))
-    return F.when(good, F.concat(F.when(F.startswith(signed, F.lit("-")), F.lit("-")).otherwise(F.lit("")), out))
+
+    def split(s: Column) -> Column:
+        sep = F.coalesce(decimal, detect_separator(s)) if decimal is not None else detect_separator(s)
+        return F.struct(s.alias("s"), let(sep, lambda x: F.when(x.isNotNull() & (F.instr(s, x) > 0), _after(s, x))).alias("after"))
+
+    def whole(p: Column) -> Column:
+        digits = F.regexp_replace(F.when(p["after"].isNull(), p["s"]).otherwise(F.substring(p["s"], F.lit(1), F.length(p["s"]) - F.length(p["after"]) - 1)), "[.,]", "")
+        return F.struct(p["s"].alias("s"), p["after"].alias("after"), F.when(digits == "", F.lit("0")).otherwise(digits).alias("digits"))
+
+    def value(t: Column, signed: Column, p: Column) -> Column:
+        good = ~holds_multiple(t) & p["s"].rlike(r"^[0-9][0-9.,]*$") & p["digits"].rlike("^[0-9]{1,12}$") & (p["after"].isNull() | p["after"].rlike("^[0-9]{1,4}$"))
+        sign = F.when(F.startswith(signed, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        return F.when(good, F.concat(sign, p["digits"], F.coalesce(F.concat(F.lit("."), p["after"]), F.lit(""))))
+
+    def parse(t: Column) -> Column:
+        return let(strip_noise(t), lambda signed: let(F.regexp_replace(signed, "^[-+]", ""), lambda s: let(split(s), lambda p: let(whole(p), lambda w: value(t, signed, w)))))
+
+    return let(_col(text), parse)
 
 
 def render_amount(dot_decimal: Column | str, decimal: str | Column, grouped: bool = True) -> Column:
     """A dot-decimal string in a locale: ``decimal`` is its separator, the other sign groups."""
-    value, decimal = _col(dot_decimal), F.lit(decimal) if isinstance(decimal, str) else decimal
-    bare = F.regexp_replace(value, "^-", "")
-    whole, fraction = F.substring_index(bare, ".", 1), F.when(F.instr(bare, ".") > 0, F.substring_index(bare, ".", -1)).otherwise(F.lit(""))
-    whole = F.when(whole == "", F.lit("")).otherwise(whole)
-    group = F.when(decimal == ",", F.lit(".")).otherwise(F.lit(","))
-    if grouped:
-        whole = F.replace(F.regexp_replace(whole, r"\B(?=(?:[0-9]{3})+$)", "_"), F.lit("_"), group)
-    sign = F.when(F.startswith(value, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(decimal, fraction)))
+    sep = F.lit(decimal) if isinstance(decimal, str) else decimal
+    group = F.when(sep == ",", F.lit(".")).otherwise(F.lit(","))
+
+    def render(v: Column) -> Column:
+        whole = F.substring_index(F.regexp_replace(v, "^-", ""), ".", 1)
+        if grouped:
+            whole = F.replace(F.regexp_replace(whole, r"\B(?=(?:[0-9]{3})+$)", "_"), F.lit("_"), group)
+        fraction = F.when(F.instr(v, ".") > 0, F.concat(sep, F.substring_index(v, ".", -1))).otherwise(F.lit(""))
+        return F.concat(F.when(F.startswith(v, F.lit("-")), F.lit("-")).otherwise(F.lit("")), whole, F.when(fraction == sep, F.lit("")).otherwise(fraction))
+
+    return let(_col(dot_decimal), render)
 
 
 def to_decimal(text: Column | str) -> Column:
@@ -91,7 +106,7 @@ def number_equal(a: Column | str, b: Column | str) -> Column:
 def cell_to_dot(cell: Column | str, decimal: Column) -> Column:
     """A table cell under a pinned separator as a dot-decimal string, or null where it is no number."""
     s = trim(F.regexp_replace(_col(cell), "(?i)EUR|€", ""))
-    after = F.when(F.instr(s, decimal) > 0, F.substring_index(s, decimal, -1))
+    after = F.when(F.instr(s, decimal) > 0, _after(s, decimal))
     before = F.regexp_replace(F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1), "[.,]", "")
     split = F.concat(F.when(before == "", F.lit("0")).otherwise(before), F.lit("."), after)
     return F.when(s.rlike(r"^-?[0-9.,]+$"), F.when(after.rlike("^[0-9]{1,4}$"), split).otherwise(F.regexp_replace(s, "[.,]", "")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, trim
+from .text import _col, let, trim
 
 #: The formats tried, in order. Month names are English.
 FORMATS = ("dd.MM.yyyy", "d.M.yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "d. MMMM yyyy", "MMMM d, yyyy", "dd.MM.yy")
@@ -40,8 +40,7 @@ def _one(s: Column, fmt: str) -> Column:
 def parse_date(text: Column | str, formats: tuple[str, ...] = FORMATS) -> Column:
     """The first format that gives a real day of the years 1990 to 2100, as an ISO string; else null. The whole text
     must be the date. Two-digit years of 50 to 89 fall outside these years."""
-    s = trim(text)
-    return F.coalesce(*[_one(s, f) for f in formats])
+    return let(trim(text), lambda s: F.coalesce(*[_one(s, f) for f in formats]))
 
 
 def parse_date_listed(text: Column | str, formats: Column) -> Column:

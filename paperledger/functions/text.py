@@ -28,6 +28,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once and named, so that expressions do not grow by its copies."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
 
@@ -56,12 +61,25 @@ def characters(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), ""), lambda c: c != "")
 
 
-def label_end(text: Column | str, label: Column) -> Column:
-    """How many characters of ``text`` complete the normalised prefix ``label``; null where the prefix differs."""
-    text = _col(text)
-    lengths = F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.length(normalize_label(F.substring(text, F.lit(1), n))))
-    at = F.array_position(F.transform(lengths, lambda n: n >= F.length(label)), F.lit(True))
-    return F.when((F.length(text) > 0) & (at > 0) & F.startswith(normalize_label(text), label), at.cast("int"))
+def fold(text: Column | str) -> Column:
+    """Lower case without accents, sign for sign, so that places in the text stay what they are."""
+    return F.translate(F.lower(_col(text)), _ACCENTED, _PLAIN)
+
+
+def plain_label(label: str) -> str:
+    """``normalize_label`` of a Python string."""
+    folded = "".join(c for c in unicodedata.normalize("NFD", label.lower()) if not unicodedata.combining(c))
+    return "".join(c for c in folded if c in "abcdefghijklmnopqrstuvwxyz0123456789%")
+
+
+def label_expression(label: str) -> str:
+    """Matches the start of a folded text up to the sign that completes the label."""
+    return "^" + "".join(f"[^a-z0-9%]*{c}" for c in plain_label(label))
+
+
+def label_end(folded: Column, label: str) -> Column:
+    """How many characters of a text complete the label at its start; 0 where it does not start so."""
+    return F.length(F.regexp_extract(folded, label_expression(label), 0))
 
 
 def remainder(text: Column | str, end: Column) -> Column:
