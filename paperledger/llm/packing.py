@@ -1,7 +1,8 @@
 """Packing documents into sequences by shortest-pack-first over the histogram of lengths.
 
 1. *Pieces.* A document is its ids and the end id; it is cut into blocks of the full length and a rest. Ids come from
-   the tokenizer word by word, through a cache: its normaliser and its splitting never look across white space.
+   the tokenizer word by word, through a cache by 64-bit hash: its normaliser and its splitting never look across
+   white space.
 2. *Histogram.* Pieces are counted by length; there are at most as many lengths as a sequence has tokens, so the
    counts, and all that follows from them on the driver, have a fixed bound whatever the number of documents.
 3. *Patterns.* Lengths are placed longest first, each into the packs with the most room, all packs of one pattern at
@@ -23,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from . import scratch, wordhash
 
 LENGTH = 4096
 END = 2
-MOST_WORDS = 600_000
+MOST_WORDS = 1_500_000
+MOST_PARTS = 250_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _MADE: dict[str, Encoder] = {}
 #: Words of these signs are split here just as the tokenizer's own expression splits them, after its lower-casing.
@@ -42,62 +45,111 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class Encoder(dict):
-    """Word to number; a word's ids are ``flat[first[number] : first[number + 1]]``."""
+class Table:
+    """Numbers of 64-bit keys, in open addressing; keys are not 0."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.numbers, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+
+    def _step(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & (len(self.keys) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The keys' numbers, or -1."""
+        at = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.numbers[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.keys[at] != 0))
+        while len(open_):
+            at[open_] = self._step(at[open_])
+            own = self.keys[at[open_]]
+            hit = own == h[open_]
+            out[open_[hit]] = self.numbers[at[open_[hit]]]
+            open_ = open_[~hit & (own != 0)]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Give distinct new keys the next numbers, in their order."""
+        numbers = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self.size += len(h)
+        if 2 * self.size > len(self.keys):
+            old = self.keys != 0
+            h, numbers = np.concatenate([self.keys[old], h]), np.concatenate([self.numbers[old], numbers])
+            size = 1 << (2 * self.size).bit_length()
+            self.keys, self.numbers = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        at = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = self.keys[at[todo]] == 0
+            self.keys[at[todo[free]]] = h[todo[free]]
+            won = self.keys[at[todo]] == h[todo]
+            self.numbers[at[todo[won]]] = numbers[todo[won]]
+            todo = todo[~won]
+            at[todo] = self._step(at[todo])
+
+
+class Encoder:
+    """Ids of texts, by a cache from words' hashes; a word's ids are ``flat[first[number] : first[number + 1]]``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: list[bytes] = []
+        self.table, self.parts = Table(), {}
         self.flat, self.first, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-        self.known = 0
-        self.parts: dict[str, list[int]] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
 
     def _split(self, word: bytes) -> list[str]:
         """Parts that the tokenizer splits a word of plain letters, digits and signs into; any other word whole."""
         text = word.decode()
         return _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
 
-    def _learn(self) -> None:
-        split = [self._split(w) for w in self.new]
-        fresh = list({p for parts in split for p in parts if p not in self.parts})
+    def _learn(self, words: list[bytes]) -> None:
+        split = [self._split(w) for w in words]
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
+        known = self.parts
+        fresh = list({p for parts in split for p in parts if p not in known})
         for a in range(0, len(fresh), 4096):
             found = self.tokenizer.encode_batch_fast(fresh[a : a + 4096], add_special_tokens=False)
-            self.parts.update(zip(fresh[a : a + 4096], (e.ids for e in found), strict=True))
-        own = [[i for p in parts for i in self.parts[p]] for parts in split]
-        ids = np.fromiter((i for x in own for i in x), np.uint32)
-        ends = self.used + np.cumsum([len(x) for x in own])
+            known.update(zip(fresh[a : a + 4096], (tuple(e.ids) for e in found), strict=True))
+        own = [known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p]) for parts in split]
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        ids = np.fromiter(chain.from_iterable(own), np.uint32, counts.sum())
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        while self.known + len(own) + 1 > len(self.first):
+        n = self.table.size
+        while n + len(own) + 1 > len(self.first):
             self.first = np.concatenate([self.first, self.first])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.first[self.known + 1 : self.known + len(own) + 1] = ends
+        self.first[n + 1 : n + len(own) + 1] = self.used + np.cumsum(counts)
         self.used += len(ids)
-        self.known += len(own)
-        self.new.clear()
-
-    def ids(self, text: bytes) -> np.ndarray:
-        """The ids of a UTF-8 text."""
-        words = text.split()
-        if len(self) > MOST_WORDS:
-            self.clear()
-            self.parts.clear()
-            self.used = self.known = 0
-        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._learn()
-        a, count = self.first[n], self.first[n + 1] - self.first[n]
-        ends = np.cumsum(count)
-        return self.flat[np.repeat(a - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text's row and its ids with the end id."""
+        for a, b, data, offsets in wordhash.chunks(texts):
+            h, first, starts, ends = wordhash.words(data, offsets, lower=False)
+            h = np.maximum(h, np.uint64(1))
+            if self.table.size > MOST_WORDS:
+                self.table.clear()
+                self.used = 0
+            number = self.table.find(h)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                keys, at = np.unique(h[new], return_index=True)
+                raw = data.tobytes()
+                self._learn([raw[starts[i] : ends[i]] for i in new[at]])
+                self.table.add(keys)
+                number[new] = self.table.find(h[new])
+            begin = self.first[number]
+            count = self.first[number + 1] - begin
+            upto = np.zeros(len(h) + 1, np.int64)
+            np.cumsum(count, out=upto[1:])
+            ids = self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+            for i in range(b - a):
+                yield a + i, np.append(ids[upto[first[i]] : upto[first[i + 1]]], np.uint32(END)).astype("<u4", copy=False)
 
 
 def encoder(path: str) -> Encoder:
@@ -118,15 +170,12 @@ def _pieces(path: str, length: int):
         part = TaskContext.get().partitionId()
         count = np.zeros(length + 1, np.int64)
         for batch in batches:
-            doc_ids = batch.column(0).cast(pa.int64()).to_pylist()
+            doc_ids = batch.column(0).to_pylist()
             out = []
-            for a, b, data, offsets in wordhash.chunks(batch.column(1)):
-                raw = data.tobytes()
-                for i in range(a, b):
-                    ids = np.append(own.ids(raw[offsets[i - a] : offsets[i - a + 1]]), np.uint32(END)).astype("<u4")
-                    for s, n in cuts(len(ids), length):
-                        out.append((doc_ids[i], s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), part, int(count[n])))
-                        count[n] += 1
+            for i, ids in own.encode(batch.column(1)):
+                for s, n in cuts(len(ids), length):
+                    out.append((doc_ids[i], s, n, zlib.crc32(ids[s : s + n]), len(ids), part, int(count[n])))
+                    count[n] += 1
             names, kinds = [x.split()[0] for x in _PIECES.split(", ")], [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names)
 
