@@ -15,7 +15,7 @@ Columns of the input other than the id and the text are neither read nor in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,19 +53,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    best = winners(docs, id_col, text_col, salts).select("digest", "check", F.col("keep_id"))
+    """``docs`` with one row of each group of equal texts, all columns as they were. The rows themselves go through the
+    three stages, so that no join has to find them again."""
     norm = normalised(F.col(f"`{text_col}`"))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id_col}`").alias("keep_id"),
-        F.sha2(norm, 256).alias("digest"),
-        F.xxhash64(norm).alias("check"),
-    )
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("keep_id", "digest", "check")]
-    stay = rows.alias("a").join(best.alias("b"), same[0] & same[1] & same[2], "left_semi")
-    once = Window.partitionBy("keep_id", "digest", "check").orderBy(F.lit(0))
-    return stay.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    by_id = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"))
+    rows = docs.select(norm.alias("norm"), F.sha2(norm, 256).alias("digest"), by_id.alias("by"), row.alias("row"))
+    salted = rows.withColumn("salt", F.spark_partition_id() % salts)
+    least = F.min_by("row", "by").alias("row"), F.min("by").alias("by")
+    parts = salted.groupBy("digest", "norm", "salt").agg(*least)
+    return parts.groupBy("digest", "norm").agg(least[0]).select("row.*")
 
 
 ORACLE = r"""
