@@ -27,7 +27,7 @@ def resolve(docs: DataFrame, templates: DataFrame) -> DataFrame:
     asked = docs.select("doc_id", F.explode(keys(F.col("ids"))).alias("k")).select("doc_id", "k.tier", "k.value")
     held = templates.select("template_id", F.explode(keys(F.col("ids"))).alias("k")).groupBy("k.tier", "k.value").agg(F.min("template_id").alias("template_id"))
     best = asked.join(held, ["tier", "value"]).groupBy("doc_id").agg(F.min(F.struct("tier", "template_id")).alias("best"))
-    name = F.element_at(F.array(*map(F.lit, TIERS)), F.col("best.tier") + 1)
+    name = F.when(F.col("best").isNotNull(), F.get(F.array(*map(F.lit, TIERS)), F.col("best.tier")))
     return docs.join(best, "doc_id", "left").select(*docs.columns, F.col("best.template_id").alias("template_id"), name.alias("matched_by"))
 
 
