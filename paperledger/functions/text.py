@@ -99,7 +99,7 @@ def label_end_anywhere(text: Column | str, label: Column) -> Column:
 
 def generalize_pattern(raw: Column | str) -> Column:
     """An expression for values of this shape: signs escaped, runs of digits as any digits."""
-    return F.regexp_replace(F.regexp_replace(_col(raw), r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"[0-9]+", r"\\\\d+")
+    return F.regexp_replace(F.regexp_replace(_col(raw), r"([.*+?^${}()|\[\]\\])", r"\\$1"), r"[0-9]+", r"\\d+")
 
 
 def label_before(text: Column | str, start: Column) -> Column:

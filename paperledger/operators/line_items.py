@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_amount
-from ..functions.text import clean, trim
+from ..functions.text import clean, let, trim
 from ..plans.schemas import ITEM
 
 #: The columns of a table of items, in the order in which they are assigned.
@@ -18,31 +18,31 @@ def line_items(rows: Column, columns: Column, continuation: Column, decimal: Col
     """Items of an array of rows. ``columns``: an index for each of COLUMNS, or null. Under the continuation mode, a row
     with a description and neither a number nor amounts continues the item before it; the first row never does. Rows
     without a description are dropped."""
-    at = {name: F.get(columns, F.lit(i)) for i, name in enumerate(COLUMNS)}
-
-    def cell(row: Column, name: str) -> Column:
-        return F.when(at[name].isNotNull(), clean(F.get(row, at[name])))
-
     def number(value: Column) -> Column:
         return parse_amount(value, decimal) if decimal is not None else parse_amount(value)
 
-    def step(items: Column, row: Column) -> Column:
-        description, position = cell(row, "description"), cell(row, "position")
-        numeric = F.coalesce(position.rlike("^[0-9]+$"), F.lit(False))
-        q, p, t = (cell(row, n) for n in ("quantity", "unit_price", "line_total"))
-        goes_on = (continuation == NO_NUMBER) & at["position"].isNotNull() & ~numeric & description.isNotNull() & q.isNull() & p.isNull() & t.isNull() & (F.size(items) > 0)
+    def cells(c: Column, row: Column) -> Column:
+        return F.struct(*[F.when(F.get(c, F.lit(i)).isNotNull(), clean(F.get(row, F.get(c, F.lit(i))))).alias(n) for i, n in enumerate(COLUMNS)])
+
+    def add(c: Column, items: Column, v: Column) -> Column:
+        numeric = F.coalesce(v["position"].rlike("^[0-9]+$"), F.lit(False))
+        bare = v["quantity"].isNull() & v["unit_price"].isNull() & v["line_total"].isNull()
+        goes_on = (continuation == NO_NUMBER) & F.get(c, F.lit(COLUMNS.index("position"))).isNotNull() & ~numeric & v["description"].isNotNull() & bare & (F.size(items) > 0)
         last = F.try_element_at(items, F.lit(-1))
-        joined = last.withField("description", trim(F.concat_ws(" ", last["description"], description)))
+        joined = last.withField("description", trim(F.concat_ws(" ", last["description"], v["description"])))
         item = F.struct(
-            F.when(numeric, position.try_cast("int")).alias("position"),
-            description.alias("description"),
-            number(q).alias("quantity"),
-            cell(row, "unit").alias("unit"),
-            number(p).alias("unit_price"),
-            number(F.replace(cell(row, "tax_rate"), F.lit("%"), F.lit(""))).try_cast("double").alias("tax_rate"),
-            number(t).alias("line_total"),
+            F.when(numeric, v["position"].try_cast("int")).alias("position"),
+            v["description"].alias("description"),
+            number(v["quantity"]).alias("quantity"),
+            v["unit"].alias("unit"),
+            number(v["unit_price"]).alias("unit_price"),
+            number(F.replace(v["tax_rate"], F.lit("%"), F.lit(""))).try_cast("double").alias("tax_rate"),
+            number(v["line_total"]).alias("line_total"),
         ).cast(ITEM)
         grown = F.concat(F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))), F.array(joined))
-        return F.when(F.coalesce(goes_on, F.lit(False)), grown).when(description.isNull(), items).otherwise(F.concat(items, F.array(item)))
+        return F.when(F.coalesce(goes_on, F.lit(False)), grown).when(v["description"].isNull(), items).otherwise(F.concat(items, F.array(item)))
+
+    def fold(c: Column) -> Column:
+        return F.aggregate(rows, F.array().cast(f"array<{ITEM}>"), lambda items, row: let(cells(c, row), lambda v: add(c, items, v)))
 
-    return F.aggregate(rows, F.array().cast(f"array<{ITEM}>"), step)
+    return let(columns, fold)

@@ -360,7 +360,7 @@ def canonical(invoice: str = "invoice", options: Reconcile = DEFAULT) -> Column:
 def write_back(field_meta: Column) -> Column:
     """Provenance with an entry for each repaired path: source derived, confidence 0.9 times the least there is (0.9
     without any), within 0.1 and 1."""
-    known = F.transform(F.map_values(F.coalesce(field_meta, F.create_map().cast("map<string,struct<source:string,confidence:double>>"))), lambda m: m["confidence"])
+    known = F.transform(F.map_values(field_meta), lambda m: m["confidence"])
     confidence = F.greatest(F.lit(0.1), F.least(F.lit(1.0), 0.9 * F.coalesce(F.array_min(known), F.lit(0.9))))
     paths = F.array_distinct(F.transform("repairs", lambda r: r["path"]))
     return F.map_from_arrays(paths, F.transform(paths, lambda _: F.struct(F.lit("derived").alias("source"), confidence.alias("confidence"))))

@@ -113,16 +113,21 @@ def classify_columns(header: Column, lexicon: Lexicon = DEFAULT) -> Column:
         first = F.get(F.filter(F.transform(normed, fits), lambda i: i.isNotNull()), F.lit(0))
         return F.concat(taken, F.array(first))
 
-    found = F.aggregate(keys, F.array().cast("array<int>"), step)
-    return F.when(F.get(found, F.lit(0)).isNotNull() & (F.get(found, F.lit(1)).isNotNull() | F.get(found, F.lit(2)).isNotNull()), found)
+    def enough(found: Column) -> Column:
+        return F.when(F.get(found, F.lit(0)).isNotNull() & (F.get(found, F.lit(1)).isNotNull() | F.get(found, F.lit(2)).isNotNull()), found)
+
+    return let(F.aggregate(keys, F.array().cast("array<int>"), step), enough)
 
 
 def rule_items(tables: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Items of the first table that can be classified and has any; null without one."""
+    mode = F.lit(COLUMNS.index("position"))
+
     def one(t: Column) -> Column:
-        columns = classify_columns(t["header"], lexicon)
-        mode = F.when(F.get(columns, F.lit(COLUMNS.index("position"))).isNotNull(), F.lit(NO_NUMBER)).otherwise(F.lit("none"))
-        return F.when(columns.isNotNull(), line_items(t["rows"], columns, mode))
+        def of(columns: Column) -> Column:
+            return F.when(columns.isNotNull(), line_items(t["rows"], columns, F.when(F.get(columns, mode).isNotNull(), F.lit(NO_NUMBER)).otherwise(F.lit("none"))))
+
+        return let(classify_columns(t["header"], lexicon), of)
 
     return F.get(F.filter(F.transform(tables, one), lambda items: F.size(items) > 0), F.lit(0))
 
@@ -137,16 +142,17 @@ def currency(text: Column) -> Column:
 def run_rules(lines: Column, tables: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """invoice_number, issue_date, due_date, net, tax, gross (hits), vat, items, currency, found and missed."""
     hits = header_fields(lines, lexicon)
-    items = rule_items(tables, lexicon)
-    vat = vat_lines(lines)
-    present = {**{k: v.isNotNull() for k, v in hits.items()}, "line_items": items.isNotNull()}
-    found = F.array(*[F.when(v, F.lit(k)) for k, v in present.items()], F.when(F.size(vat) > 0, F.lit("vat_breakdown")))
-    missed = F.array(*[F.when(~v, F.lit(k)) for k, v in present.items()])
-    return F.struct(
-        *[v.alias(k) for k, v in hits.items()],
-        vat.alias("vat"),
-        items.alias("items"),
-        currency(F.array_join(F.transform(lines, lambda x: x["text"]), " ")).alias("currency"),
-        F.filter(found, lambda x: x.isNotNull()).alias("found"),
-        F.filter(missed, lambda x: x.isNotNull()).alias("missed"),
-    )
+    text = F.array_join(F.transform(lines, lambda x: x["text"]), " ")
+    made = F.struct(*[v.alias(k) for k, v in hits.items()], vat_lines(lines).alias("vat"), rule_items(tables, lexicon).alias("items"), currency(text).alias("currency"))
+
+    def told(r: Column) -> Column:
+        present = {**{k: r[k].isNotNull() for k in hits}, "line_items": r["items"].isNotNull()}
+        found = F.array(*[F.when(v, F.lit(k)) for k, v in present.items()], F.when(F.size(r["vat"]) > 0, F.lit("vat_breakdown")))
+        missed = F.array(*[F.when(~v, F.lit(k)) for k, v in present.items()])
+        return F.struct(
+            *[r[k].alias(k) for k in (*hits, "vat", "items", "currency")],
+            F.filter(found, lambda x: x.isNotNull()).alias("found"),
+            F.filter(missed, lambda x: x.isNotNull()).alias("missed"),
+        )
+
+    return let(made, told)

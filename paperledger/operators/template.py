@@ -236,16 +236,14 @@ def _guarded(value: Column, decimal: Column, page_count: Column):
 def column_votes(items: Column, table: Column, decimal: Column) -> Column:
     """For each item whose description begins a cell of a row, a vote (key, column) for each cell that shows one of its
     values."""
-    def of(x: Column) -> Column:
-        key = F.substring(normalize_label(x["description"]), 1, KEY_LENGTH)
-        row = F.get(F.filter(table["rows"], lambda r: F.exists(r, lambda v: F.startswith(normalize_label(v), key))), F.lit(0))
+    normed = F.transform(table["rows"], lambda r: F.struct(r.alias("cells"), F.transform(r, normalize_label).alias("norms")))
 
-        def cell(raw: Column, i: Column) -> Column:
-            v = trim(raw)
-            dot = cell_to_dot(v, decimal)
+    def cell(x: Column, key: Column, raw: Column, norm: Column, i: Column) -> Column:
+        def tests(c: Column) -> Column:
+            v, dot = c["v"], c["dot"]
             rate = v.contains("%") & number_equal(cell_to_dot(F.replace(v, F.lit("%"), F.lit("")), decimal), F.regexp_replace(x["tax_rate"].cast("string"), r"\.0$", ""))
-            tests = {
-                "description": F.startswith(normalize_label(v), key),
+            met = {
+                "description": F.startswith(norm, key),
                 "position": v == x["position"].cast("string"),
                 "quantity": number_equal(dot, x["quantity"]),
                 "unit_price": number_equal(dot, x["unit_price"]),
@@ -253,17 +251,31 @@ def column_votes(items: Column, table: Column, decimal: Column) -> Column:
                 "tax_rate": rate,
                 "unit": v == x["unit"],
             }
-            votes = F.array(*[F.when((v != "") & F.coalesce(t, F.lit(False)), F.struct(F.lit(n).alias("key"), i.alias("column"))) for n, t in tests.items()])
+            votes = F.array(*[F.when((v != "") & F.coalesce(t, F.lit(False)), F.struct(F.lit(n).alias("key"), i.alias("column"))) for n, t in met.items()])
             return F.filter(votes, lambda w: w.isNotNull())
 
-        return F.flatten(F.transform(row, cell))
+        return let(let(trim(raw), lambda v: F.struct(v.alias("v"), cell_to_dot(v, decimal).alias("dot"))), tests)
 
-    return F.flatten(F.filter(F.transform(items, of), lambda v: v.isNotNull()))
+    def of(rows: Column) -> Column:
+        def one(x: Column) -> Column:
+            def voted(key: Column) -> Column:
+                row = F.get(F.filter(rows, lambda r: F.exists(r["norms"], lambda n: F.startswith(n, key))), F.lit(0))
+                return let(row, lambda r: F.flatten(F.transform(r["cells"], lambda raw, i: cell(x, key, raw, F.get(r["norms"], i), i))))
 
+            return let(F.substring(normalize_label(x["description"]), 1, KEY_LENGTH), voted)
 
-def assign_columns(votes: Column) -> Column:
+        return F.flatten(F.filter(F.transform(items, one), lambda v: v.isNotNull()))
+
+    return let(normed, of)
+
+
+def assign_columns(found: Column) -> Column:
     """For each key in the order of COLUMNS the column with the most votes that no earlier key took; the one that was
     voted for first wins ties."""
+    return let(found, _assigned)
+
+
+def _assigned(votes: Column) -> Column:
     def step(taken: Column, key: Column) -> Column:
         own = F.filter(F.transform(F.filter(votes, lambda v: v["key"] == key), lambda v: v["column"]), lambda c: ~F.coalesce(F.array_contains(taken, c), F.lit(False)))
         ranked = F.transform(F.array_distinct(own), lambda c, i: F.struct(F.size(F.filter(own, lambda o: o == c)).alias("n"), (-i).alias("i"), c.alias("c")))

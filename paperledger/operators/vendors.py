@@ -58,7 +58,11 @@ def upsert(templates: DataFrame, induced: DataFrame) -> DataFrame:
     own = found.withColumn("_new", F.col("template_id").isNull() | F.coalesce(conflict(F.col("matched_by"), F.col("ids"), F.col("old")), F.lit(False)))
     strongest = let(F.array_min(keys(F.col("ids"))), lambda k: F.concat_ws(":", k["tier"].cast("string"), k["value"]))
     target = F.when(F.col("_new"), F.concat(F.lit("new:"), F.coalesce(strongest, F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))))).otherwise(F.col("template_id").cast("string"))
-    in_order = F.array_sort(F.collect_list(F.struct("seq", "doc_id", "ids", "body", "source")))
+    def earlier(a: Column, b: Column) -> Column:
+        x, y = F.struct(a["seq"], a["doc_id"]), F.struct(b["seq"], b["doc_id"])
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    in_order = F.array_sort(F.collect_list(F.struct("seq", "doc_id", "ids", "body", "source")), earlier)
     batch = own.withColumn("_target", target).groupBy("_target").agg(in_order.alias("_all"))
     stored = templates.withColumn("_target", F.col("template_id").cast("string"))
     both = stored.join(batch, "_target", "full_outer")
