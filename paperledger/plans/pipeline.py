@@ -1,7 +1,7 @@
 """The batch plan: route, gate, segment, classify, resolve, extract, merge, reconcile, decide, learn.
 
 Every step is a projection of a document's row but the vendor lookup (an equi-join over identifiers) and the model
-port's join. Documents resolve against the templates as they are at the start of a batch; what a batch induces is
+port's join. Between the large steps rows are written to the shared working folder, which keeps plans small. Documents resolve against the templates as they are at the start of a batch; what a batch induces is
 folded into the template table at its end, in the order of documents. A batch of one document is the sequential case.
 """
 
@@ -22,6 +22,7 @@ from ..operators import segment as S
 from ..operators import template as T
 from ..operators import vendors as V
 from ..sources.ports import Port, is_invoice_attachment
+from ..sources.tables import materialised
 from .options import Options
 from .schemas import INVOICE, META, TEMPLATE, struct_type
 
@@ -176,15 +177,15 @@ def run_batch(docs: DataFrame, templates: DataFrame, options: Options | None = N
     """Positioned documents of the text lane (doc_id, page_count, lines, tables, markdown) to statuses, and the
     template table (template_id, ids, body, version, source) with what the batch taught."""
     options = options or Options()
-    laned = text_lane(docs, options, words)
+    laned = materialised(text_lane(docs, options, words), "laned")
     known = templates.withColumn("template", F.col("body"))
-    out = extract(laned.where("next = 'extract'"), known, lexicon)
+    out = materialised(extract(laned.where("next = 'extract'"), known, lexicon), "extracted")
     solved = R.reconcile(out.select("doc_id", "invoice", "field_meta"), options.reconcile)
     solved = solved.select("doc_id", "status", F.col("invoice").alias("canonical"), "repairs", "violations", "total_failure")
     by = F.when(F.exists(F.map_values("field_meta"), lambda m: m["source"] == "template"), "template").otherwise("rules")
     joined = out.select("doc_id", "lines", "tables", "page_count", "markdown", F.col("class.band").alias("band"), by.alias("by")).join(solved, "doc_id")
-    done = decide(joined.withColumn("vlm_attempted", F.lit(False)), options)
-    taught = induce(done.where("next = 'committed'"), options)
+    done = materialised(decide(joined.withColumn("vlm_attempted", F.lit(False)), options), "decided")
+    taught = materialised(induce(done.where("next = 'committed'"), options), "induced")
     columns = ("doc_id", "canonical", "repairs", "violations", "markdown")
     rest = laned.where("next <> 'extract'").select("doc_id", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns[1:4]], "markdown", F.col("next").alias("status"))
     documents = done.select(*columns, F.col("next").alias("status")).unionByName(rest)
