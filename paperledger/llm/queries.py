@@ -31,7 +31,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages"))
+    return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op9_vector_topk": vector_topk.ORACLE}
+    return {"op4_url_filter": url_filter.oracle(), "op5_exact_dedup": exact_dedup.ORACLE, "op9_vector_topk": vector_topk.ORACLE}

@@ -131,3 +131,19 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES
         F.when(F.col("_host").isNull(), F.col("_pattern")["name"]).alias("pattern"),
         F.size("_candidates").alias("n_run"),
     )
+
+
+def oracle(rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES) -> str:
+    """The same verdicts as SQL that tries every rule on every URL."""
+    def fits(r: Rule) -> str:
+        return "regexp_matches(addr, '" + r.pattern.replace("'", "''") + "')"
+
+    hosts = sorted((r for r in rules if r.host), key=lambda r: (-len(r.name), r.verdict, r.name))
+    name = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in hosts)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in hosts)
+    kinds = {v: " OR ".join(fits(r) for r in rules if not r.host and r.verdict == v) or "false" for v in ("allow", "block")}
+    return f"""WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*(.*)', 1) AS tail FROM u),
+t AS (SELECT page_id, host, path, host || tail AS addr FROM h)
+SELECT page_id, host, path, CASE WHEN host = '' THEN NULL {name} END AS rule,
+ CASE WHEN host = '' THEN 'allow' {verdict} WHEN {kinds["allow"]} THEN 'allow' WHEN {kinds["block"]} THEN 'block' ELSE 'allow' END AS verdict FROM t"""
