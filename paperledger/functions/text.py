@@ -42,9 +42,14 @@ def clean(text: Column | str) -> Column:
     return F.nullif(trim(text), F.lit(""))
 
 
+def _if_foreign(text: Column, use) -> Column:
+    """``use(text)`` where the text has any sign beyond ASCII; the table lookup is the dear part of folding."""
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), use(t)).otherwise(t))
+
+
 def strip_marks(text: Column | str) -> Column:
     """Letters without their accents; combining marks go."""
-    return F.regexp_replace(F.translate(_col(text), _ACCENTED, _PLAIN), "[̀-ͯ]", "")
+    return _if_foreign(_col(text), lambda t: F.regexp_replace(F.translate(t, _ACCENTED, _PLAIN), "[̀-ͯ]", ""))
 
 
 def normalize_label(text: Column | str) -> Column:
@@ -63,7 +68,7 @@ def characters(text: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Lower case without accents, sign for sign, so that places in the text stay what they are."""
-    return F.translate(F.lower(_col(text)), _ACCENTED, _PLAIN)
+    return _if_foreign(F.lower(_col(text)), lambda t: F.translate(t, _ACCENTED, _PLAIN))
 
 
 def plain_label(label: str) -> str:

@@ -90,16 +90,21 @@ def find_field(d: Column, lines: Column, page_count: Column) -> Column:
 def match_table(tables: Column, header: Column) -> Column:
     """The table with the greatest share of the signature among its headings, if that is 0.7 or more; the first of
     equals."""
-    signature = F.filter(F.transform(header, normalize_label), lambda s: s != "")
+    def of(signature: Column) -> Column:
+        def scored(t: Column) -> Column:
+            def score(heads: Column) -> Column:
+                hits = F.size(F.filter(signature, lambda s: F.exists(heads, lambda h: F.contains(h, s))))
+                return F.struct((hits / F.size(signature)).alias("score"), t.alias("table"))
 
-    def scored(t: Column) -> Column:
-        heads = F.transform(t["header"], normalize_label)
-        hits = F.size(F.filter(signature, lambda s: F.exists(heads, lambda h: F.contains(h, s))))
-        return F.struct((hits / F.size(signature)).alias("score"), t.alias("table"))
+            return let(F.transform(t["header"], normalize_label), score)
 
-    ranked = F.filter(F.transform(tables, scored), lambda s: s["score"] >= SIGNATURE_SHARE)
-    best = F.array_max(F.transform(ranked, lambda s: s["score"]))
-    return F.when(F.size(signature) > 0, F.get(F.filter(ranked, lambda s: s["score"] == best), F.lit(0))["table"])
+        def first(ranked: Column) -> Column:
+            return let(F.array_max(F.transform(ranked, lambda s: s["score"])), lambda best: F.get(F.filter(ranked, lambda s: s["score"] == best), F.lit(0))["table"])
+
+        found = let(F.filter(F.transform(tables, scored), lambda s: s["score"] >= SIGNATURE_SHARE), first)
+        return F.when(F.size(signature) > 0, found)
+
+    return let(F.filter(F.transform(header, normalize_label), lambda s: s != ""), of)
 
 
 def _columns(m: Column) -> Column:
