@@ -7,8 +7,11 @@
    it makes one pair for each later document, never all pairs of its holders. Pairs that several keys make are one.
 3. *Alignment.* Patience diff aligns the two rows of line hashes: lines that are unique in both and in one order are
    anchors; between anchors, equal lines at either end are matched, and the rest is aligned in the same way.
-4. *Removal.* A block is a run of aligned lines that follow each other in both documents. Blocks of ``BLOCK_WORDS``
-   words or more go from the later document; shorter ones, which clean documents share by chance, stay.
+4. *Runs.* An alignment is one rising row and rests on unique lines. Where it leaves lines that the earlier document
+   holds, a suffix automaton of that document finds every run of lines common to both, wherever and however often it
+   stands in either.
+5. *Removal.* A block is a run of lines that follow each other in both documents. Blocks of ``BLOCK_WORDS`` words or
+   more go from the later document; shorter ones, which clean documents share by chance, stay.
 
 Only hashes are paired; a text moves once, to meet the numbers of its lines that go.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +86,55 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _automaton(a: list[int]) -> tuple[list[dict[int, int]], list[int], list[int]]:
+    """Steps, suffix links and lengths of the states of the suffix automaton of ``a``."""
+    steps: list[dict[int, int]] = [{}]
+    links, lengths, last = [-1], [0], 0
+    for x in a:
+        new = len(steps)
+        steps.append({})
+        lengths.append(lengths[last] + 1)
+        links.append(0)
+        p = last
+        while p >= 0 and x not in steps[p]:
+            steps[p][x] = new
+            p = links[p]
+        if p >= 0:
+            q = steps[p][x]
+            if lengths[q] == lengths[p] + 1:
+                links[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                lengths.append(lengths[p] + 1)
+                links.append(links[q])
+                while p >= 0 and steps[p].get(x) == q:
+                    steps[p][x] = copy
+                    p = links[p]
+                links[q] = links[new] = copy
+        last = new
+    return steps, links, lengths
+
+
+def common_runs(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
+    """Numbers of the lines of ``b`` in any run of at least so many words that ``a`` holds too, in any order and any
+    number of times. Of the runs that end at a line the longest holds the others."""
+    steps, links, lengths = _automaton(a)
+    upto = [0, *accumulate(words)]
+    gone: list[int] = []
+    state = held = free = 0
+    for j, x in enumerate(b):
+        while state and x not in steps[state]:
+            state = links[state]
+            held = lengths[state]
+        if x in steps[state]:
+            state, held = steps[state][x], held + 1
+        if upto[j + 1] - upto[j + 1 - held] >= least:
+            gone += range(max(free, j + 1 - held), j + 1)
+            free = j + 1
+    return gone
+
+
 def removed_lines(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
     """Numbers of the lines of ``b``, the later one, in common blocks of at least so many words."""
     gone: list[int] = []
@@ -94,7 +147,9 @@ def removed_lines(a: list[int], b: list[int], words: list[int], least: int = BLO
             block = []
         block.append(j)
         last = i, j
-    return gone
+    in_a, settled = set(a), set(gone)
+    left = any(h in in_a and j not in settled for j, h in enumerate(b))
+    return common_runs(a, b, words, least) if left else gone
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -391,6 +391,34 @@ def test_patience():
     assert line_dedup.removed_lines([1, 2, 3], [7, 2, 8, 3], [9, 6, 9, 6]) == []
 
 
+def brute_removed(a, b, words, least=10):
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j : j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return sorted(gone)
+
+
+def test_removed_lines_of_passages_that_repeat():
+    x, y, z, u, v, w = range(6)
+    p = [10, 11]
+    once, twice = [u, *p, v], [x, *p, y, *p, z]
+    assert line_dedup.removed_lines(twice, once, [9, 6, 6, 9]) == [1, 2]
+    assert line_dedup.removed_lines(once, twice, [9, 6, 6, 9, 6, 6, 9]) == [1, 2, 4, 5]
+    assert line_dedup.removed_lines([x, *p, y, *p, z], [u, *p, v, *p, w], [9, 6, 6, 9, 6, 6, 9]) == [1, 2, 4, 5]
+    rng = random.Random(8)
+    for _ in range(2000):
+        a, b = ([rng.randrange(k) for _ in range(rng.randint(0, 14))] for k in (5, 7))
+        words = [h % 4 * 2 for h in b]
+        assert line_dedup.removed_lines(a, b, words) == brute_removed(a, b, words)
+    many = [1, 2] * 30_000
+    assert line_dedup.removed_lines([*many, 3], [4, *many], [1] * (len(many) + 1)) == list(range(1, len(many) + 1))
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"This is line {i} of a passage that several documents share" for i in range(5))
     texts = ["An opening of its own with words enough to count as a key.\n" + passage, "Another opening that stands in this one alone, not in others.\nLes.\n" + passage + "\nAnd an end.", "A clean document of a single line with many words in it, alone.\nLes.\n", None, "", passage, "Les.\nx" * 3000]
