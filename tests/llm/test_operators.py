@@ -419,6 +419,15 @@ def test_removed_lines_of_passages_that_repeat():
     assert line_dedup.removed_lines([*many, 3], [4, *many], [1] * (len(many) + 1)) == list(range(1, len(many) + 1))
 
 
+def test_removed_lines_of_blocks_in_another_order(spark):
+    p, q = ("\n".join(f"{name} line {i} of a block that stands elsewhere in the copy" for i in range(5)) for name in ("First", "Second"))
+    assert line_dedup.removed_lines([1, 2, 9, 3, 4], [3, 4, 8, 1, 2], [6] * 5) == [0, 1, 3, 4]
+    assert line_dedup.removed_lines([1, 2, 3, 7], [2, 9, 3, 8, 7, 6, 1], [4, 1, 4, 1, 4, 1, 12]) == [6]
+    texts = [f"{p}\nA line of its own.\n{q}", f"{q}\nOther words between.\n{p}", f"An opening.\n{q}\n{p}\n{q}"]
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, texts)).collect()}
+    assert [rows[i].text for i in range(3)] == [texts[0], "Other words between.", "An opening."]
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"This is line {i} of a passage that several documents share" for i in range(5))
     texts = ["An opening of its own with words enough to count as a key.\n" + passage, "Another opening that stands in this one alone, not in others.\nLes.\n" + passage + "\nAnd an end.", "A clean document of a single line with many words in it, alone.\nLes.\n", None, "", passage, "Les.\nx" * 3000]
