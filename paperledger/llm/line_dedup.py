@@ -1,7 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 1. *Lines.* Each text becomes the hashes and word counts of its lines, without white space at their ends.
-2. *Overlaps.* Keys are lines of ``KEY_WORDS`` words or more, and pairs of neighbouring lines; a key that two documents
+2. *Overlaps.* Keys are the shortest runs of lines with ``BLOCK_WORDS`` words or more from each line on, and up to each
+   line, but blank ones. A block's lines all stand in such runs within it, so that whatever a block shares has a key
+   of its own. A key that two documents
    or more hold brings each later document together with the first that holds it. A key that a third of all documents
    hold is as rare as any in this: its first holder comes from an aggregation that is merged before it is sent, and
    it makes one pair for each later document, never all pairs of its holders. Pairs that several keys make are one.
@@ -32,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, wordhash
 
-KEY_WORDS = 5
 BLOCK_WORDS = 10
 
 
@@ -169,6 +170,36 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
 
+def runs(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents whose lines lie between the positions ``at``: the document's number and the key of each shortest run
+    of at least so many words from a line on, and up to a line. Blank lines within a run count as lines."""
+    n = len(hashes)
+    upto = np.zeros(n + 1, np.int64)
+    np.cumsum(words, out=upto[1:])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    lines = np.flatnonzero(words > 0)
+    ends = np.searchsorted(upto, upto[lines] + least)
+    whole = ends <= at[1:][doc[lines]]
+    starts = np.searchsorted(upto, upto[lines + 1] - least, "right") - 1
+    late = starts >= at[:-1][doc[lines]]
+    span = np.unique(np.concatenate([np.stack([lines[whole], ends[whole]], 1), np.stack([starts[late], lines[late] + 1], 1)]), axis=0)
+    up, down = wordhash._powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(wordhash.mix(hashes.view(np.uint64)) * up[:n], out=total[1:])
+        key = (total[span[:, 1]] - total[span[:, 0]]) * down[span[:, 0]]
+        key = wordhash.mix(key + (span[:, 1] - span[:, 0]).astype(np.uint64) * wordhash.GOLDEN)
+    return doc[span[:, 0]], key.view(np.int64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.column(1).offsets.to_numpy()
+        hashes, words = (batch.column(c).values.to_numpy()[at[0] : at[-1]] for c in (1, 2))
+        doc, key = runs(hashes, words, at - at[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(key)], ["doc_id", "key"])
+
+
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
 
@@ -185,10 +216,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words"),
     )
     lined = scratch.table(lined, "lines")
-    hashes, words = F.col("hashes"), F.col("words")
-    single = F.filter(F.transform(hashes, lambda h, i: F.when(F.get(words, i) >= KEY_WORDS, h)), lambda x: x.isNotNull())
-    two = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.when(F.get(words, i) + F.get(words, i + 1) >= KEY_WORDS, F.xxhash64(F.get(hashes, i), h)))
-    keys = lined.select("doc_id", F.explode(F.array_distinct(F.concat(single, F.filter(two, lambda x: x.isNotNull())))).alias("key"))
+    keys = lined.mapInArrow(_keys, "doc_id long, key long")
     first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     pairs = keys.join(first, "key").where("first < doc_id").select("first", "doc_id").distinct()
     own = lined.dropDuplicates(["doc_id"])

@@ -428,6 +428,27 @@ def test_removed_lines_of_blocks_in_another_order(spark):
     assert [rows[i].text for i in range(3)] == [texts[0], "Other words between.", "An opening."]
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Menus and verse: every line of a run of ten words that any earlier document holds goes, and no other."""
+    verse = [f"v{i} of it" if i % 2 else "" for i in range(24)]
+    chain = [f"link {i} of four" for i in range(3)]
+    menu = [f"dish{i}" for i in range(40)]
+    texts = ["\n".join(x) for x in (["own", *verse], ["other", *verse, "end"], chain[:2], chain[1:], chain, ["x", *chain, "y"], menu, ["menu of the day", *menu], ["soup", *menu[:9]], ["a line of ten words and more for all that", "tail"], ["head", "a line of ten words and more for all that", "tail two"], ["a line of ten words and more for all that", "tail two"])]
+    rng = random.Random(9)
+    texts += ["\n".join(" ".join(["w"] * rng.randint(0, 3)) + rng.choice(["", " a", " b"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, texts).repartition(3)).collect()}
+    assert [rows[i].text for i in (1, 4, 5, 7, 8, 10, 11)] == ["other\nend", texts[4], "x\ny", "menu of the day", texts[8], "head\ntail two", ""]
+    lines = [[x.strip() for x in t.split("\n")] for t in texts]
+    for j, b in enumerate(lines):
+        words = [len(x.split()) for x in b]
+        want = {k for a in lines[:j] for k in brute_removed(a, b, words)}
+        got = set(rows[j].removed)
+        assert got <= want and not any(words[k] for k in want - got)
+    hashes = np.array([5, 6, 7, 5, 6, 7, 8], np.int64)
+    doc, key = line_dedup.runs(hashes, np.array([4, 0, 6, 4, 0, 6, 9]), np.array([0, 3, 3, 7]))
+    assert doc.tolist() == [0, 2, 2] and key[0] == key[1] != key[2]
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"This is line {i} of a passage that several documents share" for i in range(5))
     texts = ["An opening of its own with words enough to count as a key.\n" + passage, "Another opening that stands in this one alone, not in others.\nLes.\n" + passage + "\nAnd an end.", "A clean document of a single line with many words in it, alone.\nLes.\n", None, "", passage, "Les.\nx" * 3000]
