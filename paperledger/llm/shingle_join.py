@@ -343,6 +343,19 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of least id, of each component; documents without shingles stay."""
-    found = shingle_components(docs, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one document, that of least id, of each component; documents without shingles stay. Where ids are
+    null or repeat, each row counts as a document of its own: a null id loses to any other, and of equal ids the row
+    whose text has the least hash is kept."""
+    own = F.col(f"`{id_col}`")
+    odd = docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1")
+    if odd.isEmpty():
+        found = shingle_components(docs, id_col, text_col).where("doc_id = component_id").select("doc_id")
+        return docs.join(found.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, own.isNull().alias("none"), own.alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    # Numbers rise with the partitions of a sorted table; written, they are the same in every scan.
+    rows = rows.orderBy("none", "id", "hash").select("row", F.monotonically_increasing_id().alias("number"))
+    rows = scratch.table(rows, "numbered")
+    texts = rows.select("number", F.col("row")[text_col].alias("text"))
+    found = shingle_components(texts, "number").where("doc_id = component_id").select(F.col("doc_id").alias("number"))
+    return rows.join(found, "number", "left_semi").select("row.*")
