@@ -17,6 +17,7 @@ from ..operators import classify as C
 from ..operators import gate as G
 from ..operators import merge as M
 from ..operators import reconcile as R
+from ..operators import records as D
 from ..operators import rules as L
 from ..operators import segment as S
 from ..operators import template as T
@@ -56,6 +57,16 @@ def text_lane(df: DataFrame, options: Options, words=G.WORDS) -> DataFrame:
     return df.withColumns({"next": step, "markdown": F.coalesce("markdown", C.markdown(F.col("lines"), F.col("tables")))})
 
 
+def segment_children(laned: DataFrame) -> DataFrame:
+    """Documents for the text lane from those of several invoice segments: one for each, of its pages alone. Its id is
+    the hash of parent and pages."""
+    many = laned.where("next = 'segmented'")
+    rows = D.children(many).join(many.select(F.col("doc_id").alias("parent_id"), "lines", "tables"), "parent_id")
+    pages = F.col("pages")
+    sliced = S.slice_lines(F.col("lines"), pages).alias("lines"), S.slice_tables(F.col("tables"), pages).alias("tables")
+    return rows.select(F.col("content_hash").alias("doc_id"), "parent_id", F.size(pages).alias("page_count"), *sliced, F.lit(None).cast("string").alias("markdown"))
+
+
 def _candidate(**values: Column) -> Column:
     return F.struct(*[(values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct_type(INVOICE).fields]).cast(INVOICE)
 
@@ -175,18 +186,24 @@ class Result:
 
 def run_batch(docs: DataFrame, templates: DataFrame, options: Options | None = None, lexicon: L.Lexicon = L.DEFAULT, words=G.WORDS) -> Result:
     """Positioned documents of the text lane (doc_id, page_count, lines, tables, markdown) to statuses, and the
-    template table (template_id, ids, body, version, source) with what the batch taught."""
+    template table (template_id, ids, body, version, source) with what the batch taught. The invoices of a document of
+    several are documents of their own, with its id as ``parent_id``."""
     options = options or Options()
     laned = materialised(text_lane(docs, options, words), "laned")
+    if "parent_id" not in laned.columns:
+        laned = laned.withColumn("parent_id", F.lit(None).cast("string"))
+    if not laned.where("next = 'segmented'").isEmpty():
+        own = materialised(text_lane(segment_children(laned), options, words), "children")
+        laned = laned.unionByName(own, allowMissingColumns=True)
     known = templates.withColumn("template", F.col("body"))
     out = materialised(extract(laned.where("next = 'extract'"), known, lexicon), "extracted")
     solved = R.reconcile(out.select("doc_id", "invoice", "field_meta"), options.reconcile)
     solved = solved.select("doc_id", "status", F.col("invoice").alias("canonical"), "repairs", "violations", "total_failure")
     by = F.when(F.exists(F.map_values("field_meta"), lambda m: m["source"] == "template"), "template").otherwise("rules")
-    joined = out.select("doc_id", "lines", "tables", "page_count", "markdown", F.col("class.band").alias("band"), by.alias("by")).join(solved, "doc_id")
+    joined = out.select("doc_id", "parent_id", "lines", "tables", "page_count", "markdown", F.col("class.band").alias("band"), by.alias("by")).join(solved, "doc_id")
     done = materialised(decide(joined.withColumn("vlm_attempted", F.lit(False)), options), "decided")
     taught = materialised(induce(done.where("next = 'committed'"), options), "induced")
-    columns = ("doc_id", "canonical", "repairs", "violations", "markdown")
-    rest = laned.where("next <> 'extract'").select("doc_id", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns[1:4]], "markdown", F.col("next").alias("status"))
+    columns = ("doc_id", "parent_id", "canonical", "repairs", "violations", "markdown")
+    rest = laned.where("next <> 'extract'").select("doc_id", "parent_id", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns[2:5]], "markdown", F.col("next").alias("status"))
     documents = done.select(*columns, F.col("next").alias("status")).unionByName(rest)
     return Result(documents, V.upsert(templates, taught))

@@ -67,3 +67,18 @@ def test_stream(spark, tmp_path):
     streaming.start(stream, str(tmp_path / "out")).awaitTermination(300)
     assert [r.status for r in spark.read.parquet(str(tmp_path / "out/documents/v=0")).collect()] == ["committed"]
     assert streaming.templates_before(spark, str(tmp_path / "out"), 1).count() == 1
+
+
+def test_invoices_of_one_document_are_each_extracted(spark):
+    lines, tables = scenario()
+    second = [x | {"text": x["text"].replace("0042", "0077"), "page": 2} for x in lines]
+    df = document(spark, lines + second, tables * 2, doc_id="two")
+    at = F.transform("tables", lambda t, i: t.withField("page", (i + 1).cast("int")))
+    docs = df.withColumns({"tables": at, "page_count": F.lit(2)}).unionByName(document(spark, lines, tables, doc_id="a"))
+    rows = pipeline.run_batch(docs, spark.createDataFrame([], streaming.TEMPLATES)).documents.collect()
+    assert {r.doc_id: (r.status, r.parent_id) for r in rows if r.parent_id is None} == {"two": ("segmented", None), "a": ("committed", None)}
+    parts = {r.canonical.invoice_number: r for r in rows if r.parent_id == "two"}
+    assert len(rows) == 4 and sorted(parts) == ["R-2026-0042", "R-2026-0077"]
+    for r in parts.values():
+        assert r.status == "committed" and r.canonical.totals.gross == "1366.95"
+        assert [x.description for x in r.canonical.line_items] == ["Aktenvernichter mit Korb", "Toner", "Papier"]
