@@ -6,12 +6,15 @@ repeated, for n of 2, 4, 8 and so on. Each indicator is scaled by its log-count
 folds turns margins into scores, with the classes in the proportion of all labels that may be learnt from.
 
 The model is fitted on the driver from a bounded sample: of each class, the ``PER_CLASS`` labelled rows whose ids have
-the least hashes, read whole, as long as they have ``MOST_FEATURES`` features in all. The model is ``1 << BITS``
-weights. Every text is scored whole.
+the least hashes, and of these, in the same order and each class for itself, as many as have ``PER_CLASS_FEATURES``
+features in all, the first whatever its size; all are read whole. Both bounds are parameters of ``fit``, and neither
+rests on the files' layout. The model is ``1 << BITS`` weights. Every text is scored whole.
 
 Defined cases: a null or empty text has no features, and its margin is the bias alone; without labels of both classes
 every score is the share of label 1 among the labels that there are, or 0.5 without any; repeated labels count each;
-null labels do not count; an empty table gives an empty result.
+null labels do not count; rows that repeat a doc_id are scored each; very long texts pass in slices, so that a worker
+holds a few bytes for each of their words; ties of score are equal; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import scratch, wordhash
 
 BITS = 18
 SAME = 16
 PER_CLASS = 3000
-MOST_FEATURES = 24_000_000
+PER_CLASS_FEATURES = 12_000_000
 SMOOTH = 1.0
 COST = 1.0
 EPOCHS = 20
@@ -47,18 +50,51 @@ class Model:
     shift: float
 
 
+_MASK = np.uint64((1 << BITS) - 1)
+
+
+def _words(h: np.ndarray) -> np.ndarray:
+    return np.maximum((h & _MASK).astype(np.int32), SAME)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _words(wordhash.mix(h[:-1] * wordhash.GOLDEN + h[1:]))
+
+
+def _triples(data: np.ndarray) -> np.ndarray:
+    d = data.astype(np.uint32)
+    return np.maximum(((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32), SAME)
+
+
+def _repeats(most: int) -> np.ndarray:
+    """Features of a word that stands ``most`` times in a row, at most."""
+    return np.arange(1, min(int(most).bit_length(), SAME), dtype=np.int32)
+
+
+def _of_long(data: np.ndarray) -> np.ndarray:
+    """The features of one long text, marked slice by slice."""
+    h = wordhash.words(data, np.array([0, len(data)]), lower=False)[0]
+    marked = np.zeros(1 << BITS, bool)
+    step = wordhash.SLICE
+    for s in range(0, len(h), step):
+        marked[_words(h[s : s + step])] = True
+        marked[_pairs(h[s : s + step + 1])] = True
+    for s in range(0, len(data) - 2, step):
+        marked[_triples(data[s : s + step + 2])] = True
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    marked[_repeats(np.diff(np.r_[new, len(h)]).max(initial=1))] = True
+    return np.flatnonzero(marked).astype(np.int32)
+
+
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Each text's row and its sorted distinct features."""
-    mask = np.uint64((1 << BITS) - 1)
     for a, b, data, offsets in wordhash.chunks(texts):
+        if b - a == 1 and len(data) > wordhash.CHUNK:
+            yield a, _of_long(data)
+            continue
         h, first, _, _ = wordhash.words(data, offsets, lower=False)
-        with np.errstate(over="ignore"):
-            one = (h & mask).astype(np.int32)
-            two = (wordhash.mix(h[:-1] * wordhash.GOLDEN + h[1:]) & mask).astype(np.int32) if len(h) > 1 else np.empty(0, np.int32)
-            d = data.astype(np.uint32)
-            three = ((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32) if len(d) > 2 else np.empty(0, np.int32)
-        for x in (one, two, three):
-            np.maximum(x, SAME, out=x)
+        one, two, three = _words(h), _pairs(h), _triples(data)
         # How many of a word's repeats stand in a row: 1 for a run's first word, which no other feature is.
         again = np.zeros(len(h), bool)
         again[1:] = h[1:] == h[:-1]
@@ -68,9 +104,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(b - a):
             w, e = first[i], first[i + 1]
             s, t = offsets[i], offsets[i + 1]
-            most = int(run[w:e].max(initial=1))
-            same = np.arange(1, min(most.bit_length(), SAME), dtype=np.int32)
-            yield a + i, np.unique(np.concatenate([same, one[w:e], two[w : max(w, e - 1)], three[s : max(s, t - 2)]]))
+            yield a + i, np.unique(np.concatenate([_repeats(run[w:e].max(initial=1)), one[w:e], two[w : max(w, e - 1)], three[s : max(s, t - 2)]]))
 
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -143,17 +177,26 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    """doc_id and label, with each text's features as 32-bit integers."""
+    """label, the hash of the id and each text's features as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.tobytes() for _, r in features(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "row"])
-
-    return docs.select("label", "text").mapInArrow(run, "label int, row binary")
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn: Column | None = None, per_class: int = PER_CLASS) -> Model:
+            rows = [r.tobytes() for _, r in features(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["label", "by", "row"])
+
+    return docs.select("label", "by", "text").mapInArrow(run, "label int, by long, row binary")
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    may_learn: Column | None = None,
+    per_class: int = PER_CLASS,
+    per_class_features: int = PER_CLASS_FEATURES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Model:
     """A model of ``labels[label]`` (0 or 1). ``may_learn``: a condition on ``labels``."""
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     own = (own if may_learn is None else own.where(may_learn)).select("doc_id", F.col(label).cast("int").alias("label"))
@@ -161,15 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn: C
     share = counts.get(1, 0) / (sum(counts.values()) or 1) if counts else 0.5
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     sample = own.where("label = 1").orderBy(*by_hash).limit(per_class).unionAll(own.where("label = 0").orderBy(*by_hash).limit(per_class))
+    sample = sample.withColumn("by", F.xxhash64("doc_id"))
     # At most two times per_class ids: a fixed bound.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows, y, held = [], [], 0
-    for r in _featured(chosen).toLocalIterator():
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = scratch.table(_featured(texts.join(F.broadcast(sample), "doc_id")).withColumn("n", F.length("row") / 4), "features")
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("by", "row")) - F.col("n")
+    held = chosen.withColumn("before", upto).where(F.col("before") <= per_class_features).select("label", "row")
+    rows, y = [], []
+    for r in held.toLocalIterator():
         rows.append(np.frombuffer(r.row, np.int32))
         y.append(1 if r.label else -1)
-        held += len(rows[-1])
-        if held > MOST_FEATURES:
-            break
     signs = np.array(y)
     if not len(rows) or not (signs > 0).any() or not (signs < 0).any():
         odds = np.clip(share, 1e-6, 1 - 1e-6)
@@ -191,7 +235,7 @@ def _scorer(model: Model):
     return scores
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` for every row of ``docs``: the chance of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -200,7 +244,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -208,10 +253,10 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def drop_low(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def drop_low(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score below ``least``, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(shared.value)
