@@ -1,8 +1,8 @@
 """Packing documents into sequences by shortest-pack-first over the histogram of lengths.
 
-1. *Pieces.* A document is its ids and the end id; it is cut into blocks of the full length and a rest. Ids come from
-   the tokenizer word by word, through a cache by 64-bit hash: its normaliser and its splitting never look across
-   white space.
+1. *Pieces.* A document is its ids and the end id; it is cut into blocks of the full length and a rest. Where the
+   tokenizer's normaliser and splitting never look across white space, which its file says, ids come word by word
+   through a bounded cache; any other tokenizer reads whole texts.
 2. *Histogram.* Pieces are counted by length; there are at most as many lengths as a sequence has tokens, so the
    counts, and all that follows from them on the driver, have a fixed bound whatever the number of documents.
 3. *Patterns.* Lengths are placed longest first, each into the packs with the most room, all packs of one pattern at
@@ -13,13 +13,15 @@
 
 Most packs are full, as short pieces come last and fill what longer ones leave: at 10,000 documents padding is 0.03 %.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are pieces of their own; an empty table gives
-an empty result; other columns are not read.
+Defined cases: a null or empty text is the end id alone; repeated rows are pieces of their own, and so are rows of null
+ids, which stay null; of a very long text a worker holds its ids and some bytes a word; pieces of one length are alike
+and rank by partition and order; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -36,10 +38,22 @@ from . import scratch, wordhash
 
 LENGTH = 4096
 END = 2
-MOST_WORDS = 1_500_000
-MOST_PARTS = 250_000
+MOST_WORDS = 400_000
+MOST_PARTS = 100_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _MADE: dict[str, Encoder] = {}
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: The normaliser and the splitting of a file that never looks across white space.
+_SPLITTING = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 #: Words of these signs are split here just as the tokenizer's own expression splits them, after its lower-casing.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -91,22 +105,36 @@ class Table:
 
 
 class Encoder:
-    """Ids of texts, by a cache from words' hashes; a word's ids are ``flat[first[number] : first[number + 1]]``."""
+    """Ids of texts. Where the file splits as ``_SPLITTING`` says, words are looked up in a cache by hash, and then
+    compared: by their length and first and last eight bytes, which is all of most words, and a longer one whole. Any
+    other tokenizer gets whole texts. A word's ids are ``flat[first[number] : first[number + 1]]``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        own = made.get("normalizer"), made.get("pre_tokenizer")
+        plain = all(re.fullmatch(r"<\|[a-z]+\|>", t["content"]) for t in made.get("added_tokens") or [])
+        self.by_word = own == _SPLITTING and plain and not made.get("truncation") and not made.get("padding")
+        del made
         self.table, self.parts = Table(), {}
-        self.flat, self.first, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table.clear()
+        self.flat, self.first, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
+        self.looks = np.zeros((1 << 15, 3), np.uint64)
+        self.long: dict[int, bytes] = {}
 
     def _split(self, word: bytes) -> list[str]:
         """Parts that the tokenizer splits a word of plain letters, digits and signs into; any other word whole."""
         text = word.decode()
         return _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _ids(self, words: list[bytes]) -> list[tuple[int, ...]]:
         split = [self._split(w) for w in words]
         if len(self.parts) > MOST_PARTS:
             self.parts.clear()
@@ -115,41 +143,77 @@ class Encoder:
         for a in range(0, len(fresh), 4096):
             found = self.tokenizer.encode_batch_fast(fresh[a : a + 4096], add_special_tokens=False)
             known.update(zip(fresh[a : a + 4096], (tuple(e.ids) for e in found), strict=True))
-        own = [known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p]) for parts in split]
+        return [known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p]) for parts in split]
+
+    def _learn(self, words: list[bytes], looks: np.ndarray) -> None:
+        own = self._ids(words)
         counts = np.fromiter(map(len, own), np.int64, len(own))
         ids = np.fromiter(chain.from_iterable(own), np.uint32, counts.sum())
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
         n = self.table.size
-        while n + len(own) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, self.first])
+        if n + len(own) + 1 > len(self.first):
+            more = max(len(self.first), len(own) + 1)
+            self.first = np.concatenate([self.first, np.zeros(more, np.int64)])
+            self.looks = np.concatenate([self.looks, np.zeros((more, 3), np.uint64)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.first[n + 1 : n + len(own) + 1] = self.used + np.cumsum(counts)
+        self.looks[n : n + len(own)] = looks
+        self.long.update((n + i, w) for i, w in enumerate(words) if len(w) > 16)
         self.used += len(ids)
 
+    def _slice(self, data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words between these positions, and how many each has."""
+        if self.table.size > MOST_WORDS:
+            self._forget()
+        first = int(starts[0])
+        raw = data[first : ends[-1]].tobytes() + bytes(8)
+        at, size = starts - first, ends - starts
+        eights = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw, strides=(1,))
+        looks = np.empty((len(h), 3), np.uint64)
+        looks[:, 0] = size
+        looks[:, 1] = eights[at] & _MASKS[np.minimum(size, 8)]
+        looks[:, 2] = np.where(size > 8, eights[at + np.maximum(size - 8, 0)], 0)
+        number = self.table.find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            keys, where = np.unique(h[new], return_index=True)
+            new_at = new[where]
+            self._learn([raw[at[i] : at[i] + size[i]] for i in new_at], looks[new_at])
+            self.table.add(keys)
+            number[new] = self.table.find(h[new])
+        other = (self.looks[number] != looks).any(1)
+        for i in np.flatnonzero(size > 16):
+            other[i] |= self.long.get(int(number[i])) != raw[at[i] : at[i] + size[i]]
+        begin = self.first[number]
+        count = self.first[number + 1] - begin
+        if not other.any():
+            upto = np.cumsum(count) - count
+            return self.flat[np.repeat(begin - upto, count) + np.arange(count.sum())], count
+        ids = [self.flat[b : b + n] for b, n in zip(begin, count, strict=True)]  # two words of one hash
+        for i in np.flatnonzero(other):
+            ids[i] = np.array(self._ids([raw[at[i] : at[i] + size[i]]])[0], np.uint32)
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """Each text's row and its ids with the end id."""
+        end = np.array([END], "<u4")
+        if not self.by_word:
+            for a in range(0, len(texts), 256):
+                found = self.tokenizer.encode_batch_fast([t or "" for t in texts[a : a + 256].to_pylist()], add_special_tokens=False)
+                for i, e in enumerate(found, a):
+                    yield i, np.append(np.array(e.ids, "<u4"), end)
+            return
         for a, b, data, offsets in wordhash.chunks(texts):
             h, first, starts, ends = wordhash.words(data, offsets, lower=False)
             h = np.maximum(h, np.uint64(1))
-            if self.table.size > MOST_WORDS:
-                self.table.clear()
-                self.used = 0
-            number = self.table.find(h)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                keys, at = np.unique(h[new], return_index=True)
-                raw = data.tobytes()
-                self._learn([raw[starts[i] : ends[i]] for i in new[at]])
-                self.table.add(keys)
-                number[new] = self.table.find(h[new])
-            begin = self.first[number]
-            count = self.first[number + 1] - begin
+            step = wordhash.SLICE
+            parts = [self._slice(data, h[w : w + step], starts[w : w + step], ends[w : w + step]) for w in range(0, len(h), step)]
+            ids, count = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint32) for k in (0, 1))
             upto = np.zeros(len(h) + 1, np.int64)
             np.cumsum(count, out=upto[1:])
-            ids = self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
             for i in range(b - a):
-                yield a + i, np.append(ids[upto[first[i]] : upto[first[i + 1]]], np.uint32(END)).astype("<u4", copy=False)
+                yield a + i, np.append(ids[upto[first[i]] : upto[first[i + 1]]], end).astype("<u4", copy=False)
 
 
 def encoder(path: str) -> Encoder:
