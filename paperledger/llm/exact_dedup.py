@@ -6,11 +6,13 @@ Copies meet in three stages, each comparing the whole normalised text beside its
 2. *salted*: a digest group is dealt over ``salts`` tasks by the partition its rows come from;
 3. *global*: at most ``salts`` winners of a group meet.
 
-A group that holds a third of all rows therefore costs each task no more than one row per input partition.
+A group that holds a third of all rows therefore costs each task no more than one row per input partition. The way back
+is as safe: the verdict of a group goes to each salt of its documents' ids, and rows join it by digest and salt.
 
 Defined cases: a null text counts as empty; all empty texts form one group; rows that repeat a ``doc_id`` with an
-equal text are one document; a null ``doc_id`` loses to any other, and a group of null ids alone keeps them as one.
-Columns of the input other than the id and the text are neither read nor in the way, whatever their names.
+equal text are one document, and all of them are ``kept`` where it is; a null ``doc_id`` loses to any other, and a group
+of null ids alone keeps them as one; a very long text goes whole through every stage, one row at a time; an empty table
+gives an empty result. Columns of the input other than the id and the text are neither read nor in the way, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -33,17 +37,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row per distinct normalised text: digest, check, keep_id, group_size. Repeated rows count each."""
-    salted = _keyed(docs, id_col, text_col).withColumn("salt", F.spark_partition_id() % salts)
-    parts = salted.groupBy("digest", "check", "norm", "salt").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    whole = parts.groupBy("digest", "check", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return whole.select("digest", "check", "keep_id", "group_size")
+    """One row per distinct normalised text: digest, check, keep_id, group_size, and the salts of its ids. Repeated rows
+    count each."""
+    salted = _keyed(docs, id_col, text_col).withColumns({"part": F.spark_partition_id() % salts, "salt": scratch.salt("doc_id")})
+    parts = salted.groupBy("digest", "check", "norm", "part").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), scratch.salts(F.col("salt")))
+    whole = parts.groupBy("digest", "check", "norm").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or("salts").alias("salts"))
+    return whole.select("digest", "check", "keep_id", "group_size", "salts")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """Every document's verdict: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = _keyed(docs, id_col, text_col).select("doc_id", "digest", "check")
-    return rows.join(winners(docs, id_col, text_col, salts), ["digest", "check"]).select(
+    rows = _keyed(docs, id_col, text_col).select("doc_id", "digest", "check", scratch.salt("doc_id").alias("salt"))
+    verdicts = winners(docs, id_col, text_col, salts).select("digest", "check", "keep_id", "group_size", scratch.each_salt())
+    return rows.join(verdicts, ["digest", "check", "salt"]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -7,7 +7,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SALTS = 60
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,3 +35,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(made: DataFrame) -> None:
+    """Delete the files of a table made here that nothing reads any more."""
+    for file in {f.rpartition("/")[0] for f in made.inputFiles()}:
+        there = made.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        there.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def salt(*by: str) -> Column:
+    """Deals rows of one join key over ``SALTS`` tasks, by columns that differ between them."""
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def salts(own: Column) -> Column:
+    """An aggregate: which salts a key's rows have, as bits. A key of one row has one."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), own)).alias("salts")
+
+
+def each_salt() -> Column:
+    """One row for each of ``salts``, as ``salt``: what a hot key's rows join, each salt by itself."""
+    one = F.lit(1).cast("long")
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.expr("salts").bitwiseAND(F.call_function("shiftleft", one, s)) != 0)).alias("salt")
