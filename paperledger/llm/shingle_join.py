@@ -5,18 +5,22 @@
 2. *Buckets.* Linked sets share a token among the first |A| - ceil(0.8 |A|) + 1 of each, in any one order of tokens.
    The order is by hash, but with the most frequent tokens last; these, ``HOT`` at most, are found from counts over
    all documents. Only the order rests on them, never a result. Classes that share a prefix token form a bucket; equal
-   buckets count once. A token that is expected in over ``SPLIT`` classes is dealt by pairs of blocks.
+   buckets count once. A token that is expected in over ``SPLIT`` classes is dealt by pairs of blocks where its classes
+   are posted; a bucket that turns out larger, after the shuffle.
 3. *Candidates.* Each bucket's classes form signature trees, one for each width of bitmap; the dual traversal leaves
    the pairs whose overlap may suffice, and a spanning forest of these goes on. Its components hold every link within.
 4. *Links.* The token sets of such classes come together by component, a large one by pairs of blocks. Trees again give
    the candidates, and each candidate that no earlier link has joined is compared exactly. A spanning forest of the
    links remains; its components are the result.
 
-No task holds more than a bucket's or a block pair's members, and none emits more than a forest of these.
+No task holds more than a block pair's members, or 16 bytes for each class of a bucket of no frequent token, and none
+emits more than a forest of these. A component of k blocks is sent k times: what candidates chain together costs its
+square over the block's size.
 
 Defined cases: null and white texts have no shingles and link with nothing; a text of fewer than five words has its
-whole sequence as the one shingle; ties are links; rows that repeat a doc_id each get a row; an empty table gives an
-empty result; other columns are not read. Tokens are 64-bit hashes: two shingles of one pair of documents share one
+whole sequence as the one shingle; ties are links; where ids are null or repeat, each row counts as a document of its
+own, with a row and links of its own, and a component of null ids alone has a null component_id; of a very long text a
+worker holds some bytes for each word; an empty table gives an empty result; other columns are not read. Tokens are 64-bit hashes: two shingles of one pair of documents share one
 with a chance below 1e-12.
 """
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, signature_tree, wordhash
@@ -34,9 +38,10 @@ from .components import components
 
 N = 5
 HOT = 1 << 16
-OFTEN = 8
+OFTEN = 4
 WINDOW = 4_000_000
 SPLIT = 8192
+SEEN = 1_000_000
 BLOCK_TOKENS = 4_000_000
 _SETS = "doc_id long, n int, h1 long, h2 long, bits binary, token long, df long"
 
@@ -159,11 +164,23 @@ def _post(shared):
     return run
 
 
+def _split(name: int, size: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (bucket, cls) of some classes of a bucket of ``size`` by pairs of blocks: a block meets every block, itself
+    too."""
+    k = -(-size // SPLIT)
+    own = (wordhash.mix(cls.view(np.uint64)) % np.uint64(k)).astype(np.int64)
+    other = np.arange(k)
+    low, high = np.minimum(own[:, None], other).ravel(), np.maximum(own[:, None], other).ravel()
+    with np.errstate(over="ignore"):
+        task = wordhash.mix(np.uint64(name & (1 << 64) - 1) + (1 + low * k + high).astype(np.uint64) * wordhash.GOLDEN)
+    return task.view(np.int64), np.repeat(cls, k)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and class to rows (bucket, cls) of buckets with two classes or more; of equal buckets in this
-    partition, one."""
+    """Rows sorted by key and class to rows (bucket, cls) of buckets with two classes or more; of equal buckets that lie
+    near to each other in this partition, one."""
     seen: set[int] = set()
-    rest = (np.empty(0, np.int64), np.empty(0, np.int64))
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
 
     def found(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -180,20 +197,35 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once[first] = True
         keep &= once
         keep &= np.fromiter((int(x) not in seen for x in name), bool, len(name)) if keep.any() else False
+        if len(seen) > SEEN:
+            seen.clear()
         seen.update(name[keep].tolist())
-        rows = np.repeat(keep, sizes)
+        large = keep & (sizes > SPLIT)
+        rows = np.repeat(keep & ~large, sizes)
         if rows.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[rows]), pa.array(cls[rows])], ["bucket", "cls"])
+        for i in np.flatnonzero(large):
+            own = cls[at[i] : at[i] + sizes[i]]
+            step = max(1, WINDOW // 4 // -(-len(own) // SPLIT))
+            for a in range(0, len(own), step):
+                task, part = _split(int(name[i]), len(own), own[a : a + step])
+                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(part)], ["bucket", "cls"])
 
     for batch in batches:
-        key = np.r_[rest[0], batch.column(0).to_numpy()]
-        cls = np.r_[rest[1], batch.column(1).to_numpy()]
+        key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1]))
-        yield from found(key[:cut], cls[:cut])
-        rest = key[cut:], cls[cut:]
-    yield from found(*rest)
+        if cut:
+            parts = [*rest, (key[:cut], cls[:cut])]
+            yield from found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            rest = []
+        elif rest and rest[0][0][0] != key[0]:
+            yield from found(*(np.concatenate(x) for x in zip(*rest, strict=True)))
+            rest = []
+        rest.append((key[cut:], cls[cut:]))
+    if rest:
+        yield from found(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -302,11 +334,35 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(ids, labels)
 
 
+def _odd(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are null or repeat."""
+    return not docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``docs`` as doc_id, text, ``more`` and a number, by id, nulls last, then by the text's hash. Numbers rise with the
+    partitions of a sorted table; written, they are the same in every scan."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
+    rows = rows.orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    return scratch.table(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+
+
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_id, the least doc_id with the same set (null
     for documents without shingles)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    if not _odd(docs, id_col):
+        return _components(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    rows = _numbered(docs, id_col, text_col)
+    found = _components(rows.select(F.col("number").alias("doc_id"), "text"))
+    ids = rows.select("number", "doc_id")
+    for c in ("doc_id", "component_id", "class_id"):
+        found = found.withColumnRenamed(c, "of").join(ids.select(F.col("number").alias("of"), F.col("doc_id").alias(c)), "of", "left").drop("of")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """The same, of rows (doc_id, text) whose ids are unique and not null."""
+    spark = rows.sparkSession
     described = scratch.table(rows.mapInArrow(_describe, _SETS), "sets")
     own = described.where("n IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     counts = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df"))
@@ -316,7 +372,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[by], df[by], -(-df[by] // SPLIT)))
 
-    classes = own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
+    salt = scratch.salt("doc_id")
+    classes = own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), scratch.salts(salt))
     classes = scratch.table(classes, "classes")
     posts = rows.select("text").mapInArrow(_post(shared), "key long, cls long")
     buckets = posts.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "bucket long, cls long").distinct()
@@ -327,14 +384,15 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     placed = groups.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    
     tasks = rows.join(placed, "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(_blocks, "task long, rep long, n int, tokens binary")
     links = tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_link, "a long, b long")
     found = scratch.table(components(links), "links")
 
-    named = own.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
-    named = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return named.select(
+    # A class that a third of all documents share is dealt over the salts that its rows have.
+    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = named.select("h1", "h2", "n", "rep", "component", scratch.each_salt())
+    joined = own.select("doc_id", "n", "h1", "h2", salt.alias("salt")).join(named, ["h1", "h2", "n", "salt"], "left")
+    return joined.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
@@ -346,16 +404,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document, that of least id, of each component; documents without shingles stay. Where ids are
     null or repeat, each row counts as a document of its own: a null id loses to any other, and of equal ids the row
     whose text has the least hash is kept."""
-    own = F.col(f"`{id_col}`")
-    odd = docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1")
-    if odd.isEmpty():
-        found = shingle_components(docs, id_col, text_col).where("doc_id = component_id").select("doc_id")
+    if not _odd(docs, id_col):
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+        found = _components(rows).where("doc_id = component_id").select("doc_id")
         return docs.join(found.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, own.isNull().alias("none"), own.alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
-    # Numbers rise with the partitions of a sorted table; written, they are the same in every scan.
-    rows = rows.orderBy("none", "id", "hash").select("row", F.monotonically_increasing_id().alias("number"))
-    rows = scratch.table(rows, "numbered")
-    texts = rows.select("number", F.col("row")[text_col].alias("text"))
-    found = shingle_components(texts, "number").where("doc_id = component_id").select(F.col("doc_id").alias("number"))
-    return rows.join(found, "number", "left_semi").select("row.*")
+    whole = _numbered(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = _components(whole.select(F.col("number").alias("doc_id"), "text")).where("doc_id = component_id")
+    return whole.select("number", "row").join(found.select(F.col("doc_id").alias("number")), "number", "left_semi").select("row.*")
