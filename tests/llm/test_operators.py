@@ -119,7 +119,9 @@ def test_signature_tree_loses_no_pair():
     assert linked and linked <= found and len(found) < len(sets) ** 2 / 4
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(30)] + [(7, 7)]
     of = {x: x for e in edges for x in e}
