@@ -8,23 +8,28 @@
 3. *Expectation-maximisation* over the counts of kinds and votes estimates each labeler's reliability and the chance
    of every pattern of votes to be personal data. There are at most 3 ** labelers patterns for each kind, so these
    counts have a fixed bound whatever the number of documents, and the driver computes on them.
-4. *Span classifier.* A logistic model over kind, votes and length is trained on these chances; it decides on the
-   weaker kinds' candidates, within their rows. Base spans stay.
+4. *Span classifier.* It sees a span and its context, not the votes: the kind, the length, the shape, the words before
+   and after and the signs around, each hashed to one of ``FEATURES`` numbers. Trained on the estimated chances of all
+   candidates, it is a naive Bayes model with soft labels, whose counts come from one aggregation of bounded size. It
+   decides on the weaker kinds' candidates, within their rows. Base spans stay.
 
 A document's candidates are found once and kept in the shared folder, without its text; nothing is shuffled but the
-counts of patterns. Positions are code points, ends exclusive: they follow from the lengths of what an expression
-matches and of what lies between the matches.
-
-Defined cases: null is empty; an empty text has no spans; repeated rows get a row each; without any candidate the model
-accepts none; other columns are not read. The expressions never give back what they took, so that long runs of digits
-or letters cost time in proportion.
+counts. Positions are code points, ends exclusive: they follow from the lengths of what an expression matches and of
+what lies between the matches, summed by blocks of ``STEP`` matches.
+
+Defined cases: null is empty; an empty text has no spans; repeated rows get a row each; null ids stay null; spans of
+different base kinds may overlap, and each stays; without any candidate the model accepts none; an empty table gives an
+empty result; other columns are not read. A very long text is split once for each expression; the expressions never
+give back what they took, so that long runs of digits or letters cost time in proportion, and so do many matches but
+for one addition in ``STEP`` of their square.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -78,25 +83,59 @@ WORDS_FOR = {
 WORDS_AGAINST = r"(?i)\b(version|release|isbn|order|invoice|figure|page|part|serial|sku|commit|ticket)\b\W*$"
 PLACEHOLDER = r"(?i)^(.)\1+$|^0+$|123-?45-?6789|(?:example|test|foo)@|^(?:name|user|someone)\b|x{3,}"
 LABELERS = ("strict", "gazetteer", "before", "around", "placeholder")
+GROUPS = ("length", "shape", "last", "second", "next", "signs")
 CONTEXT = 40
 EM_ROUNDS = 60
-SPAN = "struct<start:bigint,end:bigint,found:string>"
+STEP = 64
+FEATURES = 1 << 14
+#: Values that a feature of a group may take, about: the spread of its smoothing.
+SPREAD = 512
+SMOOTH = 0.5
+SPAN = "struct<start:bigint,end:bigint,found:string,before:string,after:string>"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """start, end and text of each match, leftmost and without overlap."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).cast("long").alias("gap"), m.alias("found")))
-    none = F.array().cast(f"array<{SPAN}>")
+    """start, end and text of each match, leftmost and without overlap, and ``CONTEXT`` signs before and after it at
+    most: what lies between it and the next match, and of that match. The text is split once."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+
+    def sized(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda m, i: (F.length(m) + F.length(F.get(x["between"], i))).cast("long"))
+        return F.struct(x["found"].alias("found"), x["between"].alias("between"), steps.alias("steps"))
+
+    def blocked(x: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x["steps"]) - 1) / STEP).cast("int"))
+        sums = F.transform(blocks, lambda k: _sum(F.slice(x["steps"], k * STEP + 1, F.lit(STEP))))
+        return F.struct(x["found"].alias("found"), x["between"].alias("between"), x["steps"].alias("steps"), sums.alias("sums"))
 
-    def add(acc: Column, step: Column) -> Column:
-        start = acc["at"] + step["gap"]
-        end = start + F.length(step["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), step["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def begun(x: Column) -> Column:
+        begins = F.transform(x["sums"], lambda _, k: _sum(F.slice(x["sums"], F.lit(1), k)))
+        return F.struct(x["found"].alias("found"), x["between"].alias("between"), x["steps"].alias("steps"), begins.alias("begins"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add)["out"]
+    def spans(x: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            block = F.floor(i / STEP).cast("int")
+            end = F.get(x["begins"], block) + _sum(F.slice(x["steps"], block * STEP + 1, i - block * STEP + 1))
+            before = F.right(F.concat(F.coalesce(F.get(x["found"], i - 1), F.lit("")), F.get(x["between"], i)), F.lit(CONTEXT))
+            after = F.left(F.concat(F.get(x["between"], i + 1), F.coalesce(F.get(x["found"], i + 1), F.lit(""))), F.lit(CONTEXT))
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("found"), before.alias("before"), after.alias("after"))
+
+        return F.transform(x["found"], one)
+
+    def placed(x: Column) -> Column:
+        return _bound(_bound(_bound(x, sized), blocked), lambda y: _bound(begun(y), spans))
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return _bound(parts, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))
 
 
 def _digits(found: Column) -> Column:
@@ -138,10 +177,14 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _votes(kind: str, span: Column, text: Column) -> list[Column]:
-    found = span["found"]
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(CONTEXT)).cast("int"))
-    near = F.concat(F.when(span["start"] > 0, F.substring(text, span["start"].cast("int"), F.lit(1))).otherwise(F.lit(" ")), F.substring(text, span["end"].cast("int") + 1, F.lit(1)))
+def _near(span: Column) -> Column:
+    """The signs on both sides."""
+    return F.concat(F.right(span["before"], F.lit(1)), F.left(span["after"], F.lit(1)))
+
+
+def _votes(kind: str, span: Column) -> list[Column]:
+    found, before = span["found"], span["before"]
+    near = _near(span)
     strict = _vote(F.lit(True)) if kind == "card" else _vote(mod_97(found)) if kind == "iban" else _vote(found.rlike(STRICT[kind]))
     known = found.rlike(GAZETTEER[kind])
     return [
@@ -153,25 +196,64 @@ def _votes(kind: str, span: Column, text: Column) -> list[Column]:
     ]
 
 
+def _shape(found: Column) -> Column:
+    """Signs with letters as a and digits as 9, runs of more than four as five."""
+    plain = F.regexp_replace(F.regexp_replace(found, r"\p{L}", "a"), "[0-9]", "9")
+    return F.regexp_replace(plain, r"(.)\1{4,}", "$1$1$1$1$1")
+
+
+def _features(kind: str, span: Column) -> Column:
+    """Numbers of the span's features, one for each of ``GROUPS``."""
+    values = {
+        "length": F.floor(F.log2(F.length(span["found"]) + F.lit(1)) * 2).cast("string"),
+        "shape": _shape(span["found"]),
+        "last": F.lower(F.regexp_extract(span["before"], r"(\p{L}+)\P{L}*$", 1)),
+        "second": F.lower(F.regexp_extract(span["before"], r"(\p{L}+)\P{L}+\p{L}+\P{L}*$", 1)),
+        "next": F.lower(F.regexp_extract(span["after"], r"^\P{L}*(\p{L}+)", 1)),
+        "signs": _shape(_near(span)),
+    }
+    return F.array(*[F.pmod(F.xxhash64(F.lit(f"{kind} {g}"), values[g]), F.lit(FEATURES)).cast("int") for g in GROUPS])
+
+
+def _apart(spans: Column, base: Column, length: Column) -> Column:
+    """Those spans that no base span overlaps. A text of many base spans is taken in a hundred stretches, so that a span
+    is held only against those that reach into its own two."""
+    def meets(s: Column, b: Column) -> Column:
+        return (b["start"] < s["end"]) & (s["start"] < b["end"])
+
+    def few(x: Column) -> Column:
+        return F.filter(x["spans"], lambda s: ~F.exists(x["base"], lambda b: meets(s, b)))
+
+    def many(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.filter(x["base"], lambda b: (b["start"] < (k + 1) * x["wide"]) & (b["end"] > k * x["wide"])))
+
+        def free(y: Column) -> Column:
+            def within(s: Column, at: Column) -> Column:
+                return F.exists(F.get(y["each"], F.floor(at / y["wide"]).cast("int")), lambda b: meets(s, b))
+
+            inner = lambda s: F.filter(y["base"], lambda b: meets(s, b))
+            return F.filter(y["spans"], lambda s: F.when(s["end"] - s["start"] > y["wide"], F.size(inner(s)) == 0).otherwise(~within(s, s["start"]) & ~within(s, s["end"] - 1)))
+
+        return _bound(F.struct(x["spans"].alias("spans"), x["base"].alias("base"), x["wide"].alias("wide"), each.alias("each")), free)
+
+    wide = F.floor(length / 100) + 1
+    return _bound(F.struct(spans.alias("spans"), base.alias("base"), wide.alias("wide")), lambda x: F.when((F.size(x["base"]) < 200) | (F.size(x["spans"]) < 200), few(x)).otherwise(many(x)))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans: kind, start, end, found, votes; base kinds first, in the order of KINDS, then by start."""
+    """doc_id and spans: kind, start, end, votes, features; base kinds first, in the order of KINDS, then by start."""
     text = F.col("text")
     t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     none = F.array().cast(f"array<{SPAN}>")
     may = {k: text.rlike(QUICK[k]) for k in QUICK} | {"email": F.instr(text, "@") > 0}
     t = t.withColumns({k: F.when(may[k], _checked(k, matches(text, PATTERNS[k]))).otherwise(none) for k in BASE})
     weak = text.rlike(QUICK_WEAK)
-    base = F.concat(*BASE)
-
-    def apart(s: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-
     t = t.withColumn("_weak", weak)
-    t = t.withColumns({k: F.when(F.col("_weak"), F.filter(matches(text, PATTERNS[k]), apart)).otherwise(none) for k in WEAK})
+    t = t.withColumns({k: F.when(F.col("_weak"), _apart(matches(text, PATTERNS[k]), F.concat(*BASE), F.length(text))).otherwise(none) for k in WEAK})
 
     def voted(kind: str) -> Column:
         def one(s: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), F.array(*_votes(kind, s, text)).alias("votes"))
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*_votes(kind, s)).alias("votes"), _features(kind, s).alias("features"))
 
         return F.transform(kind, one)
 
@@ -208,53 +290,62 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = EM_
     return prior, says, chance
 
 
-def _length_class(n: int) -> int:
-    return 0 if n < 12 else 1 if n < 20 else 2
+def chances(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[str, str], float]:
+    """The estimated chance of each kind and pattern of votes, the latter as a text."""
+    return {(k, _named(v)): c for (k, v, _), c in zip(counts, estimate(counts)[2], strict=True)}
 
 
-def train(rows: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 400, rate: float = 0.5) -> dict[str, float]:
-    """The span classifier's weights by feature, from (kind, votes, class of length, count): a logistic model of the
-    estimated chances, by batch gradient with a small penalty."""
-    by_votes: dict[tuple, int] = {}
-    for kind, votes, _, n in rows:
-        by_votes[kind, votes] = by_votes.get((kind, votes), 0) + n
-    patterns = [(k, v, n) for (k, v), n in sorted(by_votes.items())]
-    chances = dict(zip([(k, v) for k, v, _ in patterns], estimate(patterns)[2], strict=True))
-    examples = [(feature_names(k, v, c), chances[k, v], n) for k, v, c, n in sorted(rows)]
-    total = sum(n for _, _, n in examples) or 1
-    w = dict.fromkeys({f for names, _, _ in examples for f in names}, 0.0)
-    for _ in range(rounds):
-        slope = {f: 1e-4 * x for f, x in w.items()}
-        for names, target, n in examples:
-            gap = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[f] for f in names))))) - target) * n / total
-            for f in names:
-                slope[f] += gap
-        w = {f: x - rate * slope[f] for f, x in w.items()}
-    return w
+def _named(votes: tuple[int, ...]) -> str:
+    return ",".join(map(str, votes))
+
 
+def weights(sums: list[tuple[int, int, float, float]], totals: dict[str, tuple[float, float]]) -> tuple[list[float], dict[str, float]]:
+    """The span classifier: each feature's log odds, and each kind's. ``sums``: feature, number of the kind, and its
+    chances and those against summed; ``totals``: the same of each kind."""
+    out = [0.0] * FEATURES
+    for feature, kind, yes, no in sums:
+        all_yes, all_no = totals[KINDS[kind]]
+        out[feature] = math.log((yes + SMOOTH) / (all_yes + SMOOTH * SPREAD)) - math.log((no + SMOOTH) / (all_no + SMOOTH * SPREAD))
+    return out, {k: math.log((y + SMOOTH) / (n + SMOOTH)) for k, (y, n) in totals.items()}
 
-def feature_names(kind: str, votes: tuple[int, ...], length: int) -> list[str]:
-    return ["bias", f"kind {kind}", f"length {length}", *(f"{name} {v}" for name, v in zip(LABELERS, votes, strict=True))]
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    body = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = "array<struct<" + ",".join(":".join(x.split()) for x in schema.split(", ")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(body), kind)))
 
-def _margin(span: Column, w: dict[str, float]) -> Column:
-    def of(prefix: str, values: list, key: Column) -> Column:
-        return F.element_at(F.create_map(*[x for v in values for x in (F.lit(v), F.lit(w.get(f"{prefix} {v}", 0.0)))]), key)
 
-    n = F.length(span["found"])
-    parts = [of("kind", list(KINDS), span["kind"]), of("length", [0, 1, 2], F.when(n < 12, 0).when(n < 20, 1).otherwise(2))]
-    parts += [of(name, [-1, 0, 1], F.get(span["votes"], F.lit(i))) for i, name in enumerate(LABELERS)]
-    return sum(parts, F.lit(w.get("bias", -1.0)))
+def _trained(found: DataFrame) -> tuple[list[float], dict[str, float]]:
+    votes = F.concat_ws(",", F.transform("s.votes", lambda v: v.cast("string")))
+    each = found.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), votes.alias("votes"), F.col("s.features").alias("features"))
+    rows = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    counts = sorted((r.kind, tuple(map(int, r.votes.split(","))), r.n) for r in rows)
+    said = chances(counts)
+    totals = {k: (sum(said[k, _named(v)] * n for j, v, n in counts if j == k), sum((1 - said[k, _named(v)]) * n for j, v, n in counts if j == k)) for k in {k for k, _, _ in counts}}
+    if not counts:
+        return [0.0] * FEATURES, {}
+    table = _table(found.sparkSession, [(k, v, c) for (k, v), c in sorted(said.items())], "kind string, votes string, chance double")
+    # At most 3 ** 5 patterns of votes for each of eight kinds.
+    labelled = each.join(F.broadcast(table), ["kind", "votes"]).select("kind", "chance", F.explode("features").alias("feature"))
+    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1
+    sums = labelled.groupBy("feature").agg(F.max(number).alias("kind"), F.sum("chance").alias("yes"), F.sum(1 - F.col("chance")).alias("no"))
+    return weights(sorted((r.feature, int(r.kind), r.yes, r.no) for r in sums.collect()), totals)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and spans (kind, start, end), base kinds first in their order, then by start."""
     found = scratch.table(candidates(docs, id_col, text_col), "spans")
-    n = F.length("s.found")
-    each = found.select(F.explode("spans").alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), F.when(n < 12, 0).when(n < 20, 1).otherwise(2).alias("length"))
-    counts = [(r.kind, tuple(r.votes), r.length, r.n) for r in each.agg(F.count("*").alias("n")).collect()]
-    w = train(counts)
-    kept = F.filter("spans", lambda s: s["kind"].isin(*BASE) | (_margin(s, w) >= 0))
+    by_feature, by_kind = _trained(found)
+    own = F.from_json(F.lit(json.dumps([round(x, 9) for x in by_feature])), "array<double>")
+    prior = F.coalesce(F.from_json(F.lit(json.dumps(by_kind)), "map<string,double>"), F.create_map().cast("map<string,double>"))
+
+    def margin(s: Column) -> Column:
+        start = F.coalesce(F.element_at(prior, s["kind"]), F.lit(-1.0))
+        return F.round(F.aggregate(s["features"], start, lambda a, f: a + F.get(own, f)), 6)
+
+    kept = F.filter("spans", lambda s: s["kind"].isin(*BASE) | (margin(s) >= 0))
     return found.select("doc_id", F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
