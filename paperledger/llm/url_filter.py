@@ -2,26 +2,36 @@
 
 Every rule is a regular expression over ``host/path?query`` with literal tokens (runs of letters and digits) that any
 matching URL must contain as whole tokens. A rule is indexed under the one of them that the fewest rules hold, ties to
-the longer and then to the lesser. A URL's tokens fetch candidate rules from that index and only these run their
-expressions. Each URL is judged within its row: there is no shuffle and nothing to skew. The index is a constant of
-the plan; its size is that of the rule list, checked against ``MOST_RULES``.
+the longer and then to the lesser; a rule without any is indexed under the empty token, which every URL has. The index
+is a table of token and rule. Distinct addresses are taken apart into their distinct tokens, these join the index, and
+only the rules so fetched run their expressions: the work for a URL follows from its tokens, not from the number of
+rules. An index of up to ``MOST_BYTES`` is broadcast; a larger one is joined by token.
+
+Verdicts go back to the pages by address. An address that a third of all pages share is judged once, and its verdict is
+sent to each salt of the pages that have it.
 
 Host rules (a host with its subdomains, and the start of a path) are rules of the same index. Among matching host
-rules the longest wins and overrules all patterns. Else a matching exception pattern allows, else a matching block
-pattern blocks, else the URL is allowed.
+rules the longest wins and overrules all patterns, of equal ones an allowing one. Else a matching exception pattern
+allows, else a matching block pattern blocks, else the URL is allowed; of several patterns the one of the greatest name
+is told.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path, matches no rule and is allowed.
+Defined cases: a null URL, or one without ``://``, has an empty host and path, matches no rule and is allowed; so is
+every URL where there are no rules; repeated rows and rows of one id or of null ids get a row each; a very long URL is
+read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_RULES = 20_000
+from . import scratch
+
+MOST_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -73,20 +83,23 @@ PATTERN_RULES = tuple(
 )
 
 
-def index(rules: tuple[Rule, ...]) -> tuple[dict[str, list[int]], list[int]]:
-    """Rule numbers by their rarest literal token, and those that have no literal token."""
+def index(rules: tuple[Rule, ...]) -> list[tuple[str, Rule]]:
+    """Each rule with its rarest literal token, or the empty one."""
     held: dict[str, int] = {}
     for r in rules:
         for t in set(r.tokens):
             held[t] = held.get(t, 0) + 1
-    found: dict[str, list[int]] = {}
-    rest = []
-    for i, r in enumerate(rules):
-        if r.tokens:
-            found.setdefault(min(r.tokens, key=lambda t: (held[t], -len(t), t)), []).append(i)
-        else:
-            rest.append(i)
-    return found, rest
+    return [(min(r.tokens, key=lambda t: (held[t], -len(t), t)) if r.tokens else "", r) for r in rules]
+
+
+def index_table(spark: SparkSession, rules: tuple[Rule, ...], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """token, and rule: whether for a host, length, verdict, name, pattern. Broadcast if it is small."""
+    rows = [{"token": t, "rule": {"host": r.host, "length": len(r.name) if r.host else 0, "verdict": r.verdict, "name": r.name, "pattern": r.pattern}} for t, r in index(rules)]
+    parts = [json.dumps(rows[a : a + 10_000], ensure_ascii=False) for a in range(0, len(rows), 10_000)] or ["[]"]
+    kind = "array<struct<token:string,rule:struct<host:boolean,length:int,verdict:string,name:string,pattern:string>>>"
+    body = F.explode(F.array(*map(F.lit, parts)))
+    table = spark.range(1).select(body.alias("part")).select(F.inline(F.from_json("part", kind)))
+    return F.broadcast(table) if sum(map(len, parts)) <= most_bytes else scratch.table(table, "url-rules")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -99,37 +112,37 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, lower), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern (the deciding pattern's text, or null) and n_run, the number of
     expressions that ran on the URL."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; an index in the plan holds {MOST_RULES} at most")
-    found, rest = index(rules)
-    host, path = host_and_path(F.col(f"`{url_col}`"))
-    t = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("_url"))
-    after = F.when(F.instr("_url", "://") > 0, F.regexp_extract("_url", r"(?s)://[^/?#]*(.*)", 1)).otherwise(F.lit(""))
-    t = t.withColumn("_at", F.concat("host", after))
-    t = t.withColumn("_tokens", F.array_distinct(F.filter(F.split(F.lower("_at"), "[^a-z0-9]+"), lambda x: x != "")))
-    none = F.array().cast("array<int>")
-    by_token = F.create_map(*[x for k, v in sorted(found.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))]) if found else None
-    known = F.array(*map(F.lit, sorted(found))) if found else F.array().cast("array<string>")
-    hits = F.flatten(F.transform(F.array_intersect("_tokens", known), lambda x: by_token[x])) if found else none
-    always = F.array(*map(F.lit, rest)) if rest else none
-    t = t.withColumn("_candidates", F.when(F.col("host") == "", none).otherwise(F.concat(hits, always)))
-    table = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit(len(r.name) if r.host else 0).alias("length"), F.lit(r.verdict).alias("verdict"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern")) for r in rules])
-    t = t.withColumn("_fit", F.filter(F.transform("_candidates", lambda i: F.get(table, i)), lambda r: F.rlike(F.col("_at"), r["pattern"])))
-    by_host = F.array_max(F.filter("_fit", lambda r: r["host"]))
-    allows = F.array_max(F.filter("_fit", lambda r: ~r["host"] & (r["verdict"] == "allow")))
-    blocks = F.array_max(F.filter("_fit", lambda r: ~r["host"] & (r["verdict"] == "block")))
-    t = t.withColumns({"_host": by_host, "_pattern": F.coalesce(allows, blocks)})
-    return t.select(
+    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    host, path = host_and_path(url)
+    after = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)://[^/?#]*(.*)", 1)).otherwise(F.lit(""))
+    page = F.col(f"`{id_col}`")
+    salt = F.pmod(F.xxhash64(page.cast("string"), url), F.lit(scratch.SALTS)).cast("int")
+    t = pages.select(page.alias("page_id"), host.alias("host"), path.alias("path"), F.concat(host, after).alias("at"), salt.alias("salt"))
+    asked = t.where("host <> ''").groupBy("at").agg(scratch.salts(F.col("salt")))
+    tokens = F.array_distinct(F.concat(F.split(F.lower("at"), "[^a-z0-9]+"), F.array(F.lit(""))))
+    fetched = asked.select("at", "salts", F.explode(tokens).alias("token")).join(index_table(pages.sparkSession, rules, most_bytes), "token")
+    fit = F.rlike("at", F.col("rule.pattern"))
+    allows = F.col("rule.verdict") == "allow"
+
+    def most(of: Column) -> Column:
+        return F.max(F.when(of, F.struct("rule.length", "rule.verdict", "rule.name")))
+
+    by_host = F.max(F.when(fit & F.col("rule.host"), F.struct("rule.length", allows.alias("allows"), "rule.verdict", "rule.name")))
+    found = fetched.groupBy("at", "salts").agg(
+        by_host.alias("by_host"), most(fit & ~F.col("rule.host") & allows).alias("allowing"), most(fit & ~F.col("rule.host") & ~allows).alias("blocking"), F.count("*").cast("int").alias("n_run")
+    )
+    found = found.withColumn("by_pattern", F.coalesce("allowing", "blocking")).select("at", "by_host", "by_pattern", "n_run", scratch.each_salt())
+    return t.join(found, ["at", "salt"], "left").select(
         "page_id",
         "host",
         "path",
-        F.col("_host")["name"].alias("rule"),
-        F.coalesce(F.col("_host")["verdict"], F.col("_pattern")["verdict"], F.lit("allow")).alias("verdict"),
-        F.when(F.col("_host").isNull(), F.col("_pattern")["name"]).alias("pattern"),
-        F.size("_candidates").alias("n_run"),
+        F.col("by_host")["name"].alias("rule"),
+        F.coalesce(F.col("by_host")["verdict"], F.col("by_pattern")["verdict"], F.lit("allow")).alias("verdict"),
+        F.when(F.col("by_host").isNull(), F.col("by_pattern")["name"]).alias("pattern"),
+        F.coalesce("n_run", F.lit(0)).alias("n_run"),
     )
 
 
