@@ -2,7 +2,9 @@
 subset construction, merged by partition refinement.
 
 Syntax: literals, ``\\xHH`` and escaped signs, classes with ranges and ``^``, groups, ``|``, ``?``, ``*``, ``+``,
-``{m}``, ``{m,}`` and ``{m,n}``. Matches are of bytes; there are no captures and no anchors.
+``{m}``, ``{m,}`` and ``{m,n}``. Matches are of bytes; there are no captures and no anchors. An automaton has
+``MOST_STATES`` states at most; rules that need more together are compiled into several (``several``), and only a single
+rule that needs more alone is refused.
 """
 
 from __future__ import annotations
@@ -135,19 +137,35 @@ def _build(nfa: _Nfa, tree, start: int) -> int:
     return end
 
 
+def _turned(tree):
+    """The tree of the words read backward."""
+    if tree[0] == "cat":
+        return ("cat", [_turned(t) for t in reversed(tree[1])])
+    if tree[0] == "or":
+        return ("or", [_turned(t) for t in tree[1]])
+    if tree[0] == "rep":
+        return ("rep", _turned(tree[1]), *tree[2:])
+    return tree
+
+
+class TooLarge(ValueError):
+    """The rules need more states than an automaton may have."""
+
+
 class Automaton:
     """``classes``: a translation table of bytes to ``width`` classes; ``next``: the transition array, whose states are
     numbered in steps of ``width``; states from ``accepting`` on accept; ``rules[state]``: a bit for each pattern;
     ``dead``: the state that nothing leaves, or -1."""
 
-    def __init__(self, patterns: list[str], anywhere: bool):
+    def __init__(self, patterns: list[str], anywhere: bool, backward: bool = False):
         nfa = _Nfa()
         start = nfa.state()
         ends = {}
         for i, p in enumerate(patterns):
             begin = nfa.state()
             nfa.free[start].append(begin)
-            ends[_build(nfa, _Parser(p).whole(), begin)] = 1 << i
+            tree = _Parser(p).whole()
+            ends[_build(nfa, _turned(tree) if backward else tree, begin)] = 1 << i
         if anywhere:
             nfa.steps[start].append((frozenset(range(256)), start))
         self._number(*self._merge(*self._subsets(nfa, start, ends)))
@@ -180,7 +198,7 @@ class Automaton:
                     number[after] = len(number)
                     todo.append(after)
                     if len(number) > MOST_STATES:
-                        raise ValueError(f"over {MOST_STATES} states; give the rules shorter counts")
+                        raise TooLarge(f"over {MOST_STATES} states; give the rules shorter counts")
                 row.append(number[after])
             rows.append(row)
         return rows, [sum({ends[s] for s in states if s in ends}) for states in todo], [not s for s in todo]
@@ -218,14 +236,37 @@ class Automaton:
                 found |= rules[s]
         return found
 
-    def longest(self, data: bytes, at: int) -> int:
-        """The end of the longest match from ``at``, or -1 (automaton built without ``anywhere``). ``data`` is
-        translated already."""
-        after, accepting, dead, s, end = self.next, self.accepting, self.dead, self.start, -1
+    def longest(self, data: bytes, at: int) -> tuple[int, int]:
+        """The end of the longest match from ``at``, or -1, and the number of bytes read (automaton built without
+        ``anywhere``). ``data`` is translated already."""
+        after, accepting, dead, s, end, i = self.next, self.accepting, self.dead, self.start, -1, at - 1
         for i in range(at, len(data)):
             s = after[s + data[i]]
             if s >= accepting:
                 end = i + 1
             elif s == dead:
                 break
-        return end
+        return end, i + 1 - at
+
+    def starts(self, data: bytes) -> bytes:
+        """For each byte, 1 where a match begins, in one pass from the end (automaton built ``anywhere`` and
+        ``backward``). ``data`` is translated already."""
+        after, accepting, s = self.next, self.accepting, self.start
+        out = bytearray(len(data))
+        for i in range(len(data) - 1, -1, -1):
+            s = after[s + data[i]]
+            if s >= accepting:
+                out[i] = 1
+        return bytes(out)
+
+
+def several(patterns: list[str]) -> list[tuple[Automaton, int]]:
+    """Automata that find the patterns anywhere, with the number of each one's first: one where their states allow it,
+    else those of either half."""
+    try:
+        return [(Automaton(patterns, True), 0)]
+    except TooLarge:
+        if len(patterns) == 1:
+            raise
+    half = len(patterns) // 2
+    return several(patterns[:half]) + [(a, first + half) for a, first in several(patterns[half:])]

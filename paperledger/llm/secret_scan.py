@@ -8,7 +8,11 @@ that fail the rule's length are dropped, and the search goes on after them.
 The base kinds are ``assign``, ``access`` and ``hex``; the method adds the kinds of ``RULES`` after these. Offsets are
 code points, ends exclusive. Texts are judged within their row: there is no shuffle.
 
-Defined cases: null is empty; an empty text has no spans; repeated rows get a row each; other columns are not read.
+Rules whose combined automaton would be too large are compiled into several, each of which reads the text once.
+
+Defined cases: null is empty; an empty text has no spans; a very long text costs time in proportion, whatever it holds,
+and some copies of itself as bytes; spans of one start are in the rules' order; repeated rows get a row each; null ids
+stay null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Automaton
+from .automaton import Automaton, several
 
 
 @dataclass(frozen=True)
@@ -62,28 +66,41 @@ RULES = BASE + ADDED
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
 
+@dataclass(frozen=True)
+class _Own:
+    """A rule's automaton, its head's, the bytes that may begin a span, and an automaton that finds all starts."""
+
+    whole: Automaton
+    head: Automaton | None
+    begins: bytes
+    backward: Automaton
+
+
 @functools.cache
-def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton | None, bytes]]]:
-    """The combined automaton, and for each rule its own, its head's, and the bytes that may begin a span."""
+def compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Automaton, int]], list[_Own]]:
+    """The combined automaton, or several where one would be too large, and each rule's own."""
     own = []
     for r in rules:
         a = Automaton([r.pattern], False)
-        begins = bytes(b for b in range(256) if a.next[a.start + a.classes[b]] != a.dead)
-        own.append((a, Automaton([r.head], False) if r.head else None, begins))
-    return Automaton([r.detect for r in rules], True), own
-
-
-def _own_spans(data: bytes, rule: Rule, own: tuple[Automaton, Automaton | None, bytes]) -> Iterator[tuple[int, int]]:
-    a, head, begins = own
-    classed, at, n = data.translate(a.classes), 0, len(data)
-    headed = data.translate(head.classes) if head else b""
-    may = data.translate(bytes(b in begins for b in range(256)))
-    while (at := may.find(1, at)) >= 0 and at < n:
-        end = a.longest(classed, at)
+        may = bytes(a.next[a.start + a.classes[b]] != a.dead for b in range(256))
+        own.append(_Own(a, Automaton([r.head], False) if r.head else None, may, Automaton([r.pattern], True, True)))
+    return several([r.detect for r in rules]), own
+
+
+def _own_spans(data: bytes, rule: Rule, own: _Own) -> Iterator[tuple[int, int]]:
+    """Leftmost, longest spans. Where starts that lead to no match have cost as much as the text is long, one pass from
+    the end marks the starts that do, so that time stays in proportion to the text."""
+    classed, at, n = data.translate(own.whole.classes), 0, len(data)
+    headed = data.translate(own.head.classes) if own.head else b""
+    may, lost, marked = data.translate(own.begins), 0, False
+    while (at := may.find(1, at)) >= 0:
+        end, read = own.whole.longest(classed, at)
         if end <= at:
-            at += 1
+            at, lost = at + 1, lost + read
+            if lost > n and not marked:
+                may, marked = own.backward.starts(data.translate(own.backward.classes)), True
             continue
-        if end - (head.longest(headed, at) if head else at) >= rule.least:
+        if end - (own.head.longest(headed, at)[0] if own.head else at) >= rule.least:
             yield at, end
         at = end
 
@@ -91,7 +108,9 @@ def _own_spans(data: bytes, rule: Rule, own: tuple[Automaton, Automaton | None,
 def scan(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     """Spans in UTF-8 ``data``, in code points, by start, then by the rules' order."""
     combined, own = compiled(rules)
-    found = combined.seen(data)
+    found = 0
+    for a, first in combined:
+        found |= a.seen(data) << first
     if not found:
         return []
     spans = [(s, i, e) for i, r in enumerate(rules) if found >> i & 1 for s, e in _own_spans(data, r, own[i])]
