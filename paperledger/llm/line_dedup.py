@@ -6,7 +6,9 @@
    of its own. A key that two documents
    or more hold brings each later document together with the first that holds it. A key that a third of all documents
    hold is as rare as any in this: its first holder comes from an aggregation that is merged before it is sent, and
-   it makes one pair for each later document, never all pairs of its holders. Pairs that several keys make are one.
+   it makes one pair for each later document, never all pairs of its holders. Pairs that several keys make are one. A
+   key finds its first holder, and a pair the first holder's lines, by salts of the later documents, so that no task
+   gets all of one key's holders or all partners of one long document.
 3. *Alignment.* Patience diff aligns the two rows of line hashes: lines that are unique in both and in one order are
    anchors; between anchors, equal lines at either end are matched, and the rest is aligned in the same way.
 4. *Runs.* An alignment is one rising row and rests on unique lines. Where it leaves lines that the earlier document
@@ -18,8 +20,11 @@
 Only hashes are paired; a text moves once, to meet the numbers of its lines that go.
 
 Defined cases: a null text stays null and an empty one empty, with no lines; a null id is neither first nor later, and
-its row stays as it is; rows that repeat an id are cleaned alike; an empty table gives an empty result. Blank lines are
-aligned only between equal neighbours and count no words.
+its row stays as it is; rows that repeat an id are not earlier or later than each other, and each loses what stands in a
+text of the least id; ties between earlier documents fall to the least id; of a very long text hashes and
+counts of lines are held, some bytes a line; an empty table gives an empty result; columns of any other names go along,
+while ``n_lines``, ``n_removed`` and ``removed`` are the operator's own. Blank lines are aligned only between equal
+neighbours and count no words.
 """
 
 from __future__ import annotations
@@ -155,19 +160,19 @@ def removed_lines(a: list[int], b: list[int], words: list[int], least: int = BLO
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, gone = [], []
-        later = batch.column(0).to_pylist()
+        kept, gone = [], []
         rows = []
-        for c in (1, 2, 3):
+        for c in (2, 3, 4):
             offsets, flat = batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()
             rows.append((offsets, flat))
-        for k, doc_id in enumerate(later):
+        for k in range(len(batch)):
             a, b, words = (flat[o[k] : o[k + 1]].tolist() for o, flat in rows)
             found = removed_lines(a, b, words)
             if found:
-                ids.append(doc_id)
+                kept.append(k)
                 gone.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+        ids = [batch.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "which", "gone"])
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +188,7 @@ def runs(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least: int = BLO
     starts = np.searchsorted(upto, upto[lines + 1] - least, "right") - 1
     late = starts >= at[:-1][doc[lines]]
     span = np.unique(np.concatenate([np.stack([lines[whole], ends[whole]], 1), np.stack([starts[late], lines[late] + 1], 1)]), axis=0)
-    up, down = wordhash._powers(n + 1)
+    up, down = wordhash.powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(wordhash.mix(hashes.view(np.uint64)) * up[:n], out=total[1:])
@@ -194,10 +199,10 @@ def runs(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least: int = BLO
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.column(1).offsets.to_numpy()
-        hashes, words = (batch.column(c).values.to_numpy()[at[0] : at[-1]] for c in (1, 2))
+        at = batch.column(2).offsets.to_numpy()
+        hashes, words = (batch.column(c).values.to_numpy()[at[0] : at[-1]] for c in (2, 3))
         doc, key = runs(hashes, words, at - at[0])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(key)], ["doc_id", "key"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(doc)) for c in (0, 1)), pa.array(key)], ["doc_id", "which", "key"])
 
 
 def _lines(text: Column) -> Column:
@@ -207,29 +212,37 @@ def _lines(text: Column) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cleaned, and n_lines, n_removed and removed (numbers of lines, from 0) added in columns
     of these names, which replace any of the input's."""
-    by_id = F.col(f"`{id_col}`").cast("long")
-    text = F.col(f"`{text_col}`")
-    lined = docs.where(by_id.isNotNull() & (F.length(text) > 0)).select(by_id.alias("doc_id"), _lines(text).alias("lines"))
+    own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    lined = docs.where(own_id.isNotNull() & (F.length(text) > 0)).select(own_id.alias("doc_id"), F.xxhash64(text).alias("which"), _lines(text).alias("lines"))
     lined = lined.select(
         "doc_id",
+        "which",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
         F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words"),
     )
     lined = scratch.table(lined, "lines")
-    keys = lined.mapInArrow(_keys, "doc_id long, key long")
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    pairs = keys.join(first, "key").where("first < doc_id").select("first", "doc_id").distinct()
-    own = lined.dropDuplicates(["doc_id"])
-    earlier = own.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-    met = pairs.join(earlier, "first").join(own, "doc_id").select("doc_id", "a", F.col("hashes").alias("b"), "words")
-    gone = met.mapInArrow(_align, "doc_id long, gone array<int>")
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    cleaned = docs.drop("n_lines", "n_removed", "removed").join(gone, by_id == F.col("_id"), "left")
+    salt = scratch.salt("doc_id")
+    keys = lined.mapInArrow(_keys, "doc_id long, which long, key long")
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), scratch.salts(salt)).where("first < last")
+    first = first.select("key", "first", scratch.each_salt())
+    pairs = keys.withColumn("salt", salt).join(first, ["key", "salt"]).where("first < doc_id").select("first", "doc_id", "which").distinct()
+    pairs = scratch.table(pairs, "line-pairs")
+    own = lined.dropDuplicates(["doc_id", "which"])
+    asked = pairs.groupBy("first").agg(scratch.salts(salt))
+    earlier = own.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(asked, "first")
+    earlier = earlier.select("first", "a", scratch.each_salt())
+    met = pairs.join(own, ["doc_id", "which"]).withColumn("salt", salt).join(earlier, ["first", "salt"])
+    gone = met.select("doc_id", "which", "a", F.col("hashes").alias("b"), "words").mapInArrow(_align, "doc_id long, which long, gone array<int>")
+    gone = gone.groupBy("doc_id", "which").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, own_id.alias("doc_id"), F.xxhash64(text).alias("which"))
+    rows = rows.join(gone, ["doc_id", "which"], "left")
+    text = F.col("row")[text_col]
     parts = F.split(text, "\n", -1)
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    kept = F.when(F.col("_removed").isNull(), text).otherwise(rest)
+    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    kept = F.when(F.col("removed").isNull(), text).otherwise(rest)
     n = F.when(F.length(text) > 0, F.size(parts)).otherwise(F.lit(0))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    cleaned = cleaned.withColumns({"n_lines": n, "removed": removed, "n_removed": F.size(removed), text_col: kept})
-    return cleaned.drop("_id", "_removed")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    new = {text_col: kept, "n_lines": n, "n_removed": F.size(removed), "removed": removed}
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed") or c in (id_col, text_col)]
+    return rows.select(*[new[c].alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns], *[new[c].alias(c) for c in ("n_lines", "n_removed", "removed")])

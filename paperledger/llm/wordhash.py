@@ -51,6 +51,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, at least ``n`` of them."""
+    return (_UP, _DOWN) if n <= len(_UP) else (_powers(_BASE, n), _powers(_INVERSE, n))
+
+
 def power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, int(n), 1 << 64))
 
