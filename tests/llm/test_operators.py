@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -206,15 +207,22 @@ def test_url_filter(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
-def test_url_index_runs_few_rules_and_misses_none(spark):
-    rules = tuple(url_filter.pattern_rule("block", f"/spam{i}/page^") for i in range(300)) + (url_filter.pattern_rule("block", "x*y"),)
-    found, rest = url_filter.index(rules)
-    assert len(rest) == 1 and max(map(len, found.values())) == 1
-    urls = [f"http://h/a/spam{i}/page" for i in range(0, 300, 7)] + ["http://h/axby", "http://h/spam1/pages", "http://h/spam10/page/"]
-    rows = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).collect()}
+@pytest.mark.parametrize("most_bytes", [url_filter.MOST_BYTES, 0])
+def test_url_index_runs_few_rules_and_misses_none(spark, most_bytes):
+    rules = tuple(url_filter.pattern_rule("block", f"/spam{i}/page^") for i in range(30_000)) + (url_filter.pattern_rule("block", "x*y"), url_filter.host_rule("allow", "q.com"), url_filter.host_rule("block", "q.com"))
+    found = url_filter.index(rules)
+    assert [t for t, r in found].count("") == 1 and len({t for t, _ in found}) >= 30_001
+    urls = [f"http://h/a/spam{i}/page" for i in range(0, 30_000, 700)] + ["http://h/axby", "http://h/spam1/pages", "http://h/spam10/page/", "http://q.com/spam1/page", "http://h/" + "long/" * 50_000 + "spam7/page", None, "http://h/spam10/page/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://h/spam5/page")] * 2, "page_id int, url string")
+    rows = url_filter.judge(pages, rules, most_bytes=most_bytes).collect()
+    assert [r.verdict for r in rows if r.page_id is None] == ["block"] * 2 and len(rows) == len(urls) + 2
+    rows = {r.page_id: r for r in rows}
     for i, u in enumerate(urls):
-        hit = bool(re.search(r"/spam\d+/page(?![A-Za-z0-9_.%-])|x.*y", u))
-        assert (rows[i].verdict == "block") == hit and rows[i].n_run <= 2
+        hit = u is not None and "q.com" not in u and bool(re.search(r"/spam\d+/page(?![A-Za-z0-9_.%-])|x.*y", u))
+        assert (rows[i].verdict == "block") == hit and rows[i].n_run <= 4
+    assert rows[len(urls) - 4].rule == "q.com/"
+    assert url_filter.judge(pages.limit(0), rules[:5]).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, ()).collect()} == {"allow"}
 
 
 def luhn(digits):
@@ -270,7 +278,33 @@ def test_automaton_against_expressions():
         assert found.seen(data.encode()) == sum(1 << i for i, p in enumerate(patterns) if re.search(p, data))
         for p, a in zip(patterns, own, strict=True):
             m = re.match(p, data)
-            assert a.longest(data.encode().translate(a.classes), 0) == (m.end() if m else -1)
+            assert a.longest(data.encode().translate(a.classes), 0)[0] == (m.end() if m else -1)
+            b = automaton.Automaton([p], True, True)
+            assert list(b.starts(data.encode().translate(b.classes))) == [bool(re.compile(p).match(data, i)) for i in range(len(data))]
+
+
+def test_automata_of_many_states(monkeypatch):
+    patterns = ["a[ab]{6}c", "b[ab]{5}d", "[ab]{3}e", "zz"]
+    whole = automaton.Automaton(patterns, True)
+    monkeypatch.setattr(automaton, "MOST_STATES", 140)
+    parts = automaton.several(patterns)
+    assert len(parts) > 1
+    rng = random.Random(3)
+    for _ in range(300):
+        data = "".join(rng.choice("abcdez") for _ in range(rng.randint(0, 40))).encode()
+        found = 0
+        for a, first in parts:
+            found |= a.seen(data) << first
+        assert found == whole.seen(data)
+    with pytest.raises(ValueError):
+        automaton.several(["a[ab]{9}c"])
+
+
+def test_secret_scan_takes_time_in_proportion():
+    began = time.perf_counter()
+    for text in ("eyJ" * 400_000, "eyJ.eyJ." * 100_000, "-----BEGIN " * 50_000, "token" * 100_000, "AKIA" * 200_000, "-----BEGIN A B " * 40_000):
+        assert secret_scan.scan(text.encode()) is not None
+    assert time.perf_counter() - began < 30
 
 
 def test_secret_scan(spark):
