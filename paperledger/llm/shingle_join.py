@@ -5,7 +5,7 @@
 2. *Buckets.* Linked sets share a token among the first |A| - ceil(0.8 |A|) + 1 of each, in any one order of tokens.
    The order is by hash, but with the most frequent tokens last; these, ``HOT`` at most, are found from counts over
    all documents. Only the order rests on them, never a result. Classes that share a prefix token form a bucket; equal
-   buckets count once. A token that is expected in over ``SPLIT`` classes is dealt by pairs of blocks where its classes
+   buckets count once. A token that is expected in over ``SMALL`` classes is dealt by pairs of blocks where its classes
    are posted; a bucket that turns out larger, after the shuffle.
 3. *Candidates.* Each bucket's classes form signature trees, one for each width of bitmap; the dual traversal leaves
    the pairs whose overlap may suffice, and a spanning forest of these goes on. Its components hold every link within.
@@ -40,7 +40,7 @@ N = 5
 HOT = 1 << 16
 OFTEN = 4
 WINDOW = 4_000_000
-SPLIT = 8192
+SPLIT, SMALL, FEW = 8192, 512, 16
 SEEN = 1_000_000
 BLOCK_TOKENS = 4_000_000
 _SETS = "doc_id long, n int, h1 long, h2 long, bits binary, token long, df long"
@@ -101,6 +101,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(_SETS, len(token), token=token, df=df)
 
 
+def blocks_of(size):
+    """Into how many blocks a bucket of so many classes is split: of ``SMALL`` while there are ``FEW`` at most, of
+    ``SPLIT`` where it is large."""
+    return np.maximum(-(-size // SPLIT), np.minimum(-(-size // SMALL), FEW))
+
+
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
@@ -167,7 +173,7 @@ def _post(shared):
 def _split(name: int, size: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (bucket, cls) of some classes of a bucket of ``size`` by pairs of blocks: a block meets every block, itself
     too."""
-    k = -(-size // SPLIT)
+    k = int(blocks_of(size))
     own = (wordhash.mix(cls.view(np.uint64)) % np.uint64(k)).astype(np.int64)
     other = np.arange(k)
     low, high = np.minimum(own[:, None], other).ravel(), np.maximum(own[:, None], other).ravel()
@@ -200,13 +206,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         seen.update(name[keep].tolist())
-        large = keep & (sizes > SPLIT)
+        large = keep & (blocks_of(sizes) > 1)
         rows = np.repeat(keep & ~large, sizes)
         if rows.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[rows]), pa.array(cls[rows])], ["bucket", "cls"])
         for i in np.flatnonzero(large):
             own = cls[at[i] : at[i] + sizes[i]]
-            step = max(1, WINDOW // 4 // -(-len(own) // SPLIT))
+            step = max(1, WINDOW // 4 // int(blocks_of(len(own))))
             for a in range(0, len(own), step):
                 task, part = _split(int(name[i]), len(own), own[a : a + step])
                 yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(part)], ["bucket", "cls"])
@@ -370,7 +376,7 @@ def _components(rows: DataFrame) -> DataFrame:
     tokens = np.array([r.token for r in often], np.int64).view(np.uint64)
     df = np.array([r.df for r in often], np.int64)
     by = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast((tokens[by], df[by], -(-df[by] // SPLIT)))
+    shared = spark.sparkContext.broadcast((tokens[by], df[by], blocks_of(df[by])))
 
     salt = scratch.salt("doc_id")
     classes = own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), scratch.salts(salt))
