@@ -27,11 +27,12 @@ def folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again. The files go when the driver's JVM ends."""
+def table(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder, in a folder for each value of ``by``, and read it again. The
+    files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
