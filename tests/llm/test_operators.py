@@ -338,18 +338,31 @@ def test_vector_topk(spark):
     assert vector_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_pivots_spare_evaluations():
+def test_scores_of_any_size(spark):
+    rows = [(0, [3e5, -2e5]), (1, [1e7, 1e3]), (2, [-4e6, 2.5e6]), (3, [1e6, 3e5]), (50, [8e6, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    got = vector_topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in ints if i != q)
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        huge = spark.createDataFrame([(0, [1e300]), (1, [1e10])], "vec_id long, embedding array<double>")
+        vector_topk.top_k(huge, huge).collect()
+
+
+def test_query_of_several_vectors(spark):
+    df = spark.createDataFrame([(0, [0.5, 0.1]), (0, [0.25, 3.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vector_topk.top_k(df.repartition(3), df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 768 * 256), (0, 2, 2, 768 * 256), (0, 3, 1, 64 * 256)]
+
+
+def test_pivots_spare_evaluations(spark):
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((20, 16)) * 300
-    x = np.floor(centers[rng.integers(0, 20, 4000)] + rng.standard_normal((4000, 16)) * 10)
-    p = vector_topk.pivots(16, 24, 300.0)
-    q = x[0]
-    gap = np.abs(vector_topk._to_pivots(x, p) - vector_topk._to_pivots(q[None], p)).max(1)
-    bound = ((q @ q) + (x * x).sum(1) - gap**2) / 2 + 1
-    none = np.empty(0, np.int64)
-    (scores, ids), seen = vector_topk.best_of(0, q, np.arange(4000), x, bound, 5, (none, none))
-    exact = sorted((-int(s), i) for i, s in enumerate(x @ q) if i)[:5]
-    assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == exact and seen < 4000
+    x = np.floor(centers[rng.integers(0, 20, 4000)] + rng.standard_normal((4000, 16)) * 10) / 256
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert vector_topk.evaluated_share(df, df.where("vec_id % 50 = 0")) < 0.3
 
 
 def test_quality(spark):
