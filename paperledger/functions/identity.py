@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, _col, characters, normalize_label
+from .text import SPACE, _col, characters, normalize_label, spaced
 
 #: Fixed values of 32-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
@@ -75,7 +75,7 @@ def extract_vendor_ids(lines: Column) -> Column:
     def first(values: Column) -> Column:
         return F.get(values, F.lit(0))
 
-    vat = first(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])DE\s?[0-9]{9}(?![A-Za-z0-9_])"), F.lit(0)), _compact), valid_vat_id))
+    vat = first(F.filter(F.transform(F.regexp_extract_all(text, F.lit(spaced(r"(?<![A-Za-z0-9_])DE\s?[0-9]{9}(?![A-Za-z0-9_])")), F.lit(0)), _compact), valid_vat_id))
     labelled = F.filter(lines, lambda x: x["text"].rlike("(?i)steuernummer|steuer-?nr"))
     tax = first(F.filter(F.transform(labelled, lambda x: F.regexp_extract(x["text"], r"[0-9]{2,3}/[0-9]{3,4}/[0-9]{4,5}|[0-9]{10,13}", 0)), lambda x: x != ""))
     ibans = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}(?![A-Za-z0-9_])"), F.lit(0)), _compact), valid_iban))

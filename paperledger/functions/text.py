@@ -7,8 +7,14 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a trim takes off: ASCII and no-break white space.
-SPACE = r"[\s   ﻿]"
+#: White space: ASCII's, the Unicode separators (a no-break space is common in print) and the byte order mark.
+SPACE_SIGNS = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACE = f"[{SPACE_SIGNS}]"
+
+
+def spaced(pattern: str) -> str:
+    """An expression with all white space in the place of each ``\\s`` that stands outside a class."""
+    return pattern.replace(r"\s", SPACE)
 
 
 def _folding() -> tuple[str, str]:
@@ -94,12 +100,16 @@ def remainder(text: Column | str, end: Column) -> Column:
 
 
 def label_end_anywhere(text: Column | str, label: Column) -> Column:
-    """The end of the first occurrence of ``label`` in any case; else where the normalised text first ends with it."""
-    text = _col(text)
-    found = F.instr(F.lower(text), F.lower(label))
-    target = normalize_label(label)
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.endswith(normalize_label(F.substring(text, F.lit(1), n)), target))
-    return F.when(found > 0, found - 1 + F.length(label)).otherwise(F.get(ends, F.lit(0)))
+    """The end of the first occurrence of a label in any case, else of the shortest start of the text whose normal form
+    ends with the label's; null without either."""
+    def walk(t: Column) -> Column:
+        target = normalize_label(label)
+        plain = F.regexp_replace(fold(t), "[^a-z0-9%]", "")
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda n: F.endswith(normalize_label(F.substring(t, F.lit(1), n)), target))
+        at = F.instr(F.lower(t), F.lower(label))
+        return F.when(at > 0, at - 1 + F.length(label)).when(F.contains(plain, target), F.get(ends, F.lit(0)))
+
+    return let(_col(text), walk)
 
 
 def generalize_pattern(raw: Column | str) -> Column:
@@ -115,5 +125,5 @@ def label_before(text: Column | str, start: Column) -> Column:
 
 def strip_fences(text: Column | str) -> Column:
     """A reply of a model without one pair of code fences."""
-    opened = F.regexp_replace(trim(text), r"(?i)^```(?:json)?\s*", "")
-    return trim(F.regexp_replace(opened, r"\s*```$", ""))
+    opened = F.regexp_replace(trim(text), rf"(?i)^```(?:json)?{SPACE}*", "")
+    return trim(F.regexp_replace(opened, rf"{SPACE}*```$", ""))

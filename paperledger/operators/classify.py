@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
 from ..functions.identity import valid_vat_id
-from ..functions.text import SPACE, trim
+from ..functions.text import SPACE, spaced, trim
 from ..plans.options import Classify
 
 #: What the features look for. An ASCII word boundary is written out, as the engine's own is Unicode's.
 _BEGIN, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-HEADING = rf"(?i){_BEGIN}(rechnung|invoice|gutschrift|credit\s?note){_END}"
-NUMBER_LABEL = r"(?i)(rechnungs?-?\s?(nr|nummer)|invoice\s?(no|number|#)|beleg-?(nr|nummer))"
+HEADING = spaced(rf"(?i){_BEGIN}(rechnung|invoice|gutschrift|credit\s?note){_END}")
+NUMBER_LABEL = spaced(r"(?i)(rechnungs?-?\s?(nr|nummer)|invoice\s?(no|number|#)|beleg-?(nr|nummer))")
 NUMBER_SHAPE = r"[A-Za-z]{0,4}[-/]?[0-9][0-9A-Za-z\-/._]{2,}"
-VAT_ID = rf"{_BEGIN}DE\s?[0-9]{{9}}{_END}"
+VAT_ID = spaced(rf"{_BEGIN}DE\s?[0-9]{{9}}{_END}")
 TAX_LABEL, TAX_SHAPE = r"(?i)steuernummer|steuer-?nr", r"[0-9]{2,3}/[0-9]{3,4}/[0-9]{4,5}|[0-9]{10,13}"
-DATE_LABEL, DATE_SHAPE = r"(?i)(rechnungs|beleg|invoice)\s?-?\s?(datum|date)|date\s+of\s+issue", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}"
-VAT_BLOCK = r"(?i)(mwst|mehrwertsteuer|ust|umsatzsteuer|vat|tax)[^%0-9]{0,20}(19|7|0)\s?%[^0-9]{0,10}-?[0-9.,]+"
+DATE_LABEL, DATE_SHAPE = spaced(r"(?i)(rechnungs|beleg|invoice)\s?-?\s?(datum|date)|date\s+of\s+issue"), r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}"
+VAT_BLOCK = spaced(r"(?i)(mwst|mehrwertsteuer|ust|umsatzsteuer|vat|tax)[^%0-9]{0,20}(19|7|0)\s?%[^0-9]{0,10}-?[0-9.,]+")
 TOP, HEADING_LENGTH, COLUMN_SHARE = 0.25, 60, 0.6
 
 

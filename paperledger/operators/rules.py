@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import fold, label_end, label_expression, let, normalize_label, plain_label, remainder, trim
+from ..functions.text import fold, label_end, label_expression, let, normalize_label, plain_label, remainder, spaced, trim
 from ..plans.schemas import BOX
 from .line_items import COLUMNS, NO_NUMBER, line_items
 
 #: The labels of header fields, the expression of their values, and the headings of columns.
-_DATE = r"[0-9]{1,4}[./-]\s?[0-9]{1,2}[./-]\s?[0-9]{1,4}"
+_DATE = spaced(r"[0-9]{1,4}[./-]\s?[0-9]{1,2}[./-]\s?[0-9]{1,4}")
 _NUMBER = r"[A-Za-z0-9][A-Za-z0-9\-/._]{0,30}[0-9][0-9A-Za-z\-/._]*"
 HEADER = {
     "invoice_number": (("Rechnungsnummer", "Rechnungs-Nr", "Rechnung Nr", "Rechnungsnr", "RE-Nr", "Re.-Nr", "Beleg-Nr", "Belegnummer", "Invoice No", "Invoice Number", "Invoice #", "Rechnung"), _NUMBER),
@@ -33,7 +33,7 @@ TABLE = {
     "tax_rate": ("MwSt", "USt", "MwSt.-Satz", "St.-Satz", "Steuersatz", "VAT", "Tax Rate", "Tax %"),
     "line_total": ("Gesamt", "Betrag", "Gesamtpreis", "Summe", "Wert", "Amount", "Total", "Line Total"),
 }
-VAT_LINE = r"(?i)(mwst|mehrwertsteuer|ust|umsatzsteuer|vat|tax)[^%0-9]{0,20}([0-9]{1,2})\s?%\s*:?\s*(-?[0-9.,]+)"
+VAT_LINE = spaced(r"(?i)(mwst|mehrwertsteuer|ust|umsatzsteuer|vat|tax)[^%0-9]{0,20}([0-9]{1,2})\s?%\s*:?\s*(-?[0-9.,]+)")
 HEADER_CONFIDENCE, ROW_CONFIDENCE = 0.65, 0.6
 HIT = f"struct<value:string,raw:string,page:int,box:{BOX}>"
 
@@ -52,7 +52,7 @@ def amount_value(rest: Column) -> Column:
     is not an amount."""
     last = F.try_element_at(F.regexp_extract_all(rest, F.lit(r"-?[0-9.,]+"), F.lit(0)), F.lit(-1))
     found = let(last, lambda x: F.struct(x.alias("raw"), parse_amount(x).alias("value")))
-    return F.when(rest.rlike(r"^[€$£]?\s*-?[0-9]"), let(found, lambda x: F.when(x["value"].isNotNull(), x)))
+    return F.when(rest.rlike(spaced(r"^[€$£]?\s*-?[0-9]")), let(found, lambda x: F.when(x["value"].isNotNull(), x)))
 
 
 def _field_value(field: str, pattern: str, rest: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_label, trim
+from ..functions.text import normalize_label, spaced, trim
 
 #: Strong signs of an attachment, a page counter, a new invoice and a block of totals.
-ATTACHMENT = r"(?i:allgemeine\s+gesch[aä]ftsbedingungen)|(?<![A-Za-z0-9_])AGB(?![A-Za-z0-9_])|(?i:terms\s+(and|&)\s+conditions)|(?i:widerrufsbelehrung)"
-COUNTER = r"(?i)seite\s+([0-9]+)\s+von\s+([0-9]+)|page\s+([0-9]+)\s+of\s+([0-9]+)"
-INVOICE = r"(?i)^(rechnung|invoice|gutschrift|credit\s?note)(?![A-Za-z0-9_])"
+ATTACHMENT = spaced(r"(?i:allgemeine\s+gesch[aäÄ]ftsbedingungen)|(?<![A-Za-z0-9_])AGB(?![A-Za-z0-9_])|(?i:terms\s+(and|&)\s+conditions)|(?i:widerrufsbelehrung)")
+COUNTER = spaced(r"(?i)seite\s+([0-9]+)\s+von\s+([0-9]+)|page\s+([0-9]+)\s+of\s+([0-9]+)")
+INVOICE = spaced(r"(?i)^(rechnung|invoice|gutschrift|credit\s?note)(?![A-Za-z0-9_])")
 TOTALS = r"gesamtbetrag|rechnungsbetrag|endbetrag|total|zuzahlen|zahlbetrag"
 TOP = 0.3
 SEGMENT = "array<struct<pages:array<int>,kind:string>>"

@@ -9,7 +9,7 @@ from ..functions.amounts import cell_to_dot, number_equal, parse_amount, render_
 from ..functions.boxes import distance, inflate, intersects
 from ..functions.dates import parse_date_listed, render_date
 from ..functions.identity import normalize_iban, plausible_tax_number, valid_iban, valid_vat_id, vendor_name_hash
-from ..functions.text import fold, generalize_pattern, label_before, let, normalize_label, trim
+from ..functions.text import SPACE, SPACE_SIGNS, generalize_pattern, label_before, label_end_anywhere, let, normalize_label, spaced, trim
 from ..plans.schemas import BOX, FIELD, ITEM_TABLE, TEMPLATE
 from .layout import band_of, merged_lines
 from .line_items import COLUMNS, NO_NUMBER, line_items
@@ -20,7 +20,7 @@ from .rules import DEFAULT, Lexicon, plain_label
 REACH = 0.05
 LADDER = ((0.95, "region", "label", "pattern"), (0.8, "region", "pattern"), (0.75, "label", "pattern"), (0.6, "label"), (0.5, "region"), (0.3,))
 SIGNATURE_SHARE = 0.7
-STOP_ROW = r"(?i)zwischensumme|gesamtbetrag|rechnungsbetrag|endbetrag|summe|mwst|umsatzsteuer|total|amount\s+due"
+STOP_ROW = spaced(r"(?i)zwischensumme|gesamtbetrag|rechnungsbetrag|endbetrag|summe|mwst|umsatzsteuer|total|amount\s+due")
 FIELDS = ("invoice_number", "issue_date", "due_date", "net", "tax", "gross")
 ROW_CONFIDENCE, NAME_CONFIDENCE, OCR_CONFIDENCE = 0.85, 0.9, 0.7
 FORMATS_TRIED = ("dd.MM.yyyy", "d.M.yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yy")
@@ -41,19 +41,6 @@ def confidence(region: Column, label: Column, pattern: Column) -> Column:
     return out
 
 
-def _label_end(text: Column, label: Column) -> Column:
-    """The end of the first occurrence of a label in any case, else of the shortest start of the text whose normal form
-    ends with the label's; null without either."""
-    def walk(t: Column) -> Column:
-        target = normalize_label(label)
-        plain = F.regexp_replace(fold(t), "[^a-z0-9%]", "")
-        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda n: F.endswith(normalize_label(F.substring(t, F.lit(1), n)), target))
-        at = F.instr(F.lower(t), F.lower(label))
-        return F.when(at > 0, at - 1 + F.length(label)).when(F.contains(plain, target), F.get(ends, F.lit(0)))
-
-    return let(text, walk)
-
-
 def find_field(d: Column, lines: Column, page_count: Column) -> Column:
     """The hit of a field's descriptor: raw, confidence, page and box, or null. Lines near the region come first, the
     nearest leading; a label must be in the line, and its value follows it or stands in the next line below."""
@@ -77,7 +64,7 @@ def find_field(d: Column, lines: Column, page_count: Column) -> Column:
             return first["line"]
 
         def by_label(x: Column) -> Column:
-            rest = F.regexp_replace(F.coalesce(F.substring(x["text"], _label_end(x["text"], d["label"]) + 1, F.length(x["text"])), F.lit("")), r"^[:\s]+", "")
+            rest = F.regexp_replace(F.coalesce(F.substring(x["text"], label_end_anywhere(x["text"], d["label"]) + 1, F.length(x["text"])), F.lit("")), rf"^[:{SPACE_SIGNS}]+", "")
             return F.coalesce(tried(rest, F.lit(True), x), let(below(x), lambda y: F.when(y.isNotNull(), tried(y["text"], F.lit(True), y))))
 
         labelled = F.filter(candidates, lambda x: F.contains(normalize_label(x["text"]), normalize_label(d["label"])))

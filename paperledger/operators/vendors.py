@@ -82,7 +82,3 @@ def unclaimed(new_links: DataFrame, links: DataFrame) -> DataFrame:
 def latest(templates: DataFrame, limit: int = 100) -> DataFrame:
     """Newest-updated first: ids and the vendor's name without the body."""
     return templates.orderBy(F.desc("updated_at"), "template_id").limit(limit)
-
-
-def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

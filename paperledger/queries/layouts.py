@@ -72,8 +72,8 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def lines(p: Column) -> Column:
         attached = (p % 7 == 0) | (p % 7 == 6)
-        head = F.when(attached, "Unsere AGB").when(p % 3 == 1, "Rechnung Nr. 7").otherwise("Text")
-        counter = F.when(p % 5 == 1, F.lit("Seite 1 von 5")).otherwise(F.lit("Seite 2 von 5"))
+        head = F.when(p % 7 == 0, "Unsere AGB").when(attached, "ALLGEMEINE\u00a0GESCHÄFTSBEDINGUNGEN").when(p % 3 == 1, "Rechnung Nr. 7").otherwise("Text")
+        counter = F.when(p % 5 == 1, F.lit("SEITE\u00a01 von\u202f5")).otherwise(F.lit("Seite 2 von 5"))
         total = F.when(p % 4 == 0, F.lit("Zu zahlen: 12,00")).otherwise(F.lit("Zu zahlen"))
 
         def line(text: Column, y: float) -> Column:

@@ -106,7 +106,7 @@ p AS (SELECT k, style, kind, de, en, d, list_filter([
  CASE style WHEN 0 THEN 'Rechnungsnummer: R-' || k || '-A' WHEN 1 THEN 'Invoice No. INV/' || k WHEN 2 THEN 'Unsere Nummer ' || k ELSE 'Rechnung ' || k END,
  CASE style WHEN 0 THEN 'Rechnungsdatum ' || strftime(d, '%d.%m.%Y') WHEN 1 THEN 'Invoice Date: ' || strftime(d, '%Y-%m-%d') WHEN 2 THEN 'Datum: ' || strftime(d, '%d/%m/%Y') END,
  CASE WHEN style < 2 THEN 'Zwischensumme (netto) ' || de WHEN style = 2 THEN 'Net Total: ' || en ELSE 'Netto' END,
- CASE style WHEN 0 THEN 'MwSt. 19%: ' || de WHEN 1 THEN 'VAT 7 % ' || en WHEN 2 THEN 'USt-IdNr. DE136695976' ELSE 'MwSt 5 % 1,00' END,
+ CASE style WHEN 0 THEN 'MwSt. 19' || chr(160) || '%:' || chr(8239) || de WHEN 1 THEN 'VAT 7 % ' || en WHEN 2 THEN 'USt-IdNr. DE136695976' ELSE 'MwSt 5 % 1,00' END,
  CASE style WHEN 0 THEN 'Gesamtbetrag: ' || de || ' EUR' WHEN 1 THEN 'Total Due $ ' || en WHEN 2 THEN 'Zahlbetrag ' || de ELSE 'Gesamt' END], lambda x: x IS NOT NULL) AS lines FROM o)
 """
 
@@ -133,7 +133,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         by_style(said("Rechnungsnummer: R-", k, "-A"), said("Invoice No. INV/", k), said("Unsere Nummer ", k), said("Rechnung ", k)),
         by_style(said("Rechnungsdatum ", D.render_date(d, "dd.MM.yyyy")), said("Invoice Date: ", d), said("Datum: ", D.render_date(d, "dd/MM/yyyy")), None),
         by_style(said("Zwischensumme (netto) ", de), said("Zwischensumme (netto) ", de), said("Net Total: ", en), F.lit("Netto")),
-        by_style(said("MwSt. 19%: ", de), said("VAT 7 % ", en), F.lit("USt-IdNr. DE136695976"), F.lit("MwSt 5 % 1,00")),
+        by_style(said("MwSt. 19\u00a0%:\u202f", de), said("VAT 7 % ", en), F.lit("USt-IdNr. DE136695976"), F.lit("MwSt 5 % 1,00")),
         by_style(said("Gesamtbetrag: ", de, " EUR"), said("Total Due $ ", en), said("Zahlbetrag ", de), F.lit("Gesamt")),
     )
 
