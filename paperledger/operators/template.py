@@ -98,17 +98,18 @@ def _columns(m: Column) -> Column:
     return F.array(*[F.try_element_at(m, F.lit(n)) for n in COLUMNS])
 
 
-def _values(t: Column, lines: Column, page_count: Column) -> dict[str, Column]:
-    """For each field its hit with a value, or null."""
-    out = {}
-    for f in FIELDS:
-        def valued(h: Column) -> Column:
-            name = f  # noqa: B023
-            value = parse_date_listed(h["raw"], t["date_formats"]) if name.endswith("_date") else parse_amount(h["raw"], t["decimal"]) if name in ("net", "tax", "gross") else h["raw"]
-            return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), h["raw"].alias("raw"), h["confidence"].alias("confidence"), h["page"].alias("page"), h["box"].alias("box"))))
-
-        out[f] = _bound(find_field(F.try_element_at(t["fields"], F.lit(f)), lines, page_count), valued)
-    return out
+def _values(t: Column, lines: Column, page_count: Column, use) -> Column:
+    """What ``use`` makes of each field's hit with a value, or null. One search serves all fields."""
+    asked = F.array(*[F.try_element_at(t["fields"], F.lit(f)) for f in FIELDS])
+
+    def valued(name: str, h: Column) -> Column:
+        value = parse_date_listed(h["raw"], t["date_formats"]) if name.endswith("_date") else parse_amount(h["raw"], t["decimal"]) if name in ("net", "tax", "gross") else h["raw"]
+        return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), h["raw"].alias("raw"), h["confidence"].alias("confidence"), h["page"].alias("page"), h["box"].alias("box"))))
+
+    def named(hits: Column) -> Column:
+        return use({f: _bound(F.get(hits, F.lit(i)), lambda h: valued(f, h)) for i, f in enumerate(FIELDS)})  # noqa: B023
+
+    return let(F.transform(asked, lambda d: find_field(d, lines, page_count)), named)
 
 
 def _bound(value: Column, use) -> Column:
@@ -119,7 +120,8 @@ def apply_template(t: Column, lines: Column, tables: Column, page_count: Column)
     """Fields, items and the seller of a document under a vendor's template; the seller always comes from the template."""
     table = t["item_table"]
     items = _bound(match_table(tables, table["header"]), lambda found: line_items(found["rows"], _columns(table["columns"]), table["continuation"], t["decimal"]))
-    return _applied(t, _values(t, lines, page_count), F.when(table.isNotNull() & (F.size(items) > 0), items), ROW_CONFIDENCE, "template")
+    kept = let(items, lambda x: F.when(table.isNotNull() & (F.size(x) > 0), x))
+    return _values(t, lines, page_count, lambda values: _applied(t, values, kept, ROW_CONFIDENCE, "template"))
 
 
 def _applied(t: Column, values: dict[str, Column], items: Column, rows: float, source: str) -> Column:
@@ -164,14 +166,13 @@ def ocr_rows(t: Column, merged: Column) -> Column:
     return _bound(F.get(heads, F.lit(0)), rows)
 
 
-def apply_template_ocr(t: Column, lines: Column, tables: Column, page_count: Column) -> Column:
-    """The same for words of a scan: lines are merged first, and items come from bands where these give any."""
-    def use(merged: Column) -> Column:
-        table = t["item_table"]
-        items = _bound(ocr_rows(t, merged), lambda rows: line_items(rows, _columns(table["columns"]), table["continuation"], t["decimal"]))
-        return _applied(t, _values(t, merged, page_count), F.when(table.isNotNull() & (F.size(items) > 0), items), OCR_CONFIDENCE, "ocr")
-
-    return let(merged_lines(lines), use)
+def apply_template_ocr(t: Column, merged: Column, page_count: Column) -> Column:
+    """The same for words of a scan. ``merged``: a column of visual lines, from ``merged_lines``; items come from bands
+    where these give any."""
+    table = t["item_table"]
+    items = _bound(ocr_rows(t, merged), lambda rows: line_items(rows, _columns(table["columns"]), table["continuation"], t["decimal"]))
+    kept = let(items, lambda x: F.when(table.isNotNull() & (F.size(x) > 0), x))
+    return _values(t, merged, page_count, lambda values: _applied(t, values, kept, OCR_CONFIDENCE, "ocr"))
 
 
 def _find(lines: Column, variants: Column) -> Column:

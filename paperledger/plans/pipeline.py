@@ -22,6 +22,7 @@ from ..operators import rules as L
 from ..operators import segment as S
 from ..operators import template as T
 from ..operators import vendors as V
+from ..operators.layout import merged_lines
 from ..sources.ports import Port, is_invoice_attachment
 from ..sources.tables import materialised
 from .options import Options
@@ -140,7 +141,8 @@ def image_lane(df: DataFrame, templates: DataFrame, options: Options) -> DataFra
     found = V.resolve(df.select("doc_id", ids.alias("ids")), templates).drop("ids")
     df = df.join(found, "doc_id").join(templates.select("template_id", "template"), "template_id", "left")
     known = F.col("template").isNotNull()
-    df = df.withColumn("_applied", F.when(known, T.apply_template_ocr(F.col("template"), F.col("lines"), F.col("tables"), F.col("page_count"))))
+    df = df.withColumn("_merged", merged_lines(F.col("lines")))
+    df = df.withColumn("_applied", F.when(known, T.apply_template_ocr(F.col("template"), F.col("_merged"), F.col("page_count")))).drop("_merged")
     a, meta = template_envelope(F.col("_applied"))
     away = F.lit("escalated_vlm" if options.model_enabled else "pending_review")
     return df.withColumns({"invoice": F.when(known, a), "field_meta": F.when(known, meta), "next": F.when(known, "extracted").otherwise(away)}).drop("_applied")

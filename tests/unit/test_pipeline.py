@@ -52,8 +52,8 @@ def test_scan_by_template(spark):
     starts = [0.1, 0.2, 0.5, 0.65, 0.8]
     grid = [tables[0][0], *tables[0][1], ["", "Summe", "", "", "1.148,70"]]
     words += [line(c, 0.7 + 0.02 * r, x=starts[k] - (0.02 if k > 1 and r else 0), w=0.09) for r, row in enumerate(grid) for k, c in enumerate(row) if c]
-    df = document(spark, words, doc_id="s").withColumn("k", F.lit(1)).join(t.withColumn("k", F.lit(1)), "k")
-    a = one(df, template.apply_template_ocr(F.col("t"), F.col("lines"), F.col("tables"), F.col("page_count")))
+    df = document(spark, words, doc_id="s").withColumn("k", F.lit(1)).join(t.withColumn("k", F.lit(1)), "k").withColumn("merged", layout.merged_lines(F.col("lines")))
+    a = one(df, template.apply_template_ocr(F.col("t"), F.col("merged"), F.col("page_count")))
     assert a.row_source == "ocr" and [(x.description, x.quantity, x.line_total) for x in a["items"]] == [("Aktenvernichter mit Korb", "1", "399.00"), ("Toner", "3", "598.50"), ("Papier", "4", "151.20")]
     induced = one(document(spark, words), template.induce_ocr_table(layout.merged_lines(F.col("lines"))))
     assert induced.header == tables[0][0] and induced.columns["line_total"] == 4
