@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import trim
 
@@ -17,6 +18,8 @@ UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12
 BLOCKING = ("C1_TOTALS", "C2_LINE_SUM", "C3_LINE_MATH", "C4_VAT_SUM")
 SUMMARY = ("doc_id", "created_at", "updated_at", "filename", "status", "route", "page_count", "attempts", "parent_id", "error")
 DETAIL = ("extracted", "canonical", "violations", "repairs", "features", "vendor", "segments", "markdown")
+#: Limits of one request of files.
+MOST_BYTES, MOST_FILES = 100 * 1024 * 1024, 50
 
 
 def checked_limit(value, default: int = 100) -> int:
@@ -34,6 +37,106 @@ def checked_id(value: str) -> str:
     return value
 
 
+def summary(docs: DataFrame) -> DataFrame:
+    """What a listing shows of a document: no content and no payload."""
+    return docs.select(*SUMMARY)
+
+
+def detail(docs: DataFrame) -> DataFrame:
+    """The summary and the payloads."""
+    return docs.select(*SUMMARY, *DETAIL)
+
+
+def looked_up(asked: DataFrame, docs: DataFrame, *columns: str, wait_for: str | None = None) -> DataFrame:
+    """For each id asked for, ``code`` and columns of its row: 404 without a row, or where all columns are null; 409
+    where the row's status is not the one to ``wait_for``; else 200. Columns are null unless the code is 200."""
+    joined = asked.select("doc_id").join(docs.select("doc_id", F.col("status").alias("_status"), *columns, F.lit(True).alias("_there")), "doc_id", "left")
+    none = ~F.coalesce("_there", F.lit(False))
+    for c in columns[:1] if wait_for is None else ():
+        none = none | F.col(c).isNull()
+    late = F.lit(False) if wait_for is None else F.col("_status") != wait_for
+    code = F.when(none, 404).when(late, 409).otherwise(200)
+    return joined.select("doc_id", code.alias("code"), *[F.when(code == 200, F.col(c)).alias(c) for c in columns])
+
+
+def claim(docs: DataFrame, most_attempts: int, limit: int = 1) -> DataFrame:
+    """The documents that a worker takes next: of those that wait, the oldest. One reader plans a micro-batch, so that no
+    row needs a lock."""
+    return docs.where(claimable(most_attempts)).orderBy("created_at", "doc_id").limit(limit)
+
+
+def intake(files: DataFrame, history: DataFrame) -> DataFrame:
+    """A result for each file of requests (request, n, filename, content): doc_id, filename, content_hash and outcome.
+    ``empty`` parts are skipped, a file past the limit of a request is ``too_many``, one over the limit of bytes
+    ``too_large``, known content ``duplicate``, which names the document that holds it; the rest is ``stored``, the
+    first of equal ones in the order of request and n."""
+    size = F.length("content")
+    place = F.row_number().over(Window.partitionBy("request").orderBy((size == 0).cast("int"), "n"))
+    early = F.when(size == 0, "empty").when(place > MOST_FILES, "too_many").when(size > MOST_BYTES, "too_large")
+    sized = files.withColumns({"early": early, "content_hash": content_hash(F.col("content"))}).drop("content")
+    known = history.where(F.col("status") != "failed").groupBy("content_hash").agg(F.min("doc_id").alias("holder"))
+    first = sized.where("early IS NULL").groupBy("content_hash").agg(F.min(F.struct("request", "n")).alias("first"))
+    joined = sized.join(known, "content_hash", "left").join(first, "content_hash", "left")
+    own = F.concat_ws("/", F.col("request").cast("string"), F.col("n").cast("string"))
+    holder = F.coalesce(F.col("holder").cast("string"), F.concat_ws("/", F.col("first.request").cast("string"), F.col("first.n").cast("string")))
+    outcome = F.coalesce("early", F.when(holder == own, "stored").otherwise("duplicate"))
+    return joined.select("request", "n", "filename", "content_hash", outcome.alias("outcome"), F.when(outcome.isin("stored", "duplicate"), holder).alias("doc_id"))
+
+
+def escalations(df: DataFrame, reason: Column) -> DataFrame:
+    """Rows for the escalation sink, of the documents with a reason."""
+    rows = df.select(F.col("doc_id").cast("string").alias("doc_id"), reason.alias("reason"), F.lit("open").alias("resolution"), F.current_timestamp().alias("at"))
+    return rows.where(F.col("reason").isNotNull())
+
+
+def leaves(value: Column, kind: T.DataType, path: Column | None = None) -> Column:
+    """An array of (path, value) for everything below a nested value that is neither null nor a container, by dotted
+    path; elements of lists go by their number from 0."""
+    def under(name: Column) -> Column:
+        return name if path is None else F.concat_ws(".", path, name)
+
+    none = F.array().cast("array<struct<path:string,value:string>>")
+    if isinstance(kind, T.StructType):
+        parts = [leaves(value[f.name], f.dataType, under(F.lit(f.name))) for f in kind]
+        return F.concat(none, *parts)
+    if isinstance(kind, T.ArrayType):
+        each = F.flatten(F.transform(value, lambda x, i: leaves(x, kind.elementType, under(i.cast("string")))))
+        return F.coalesce(each, none)
+    one = F.array(F.struct(path.alias("path"), value.cast("string").alias("value")))
+    return F.when(value.isNotNull(), one).otherwise(none)
+
+
+def set_path(value: Column, kind: T.DataType, path: str, new: Column) -> Column:
+    """A nested value with the leaf at a dotted path replaced. Containers that are null are made, with all else null;
+    a list grows up to the number asked for."""
+    name, _, rest = path.partition(".")
+    if isinstance(kind, T.StructType):
+        own = {f.name: f.dataType for f in kind}
+        if name not in own:
+            raise ValueError(f"no field {name!r}")
+        made = [set_path(value[n], t, rest, new) if n == name and rest else (new.cast(t) if n == name else value[n]).alias(n) for n, t in own.items()]
+        return F.struct(*[m.alias(n) for m, n in zip(made, own, strict=True)]).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        at = int(name)
+        whole = F.sequence(F.lit(0), F.greatest(F.coalesce(F.size(value), F.lit(0)) - 1, F.lit(at)))
+
+        def one(i: Column) -> Column:
+            old = F.get(value, i)
+            return F.when(i == at, set_path(old, kind.elementType, rest, new) if rest else new.cast(kind.elementType)).otherwise(old)
+
+        return F.transform(whole, one).cast(kind)
+    raise ValueError(f"nothing below {path!r}")
+
+
+def nested_diff(expected: DataFrame, actual: DataFrame, column: str) -> DataFrame:
+    """All leaves that differ between two nested columns of one type: doc_id, path, expected, actual."""
+    def rows(df: DataFrame) -> DataFrame:
+        found = leaves(F.col(column), df.schema[column].dataType)
+        return df.select("doc_id", F.inline(found))
+
+    return diff(rows(expected), rows(actual))
+
+
 def newest(docs: DataFrame, limit: int = LISTED, status: str | None = None, order: str = "created_at", tie: str = "doc_id") -> DataFrame:
     rows = docs if status is None else docs.where(F.col("status") == status)
     return rows.orderBy(F.desc(order), tie).limit(checked_limit(limit))

@@ -42,13 +42,6 @@ def conflict(matched_by: Column, new: Column, old: Column) -> Column:
     return weak & (F.coalesce(new["vat_id"] != old["vat_id"], F.lit(False)) | F.coalesce(new["tax_number"] != old["tax_number"], F.lit(False)))
 
 
-def merge_ids(old: Column, new: Column) -> Column:
-    def ibans(x: Column) -> Column:
-        return F.coalesce(x["ibans"], F.array().cast("array<string>"))
-
-    return F.struct(*[F.coalesce(new[n], old[n]).alias(n) for n in ("vat_id", "tax_number")], F.array_union(ibans(old), ibans(new)).alias("ibans"), F.coalesce(new["name_hash"], old["name_hash"]).alias("name_hash"))
-
-
 def upsert(templates: DataFrame, induced: DataFrame) -> DataFrame:
     """The template table after a batch: rows (template_id, ids, body, version, source). ``induced`` holds doc_id, seq,
     ids, body and source; all of a batch resolve against the table as it is at its start. Those of one target are
@@ -58,20 +51,25 @@ def upsert(templates: DataFrame, induced: DataFrame) -> DataFrame:
     own = found.withColumn("_new", F.col("template_id").isNull() | F.coalesce(conflict(F.col("matched_by"), F.col("ids"), F.col("old")), F.lit(False)))
     strongest = let(F.array_min(keys(F.col("ids"))), lambda k: F.concat_ws(":", k["tier"].cast("string"), k["value"]))
     target = F.when(F.col("_new"), F.concat(F.lit("new:"), F.coalesce(strongest, F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))))).otherwise(F.col("template_id").cast("string"))
-    def earlier(a: Column, b: Column) -> Column:
-        x, y = F.struct(a["seq"], a["doc_id"]), F.struct(b["seq"], b["doc_id"])
-        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    # Of a target's documents only the last body, each identifier's last value, the accounts and their number count.
+    order = F.struct("seq", "doc_id")
+    accounts = F.transform(F.coalesce("ids.ibans", F.array().cast("array<string>")), lambda v: F.struct(v.alias("iban")))
+    own = own.withColumns({"_target": target, "_order": order})
+
+    def last_known(name: str) -> Column:
+        return F.max(F.when(F.col(f"ids.{name}").isNotNull(), F.struct("_order", F.col(f"ids.{name}").alias("v"))))["v"].alias(f"_{name}")
 
-    in_order = F.array_sort(F.collect_list(F.struct("seq", "doc_id", "ids", "body", "source")), earlier)
-    batch = own.withColumn("_target", target).groupBy("_target").agg(in_order.alias("_all"))
+    batch = own.groupBy("_target").agg(F.max_by("body", "_order").alias("_body"), F.max_by("source", "_order").alias("_source"), F.count("*").cast("int").alias("_n"), *[last_known(n) for n in ("vat_id", "tax_number", "name_hash")])
+    seen = own.select("_target", "_order", F.posexplode(accounts).alias("_at", "_a")).groupBy("_target", F.col("_a.iban").alias("iban")).agg(F.min(F.struct("_order", "_at")).alias("first"))
+    listed = seen.groupBy("_target").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "iban"))), lambda x: x["iban"]).alias("_ibans"))  # distinct accounts of one vendor
     stored = templates.withColumn("_target", F.col("template_id").cast("string"))
-    both = stored.join(batch, "_target", "full_outer")
-    last = F.try_element_at("_all", F.lit(-1))
-    start = F.coalesce(F.col("ids"), F.get("_all", F.lit(0))["ids"])
+    both = stored.join(batch.join(listed, "_target", "left"), "_target", "full_outer")
+    none = F.array().cast("array<string>")
+    merged = F.struct(*[F.coalesce(f"_{n}", F.col(f"ids.{n}")).alias(n) for n in ("vat_id", "tax_number")], F.array_union(F.coalesce("ids.ibans", none), F.coalesce("_ibans", none)).alias("ibans"), F.coalesce("_name_hash", F.col("ids.name_hash")).alias("name_hash"))
     kind = "struct<vat_id:string,tax_number:string,ibans:array<string>,name_hash:string>"
-    ids = F.when(F.col("_all").isNull(), F.col("ids").cast(kind)).otherwise(F.aggregate("_all", start.cast(kind), lambda a, x: merge_ids(a, x["ids"]).cast(kind)))
-    grown = F.coalesce("version", F.lit(0)) + F.coalesce(F.when(F.col("_all").isNotNull(), F.size("_all")), F.lit(0))
-    return both.select(F.col("_target").alias("template_id"), ids.alias("ids"), F.coalesce(last["body"], F.col("body")).alias("body"), grown.alias("version"), F.coalesce(last["source"], F.col("source")).alias("source"))
+    ids = F.when(F.col("_n").isNull(), F.col("ids").cast(kind)).otherwise(merged.cast(kind))
+    grown = F.coalesce("version", F.lit(0)) + F.coalesce("_n", F.lit(0))
+    return both.select(F.col("_target").alias("template_id"), ids.alias("ids"), F.coalesce("_body", "body").alias("body"), grown.alias("version"), F.coalesce("_source", "source").alias("source"))
 
 
 def unclaimed(new_links: DataFrame, links: DataFrame) -> DataFrame:
@@ -81,4 +79,5 @@ def unclaimed(new_links: DataFrame, links: DataFrame) -> DataFrame:
 
 def latest(templates: DataFrame, limit: int = 100) -> DataFrame:
     """Newest-updated first: ids and the vendor's name without the body."""
-    return templates.orderBy(F.desc("updated_at"), "template_id").limit(limit)
+    rows = templates.orderBy(F.desc("updated_at"), "template_id").limit(limit)
+    return rows.select("template_id", "ids", F.col("body.vendor_ids.display_name").alias("display_name"), "updated_at")

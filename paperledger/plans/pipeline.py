@@ -1,8 +1,9 @@
 """The batch plan: route, gate, segment, classify, resolve, extract, merge, reconcile, decide, learn.
 
 Every step is a projection of a document's row but the vendor lookup (an equi-join over identifiers) and the model
-port's join. Between the large steps rows are written to the shared working folder, which keeps plans small. Documents resolve against the templates as they are at the start of a batch; what a batch induces is
-folded into the template table at its end, in the order of documents. A batch of one document is the sequential case.
+port's join. Between the large steps rows are written to the shared working folder, which keeps plans small. Documents
+resolve against the templates as they are at the start of a batch; what a batch induces is folded into the template
+table at its end, in the order of documents. A batch of one document is the sequential case.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from ..operators import segment as S
 from ..operators import template as T
 from ..operators import vendors as V
 from ..operators.layout import merged_lines
-from ..sources.ports import Port, is_invoice_attachment
+from ..operators.cii import read_xml
+from ..sources.ports import Port, embedded_xml, is_invoice_attachment
 from ..sources.tables import materialised
 from .options import Options
-from .schemas import INVOICE, META, TEMPLATE, struct_type
+from .schemas import INVOICE, LINE, META, TABLE, TEMPLATE, struct_type
 
 
 def route(attachments: Column, characters: Column, options: Options) -> Column:
@@ -35,8 +37,17 @@ def route(attachments: Column, characters: Column, options: Options) -> Column:
 
 
 def xml_lane(df: DataFrame) -> DataFrame:
-    """Rows with ``invoice`` and ``error`` of the e-invoice reader, with the lane they go on in."""
-    return df.withColumn("route", F.when(F.col("error").isNull(), "zugferd").otherwise("text"))
+    """Documents with ``attachments`` through the e-invoice reader: ``invoice``, ``field_meta`` and ``next``, which is
+    extracted, or text where the XML does not tell; then ``reason`` is that of an escalation."""
+    read = read_xml(embedded_xml(df)).drop("xml")
+    bad = F.col("error").isNotNull() | F.col("invoice").isNull()
+    meta = F.create_map(F.lit("*"), _source("zugferd", 1.0))
+    return read.withColumns({"field_meta": F.when(~bad, meta), "next": F.when(bad, "text").otherwise("extracted"), "reason": F.when(bad, "xml_fallthrough")}).drop("error")
+
+
+def _source(name: str, confidence: float) -> Column:
+    """Provenance of values that no single place shows."""
+    return F.struct(F.lit(name).alias("source"), F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("raw_text"), F.lit(None).cast("int").alias("page"), F.lit(None).alias("box")).cast(META)
 
 
 def text_lane(df: DataFrame, options: Options, words=G.WORDS) -> DataFrame:
@@ -118,9 +129,7 @@ def extract(df: DataFrame, templates: DataFrame, lexicon: L.Lexicon = L.DEFAULT)
     template_id, ids and template."""
     on_page = F.transform("lines", lambda x: F.struct(x["text"].alias("text"), x["box"]["y0"].alias("y0")))
     df = df.withColumn("vendor", extract_vendor_ids(on_page))
-    ids = F.struct(*[F.col(f"vendor.{n}").alias(n) for n in ("vat_id", "tax_number", "ibans", "name_hash")])
-    found = V.resolve(df.select("doc_id", ids.alias("ids")), templates).drop("ids")
-    df = df.join(found, "doc_id").join(templates.select("template_id", "template"), "template_id", "left")
+    df = with_template(df, templates)
     df = df.withColumn("_rules", L.run_rules(F.col("lines"), F.col("tables"), lexicon))
     applied = T.apply_template(F.col("template"), F.col("lines"), F.col("tables"), F.col("page_count"))
     df = df.withColumn("_applied", F.when(F.col("template").isNotNull(), applied))
@@ -133,13 +142,21 @@ def extract(df: DataFrame, templates: DataFrame, lexicon: L.Lexicon = L.DEFAULT)
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
+def with_template(df: DataFrame, templates: DataFrame) -> DataFrame:
+    """Documents with ``vendor`` and the template of their strongest identifier, matched_by and template_id. Only slim
+    rows are resolved; a document and its template meet once, by its id, and rows that repeat one stay as many."""
+    ids = F.struct(*[F.col(f"vendor.{n}").alias(n) for n in ("vat_id", "tax_number", "ibans", "name_hash")])
+    slim = df.select("doc_id", ids.alias("ids")).dropDuplicates(["doc_id"])
+    found = V.resolve(slim, templates).drop("ids").where("template_id IS NOT NULL")
+    held = found.join(templates.select("template_id", "template"), "template_id")
+    return df.join(held, "doc_id", "left")
+
+
 def image_lane(df: DataFrame, templates: DataFrame, options: Options) -> DataFrame:
     """Scans: a known vendor's template is applied to the merged words; others go to the model or to review."""
     on_page = F.transform("lines", lambda x: F.struct(x["text"].alias("text"), x["box"]["y0"].alias("y0")))
     df = df.withColumn("vendor", extract_vendor_ids(on_page))
-    ids = F.struct(*[F.col(f"vendor.{n}").alias(n) for n in ("vat_id", "tax_number", "ibans", "name_hash")])
-    found = V.resolve(df.select("doc_id", ids.alias("ids")), templates).drop("ids")
-    df = df.join(found, "doc_id").join(templates.select("template_id", "template"), "template_id", "left")
+    df = with_template(df, templates)
     known = F.col("template").isNotNull()
     df = df.withColumn("_merged", merged_lines(F.col("lines")))
     df = df.withColumn("_applied", F.when(known, T.apply_template_ocr(F.col("template"), F.col("_merged"), F.col("page_count")))).drop("_merged")
@@ -152,7 +169,7 @@ def ask_model(df: DataFrame, port: Port) -> DataFrame:
     """Documents for the model: an invoice becomes an envelope of source vlm, anything else Markdown."""
     said = port(df)
     joined = df.drop("invoice", "field_meta", "markdown").join(said, "doc_id")
-    meta = F.create_map(F.lit("*"), F.struct(F.lit("vlm").alias("source"), F.lit(0.75).alias("confidence"), F.lit(None).cast("string").alias("raw_text"), F.lit(None).cast("int").alias("page"), F.lit(None).alias("box")).cast(META))
+    meta = F.create_map(F.lit("*"), _source("vlm", 0.75))
     fields = [f.name for f in struct_type(INVOICE).fields]
     invoice = F.when(F.col("is_invoice"), F.struct(*[F.col(f"reply_invoice.{f}").alias(f) for f in fields]).cast(INVOICE))
     step = F.when(F.col("is_invoice"), "extracted").otherwise("exported_markdown")
@@ -178,34 +195,125 @@ def induce(committed: DataFrame, options: Options) -> DataFrame:
     return t.select("doc_id", F.col("doc_id").alias("seq"), ids.alias("ids"), "body", "source")
 
 
+@dataclass
+class Ports:
+    """What stands outside: ``ocr`` gives doc_id, page_count, lines and tables of a scan's words; ``model`` gives doc_id,
+    is_invoice, reply_invoice, reply_markdown and not_json."""
+
+    ocr: Port | None = None
+    model: Port | None = None
+
+
 @dataclass
 class Result:
-    """What a batch leaves: documents with their status, and the templates after it."""
+    """What a batch leaves: documents with their status, the templates after it, escalations (doc_id, reason) and the
+    stages that each document passed (doc_id, event, detail)."""
 
     documents: DataFrame
     templates: DataFrame
+    escalations: DataFrame
+    events: DataFrame
+
+
+_DONE = ("doc_id", "parent_id", "lane", "lines", "tables", "page_count", "markdown", "band", "invoice", "field_meta", "by", "attempted")
 
 
-def run_batch(docs: DataFrame, templates: DataFrame, options: Options | None = None, lexicon: L.Lexicon = L.DEFAULT, words=G.WORDS) -> Result:
-    """Positioned documents of the text lane (doc_id, page_count, lines, tables, markdown) to statuses, and the
-    template table (template_id, ids, body, version, source) with what the batch taught. The invoices of a document of
-    several are documents of their own, with its id as ``parent_id``."""
-    options = options or Options()
-    laned = materialised(text_lane(docs, options, words), "laned")
-    if "parent_id" not in laned.columns:
-        laned = laned.withColumn("parent_id", F.lit(None).cast("string"))
+def _shaped(df: DataFrame, lane: str, by: Column | None = None, **more: Column) -> DataFrame:
+    """Extracted documents of any lane, in the columns of ``_DONE``."""
+    kinds = {"doc_id": "string", "parent_id": "string", "lane": "string", "lines": f"array<{LINE}>", "tables": f"array<{TABLE}>", "page_count": "int", "markdown": "string", "band": "string", "invoice": INVOICE, "field_meta": f"map<string,{META}>", "by": "string", "attempted": "boolean"}
+    given = {"lane": F.lit(lane), "by": by if by is not None else F.lit(lane), "attempted": F.lit(False), **more}
+    return df.select(*[(given[c] if c in given else F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def _by() -> Column:
+    return F.when(F.exists(F.map_values("field_meta"), lambda m: m["source"] == "template"), "template").otherwise("rules")
+
+
+def reconciled(rows: DataFrame, options: Options) -> DataFrame:
+    """Extracted documents solved and decided: canonical, repairs, violations and ``next``."""
+    solved = R.reconcile(rows.select("doc_id", "invoice", "field_meta"), options.reconcile)
+    solved = solved.select("doc_id", "status", F.col("invoice").alias("canonical"), "repairs", "violations", "total_failure")
+    joined = rows.drop("invoice", "field_meta").join(solved, "doc_id").withColumn("vlm_attempted", F.col("attempted"))
+    return decide(joined, options).drop("status", "total_failure", "vlm_attempted")
+
+
+def run_batch(docs: DataFrame, templates: DataFrame, options: Options | None = None, lexicon: L.Lexicon = L.DEFAULT, words=G.WORDS, ports: Ports | None = None) -> Result:
+    """Documents (doc_id, page_count, lines, tables, markdown) to statuses, and the template table (template_id, ids,
+    body, version, source) with what the batch taught.
+
+    Where ``docs`` also holds attachments (name, content) and characters, the number found on the first pages, each
+    document takes its route: e-invoices are read, and fall through to the text lane where that fails; scans, and texts
+    that the gate refuses, go to the image lane with the words of ``ports.ocr``; what stays uncertain, unsolved or
+    unknown is put to ``ports.model`` once, where options enable it, and solved again. The invoices of a document of
+    several are documents of their own, with its id as ``parent_id``. Without a port its documents wait for review, or
+    with the status that asks for it."""
+    options, ports = options or Options(), ports or Ports()
+    if "parent_id" not in docs.columns:
+        docs = docs.withColumn("parent_id", F.lit(None).cast("string"))
+    taken = {"attachments", "characters"} <= set(docs.columns)
+    routed = docs.withColumn("route", route(F.transform("attachments", lambda a: a["name"]), F.col("characters"), options) if taken else F.lit("text"))
+    routed = materialised(routed, "routed")
+    known = templates.withColumn("template", F.col("body"))
+    told = [routed.select("doc_id", F.lit("routed").alias("event"), F.to_json(F.struct("route")).alias("detail"))]
+    raised = []
+
+    texts, extracted = routed.where("route = 'text'").drop("attachments"), []
+    if taken and not routed.where("route = 'zugferd'").isEmpty():
+        xml = materialised(xml_lane(routed.where("route = 'zugferd'")), "xml")
+        raised.append(D.escalations(xml, F.col("reason")))
+        extracted.append(_shaped(xml.where("next = 'extracted'"), "zugferd", lines=F.lit(None), tables=F.lit(None)))
+        texts = texts.unionByName(xml.where("next = 'text'").select(*texts.columns))
+
+    laned = materialised(text_lane(texts.drop("route", "characters"), options, words), "laned")
     if not laned.where("next = 'segmented'").isEmpty():
         own = materialised(text_lane(segment_children(laned), options, words), "children")
         laned = laned.unionByName(own, allowMissingColumns=True)
-    known = templates.withColumn("template", F.col("body"))
-    out = materialised(extract(laned.where("next = 'extract'"), known, lexicon), "extracted")
-    solved = R.reconcile(out.select("doc_id", "invoice", "field_meta"), options.reconcile)
-    solved = solved.select("doc_id", "status", F.col("invoice").alias("canonical"), "repairs", "violations", "total_failure")
-    by = F.when(F.exists(F.map_values("field_meta"), lambda m: m["source"] == "template"), "template").otherwise("rules")
-    joined = out.select("doc_id", "parent_id", "lines", "tables", "page_count", "markdown", F.col("class.band").alias("band"), by.alias("by")).join(solved, "doc_id")
-    done = materialised(decide(joined.withColumn("vlm_attempted", F.lit(False)), options), "decided")
-    taught = materialised(induce(done.where("next = 'committed'"), options), "induced")
+    told.append(laned.select("doc_id", F.lit("text_gate").alias("event"), F.to_json(F.struct("gate.verdict")).alias("detail")))
+    told.append(laned.select("doc_id", F.lit("classified").alias("event"), F.to_json(F.struct("class.band")).alias("detail")))
+    text = materialised(extract(laned.where("next = 'extract'"), known, lexicon), "extracted")
+    extracted.append(_shaped(text, "text", _by(), band=F.col("class.band")))
+
+    waiting = laned.where("next NOT IN ('extract', 'image', 'escalated_vlm')").select("doc_id", "parent_id", "markdown", F.col("next").alias("status"))
+    model = [laned.where("next = 'escalated_vlm'")]
+    scans = laned.where("next = 'image'").select("doc_id", "parent_id", "markdown").unionByName(routed.where("route = 'image'").select("doc_id", "parent_id", "markdown"))
+    if ports.ocr is None:
+        waiting = waiting.unionByName(scans.withColumn("status", F.lit("image")))
+    else:
+        scans = materialised(scans, "scans")
+        seen = materialised(image_lane(scans.join(ports.ocr(scans), "doc_id"), known, options), "image")
+        extracted.append(_shaped(seen.where("next = 'extracted'"), "image", F.lit("template")))
+        model.append(seen.where("next = 'escalated_vlm'"))
+        waiting = waiting.unionByName(seen.where("next = 'pending_review'").select("doc_id", "parent_id", "markdown", F.lit("pending_review").alias("status")))
+
+    rows = extracted[0]
+    for more in extracted[1:]:
+        rows = rows.unionByName(more)
+    first = materialised(reconciled(rows, options), "decided")
+    done = first
+    asked = first.where("next = 'escalated_vlm'").select("doc_id", "parent_id", "lines", "tables", "page_count", "markdown")
+    for m in model:
+        asked = asked.unionByName(m.select("doc_id", "parent_id", "lines", "tables", "page_count", "markdown"), allowMissingColumns=True)
+    raised.append(D.escalations(asked, F.lit("to_model")))
+    if ports.model is not None and options.model_enabled:
+        asked = materialised(asked, "asked")
+        said = materialised(ask_model(asked, ports.model), "replies")
+        waiting = waiting.unionByName(said.where("next = 'exported_markdown'").select("doc_id", "parent_id", "markdown", F.col("next").alias("status")))
+        again = reconciled(_shaped(said.where("next = 'extracted'"), "image", F.lit("vlm"), attempted=F.lit(True), band=F.lit("invoice")), options)
+        done = first.where("next <> 'escalated_vlm'").unionByName(materialised(again, "solved-again"))
+    else:
+        waiting = waiting.unionByName(laned.where("next = 'escalated_vlm'").select("doc_id", "parent_id", "markdown", F.col("next").alias("status")))
+    told.append(done.select("doc_id", F.lit("reconciled").alias("event"), F.to_json(F.struct(F.col("next").alias("status"))).alias("detail")))
+    raised.append(D.escalations(done.where("next = 'pending_review'"), F.array_join(F.transform("violations", lambda v: v["constraint"]), ",")))
+
+    taught = materialised(induce(done.where("next = 'committed' AND lane <> 'zugferd'"), options), "induced")
     columns = ("doc_id", "parent_id", "canonical", "repairs", "violations", "markdown")
-    rest = laned.where("next <> 'extract'").select("doc_id", "parent_id", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns[2:5]], "markdown", F.col("next").alias("status"))
+    rest = waiting.select("doc_id", "parent_id", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in columns[2:5]], "markdown", "status")
     documents = done.select(*columns, F.col("next").alias("status")).unionByName(rest)
-    return Result(documents, V.upsert(templates, taught))
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        return whole
+
+    return Result(documents, V.upsert(templates, taught), together(raised), together(told))

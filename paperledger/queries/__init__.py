@@ -27,4 +27,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import invoices, layouts, records, templates, texts  # noqa: F401
+    from . import invoices, layouts, records, stages, templates, texts  # noqa: F401

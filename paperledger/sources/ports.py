@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences
 from ..operators.layout import LAYOUT, map_layout
-from ..operators.records import content_hash
+from ..operators.records import MOST_BYTES, content_hash
 from ..plans.schemas import CANONICAL
 
 Port = Callable[[DataFrame], DataFrame]
 
 #: Names of attachments that hold an e-invoice. The last two are found anywhere in a name.
 ATTACHMENT = r"(?i)^factur-x\.xml$|^zugferd-invoice\.xml$|^xrechnung\.xml$|zugferd.*\.xml|factur-?x.*\.xml"
-MOST_BYTES, MOST_FILES = 100 * 1024 * 1024, 50
 
 
 def is_invoice_attachment(name: Column) -> Column:
