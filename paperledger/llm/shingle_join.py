@@ -388,7 +388,8 @@ def _components(rows: DataFrame) -> DataFrame:
     groups = scratch.table(components(maybe), "groups")
 
     sized = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    few = F.least(F.ceil(F.count("*") / SMALL), F.lit(FEW))
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), few).cast("int").alias("blocks"))
     placed = groups.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
     tasks = rows.join(placed, "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(_blocks, "task long, rep long, n int, tokens binary")
     links = tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_link, "a long, b long")
