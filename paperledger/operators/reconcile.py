@@ -283,6 +283,19 @@ def repair(df: DataFrame, options: Reconcile = DEFAULT, rules=RULES) -> DataFram
     return df
 
 
+def by_rate(lines: Column) -> Column:
+    """The VAT breakdown of lines: net and tax of each rate, the highest first; lines without a rate or total are left
+    out."""
+    whole = F.filter(lines, lambda x: x["tax_rate"].isNotNull() & x["line_total"].isNotNull())
+    rates = F.sort_array(F.array_distinct(F.transform(whole, lambda x: x["tax_rate"])), asc=False)
+
+    def entry(r: Column) -> Column:
+        net = _sum_exact(F.filter(whole, lambda x: x["tax_rate"] == r), lambda x: x["line_total"])
+        return F.struct(r.alias("rate"), net.cast(AMOUNT).alias("net"), F.round(net * r * F.lit("0.01").cast("decimal(3,2)"), 2).cast(AMOUNT).alias("tax"))
+
+    return F.transform(rates, entry).cast(f"array<{WORK_VAT}>")
+
+
 def unresolved() -> Column:
     lines, vat = F.col("lines"), F.col("vat")
     rates = F.size(F.array_distinct(F.filter(F.transform(vat, lambda v: v["rate"]), lambda r: r.isNotNull())))

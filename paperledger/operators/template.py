@@ -41,6 +41,12 @@ def confidence(region: Column, label: Column, pattern: Column) -> Column:
     return out
 
 
+def line_below(x: Column, lines: Column) -> Column:
+    """The highest of the lines of the same page that begin under a line and overlap it from the side, or null."""
+    under = F.filter(lines, lambda y: (y["page"] == x["page"]) & (y["box"]["y0"] > x["box"]["y1"] - 0.005) & (y["box"]["x0"] < x["box"]["x1"]) & (x["box"]["x0"] < y["box"]["x1"]))
+    return F.array_min(F.transform(under, lambda y, i: F.struct(y["box"]["y0"].alias("y"), i.alias("i"), y.alias("line"))))["line"]
+
+
 def find_field(d: Column, lines: Column, page_count: Column) -> Column:
     """The hit of a field's descriptor: raw, confidence, page and box, or null. Lines near the region come first, the
     nearest leading; a label must be in the line, and its value follows it or stands in the next line below."""
@@ -58,14 +64,9 @@ def find_field(d: Column, lines: Column, page_count: Column) -> Column:
         return let(F.when(has_pattern, F.call_function("regexp_extract", bare, d["value_pattern"], F.lit(0))).otherwise(bare), made)
 
     def search(candidates: Column) -> Column:
-        def below(x: Column) -> Column:
-            under = F.filter(candidates, lambda y: (y["page"] == x["page"]) & (y["box"]["y0"] > x["box"]["y1"] - 0.005) & (y["box"]["x0"] < x["box"]["x1"]) & (x["box"]["x0"] < y["box"]["x1"]))
-            first = F.array_min(F.transform(under, lambda y, i: F.struct(y["box"]["y0"].alias("y"), i.alias("i"), y.alias("line"))))
-            return first["line"]
-
         def by_label(x: Column) -> Column:
             rest = F.regexp_replace(F.coalesce(F.substring(x["text"], label_end_anywhere(x["text"], d["label"]) + 1, F.length(x["text"])), F.lit("")), rf"^[:{SPACE_SIGNS}]+", "")
-            return F.coalesce(tried(rest, F.lit(True), x), let(below(x), lambda y: F.when(y.isNotNull(), tried(y["text"], F.lit(True), y))))
+            return F.coalesce(tried(rest, F.lit(True), x), let(line_below(x, candidates), lambda y: F.when(y.isNotNull(), tried(y["text"], F.lit(True), y))))
 
         labelled = F.filter(candidates, lambda x: F.contains(normalize_label(x["text"]), normalize_label(d["label"])))
         hits = F.when(has_label, F.transform(labelled, by_label)).otherwise(F.transform(candidates, lambda x: tried(x["text"], F.lit(False), x)))

@@ -257,7 +257,7 @@ def repair_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LINES_SQL + "SELECT k, CAST(rate AS INTEGER) AS rate, CAST(net AS BIGINT) AS net, CAST(tax AS BIGINT) AS tax FROM v")
 def vat_breakdown_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = working(spark, sf_dir).select("k", F.explode("vat").alias("v"))
+    v = working(spark, sf_dir).select("k", F.explode(R.by_rate(F.col("lines"))).alias("v"))
     return v.select("k", F.col("v.rate").cast("int").alias("rate"), cents(F.col("v.net")).alias("net"), cents(F.col("v.tax")).alias("tax"))
 
 

@@ -137,11 +137,9 @@ def region_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOKEN_SQL + """SELECT a.k, CAST(a.n AS INTEGER) AS n, round(min(b.y0), 6) AS below FROM t a LEFT JOIN t b ON b.k = a.k AND b.y0 > a.y1 - 0.005 AND b.x0 < a.x1 AND a.x0 < b.x1 GROUP BY a.k, a.n""")
 def line_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def below(a: Column) -> Column:
-        under = F.filter("boxes", lambda b: (b["y0"] > a["y1"] - 0.005) & (b["x0"] < a["x1"]) & (a["x0"] < b["x1"]))
-        return F.array_min(F.transform(under, lambda b: b["y0"]))
-
-    t = tokens(spark, sf_dir).select("k", F.posexplode(F.transform("boxes", below)).alias("n", "below"))
+    lines = F.transform("boxes", lambda b: F.struct(F.lit(1).alias("page"), b.alias("box")))
+    t = tokens(spark, sf_dir).select("k", lines.alias("lines"))
+    t = t.select("k", F.posexplode(F.transform("lines", lambda x: T.line_below(x, F.col("lines"))["box"]["y0"])).alias("n", "below"))
     return t.select("k", (F.col("n") + 1).alias("n"), F.round("below", 6).alias("below"))
 
 

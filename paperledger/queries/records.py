@@ -67,13 +67,13 @@ def iban_first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unclaimed(links, held)
 
 
-@query("""WITH d AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), h AS (SELECT content_hash FROM d WHERE doc_id < 100 AND doc_id % 10 <> 0)
-SELECT content_hash, min(doc_id) AS doc_id FROM d WHERE doc_id >= 100 AND content_hash NOT IN (SELECT content_hash FROM h) GROUP BY content_hash""")
+@query("""WITH d AS (SELECT doc_id, lang, sha256(encode(text)) AS content_hash FROM documents), h AS (SELECT content_hash FROM d WHERE lang = 'en' AND doc_id % 10 <> 0)
+SELECT content_hash, min(doc_id) AS doc_id FROM d WHERE lang <> 'en' AND content_hash NOT IN (SELECT content_hash FROM h) GROUP BY content_hash""")
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents below 100 are the history; those divisible by 10 failed."""
-    d = read(spark, sf_dir, "documents").select("doc_id", R.content_hash(F.col("text")).alias("content_hash"))
-    history = d.where("doc_id < 100").withColumn("status", F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("committed"))
-    return R.fresh(d.where("doc_id >= 100"), history).select("content_hash", "doc_id")
+    """Bytes of documents: the English ones are the history, of which those divisible by 10 failed; the rest comes in."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", R.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
+    history = d.where("lang = 'en'").withColumn("status", F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("committed"))
+    return R.fresh(d.where("lang <> 'en'"), history).select("content_hash", "doc_id")
 
 
 def _candidate(k: Column, tag: str, m: int) -> Column:
@@ -144,12 +144,12 @@ def trace_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trace(e, docs, F.col("doc_id") % 10 == 0).select("root", "event_id", "event_type")
 
 
-@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS before FROM orders), e AS (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY user_id)
+@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS before FROM orders), e AS (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT d.doc_id, CAST(d.before + coalesce(e.n, 0) AS INTEGER) AS attempts, CASE WHEN e.n IS NOT NULL AND d.before + e.n >= 3 THEN 'failed' ELSE 'routed' END AS status, CASE WHEN e.n IS NOT NULL THEN 'boom' END AS error FROM d LEFT JOIN e USING (doc_id)""")
 def stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     docs = read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit("routed").alias("status"), (k % 3).cast("int").alias("attempts"), F.lit(None).cast("string").alias("error"))
-    errors = read(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.col("user_id").alias("doc_id"), F.lit("boom").alias("message"))
+    errors = read(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.lit("boom").alias("message"))
     return R.after_error(docs, errors, 3).select("doc_id", "attempts", "status", "error")
 
 
