@@ -1,9 +1,13 @@
 """The golden scenario through the batch plan, a scan of it, and the stream."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from paperledger.operators import layout, template
 from paperledger.plans import options, pipeline, schemas
+from paperledger.queries.records import CII
+from paperledger.sources import ports
 from paperledger.sources.tables import materialised
 from paperledger.streaming import pipeline as streaming
 from tests.unit.test_operators import document, line, one
@@ -82,3 +86,32 @@ def test_invoices_of_one_document_are_each_extracted(spark):
     for r in parts.values():
         assert r.status == "committed" and r.canonical.totals.gross == "1366.95"
         assert [x.description for x in r.canonical.line_items] == ["Aktenvernichter mit Korb", "Toner", "Papier"]
+
+
+def test_every_lane(spark):
+    """E-invoices, one of them broken, scans for the model, and texts, each to its end."""
+    lines, tables = scenario()
+    item = "<ram:IncludedSupplyChainTradeLineItem><ram:AssociatedDocumentLineDocument><ram:LineID>1</ram:LineID></ram:AssociatedDocumentLineDocument><ram:SpecifiedTradeProduct><ram:Name>Ware</ram:Name></ram:SpecifiedTradeProduct><ram:SpecifiedLineTradeSettlement><ram:ApplicableTradeTax><ram:RateApplicablePercent>0</ram:RateApplicablePercent></ram:ApplicableTradeTax><ram:SpecifiedTradeSettlementLineMonetarySummation><ram:LineTotalAmount>10.00</ram:LineTotalAmount></ram:SpecifiedTradeSettlementLineMonetarySummation></ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>"
+    xml = CII % ("Z-1", "20260615", item, "1", "811907980", "10.00", "10.00", '<ram:TaxTotalAmount currencyID="EUR">0.00</ram:TaxTotalAmount>', "10.00")
+    whole = [document(spark, lines, tables, doc_id=x) for x in ("z1", "z2")]
+    letter = document(spark, [line("Dear customer, thank you for your letter and the information about this month"), line("we shall contact you before the end of the week with regard to your order")], doc_id="t1")
+    none = [document(spark, [], doc_id=x) for x in ("s1", "s2")]
+    docs = whole[0].unionAll(whole[1]).unionAll(letter).unionAll(none[0]).unionAll(none[1])
+
+    def attached(content):
+        return F.array(F.struct(F.lit("factur-x.xml").alias("name"), F.lit(content).cast("binary").alias("content")))
+
+    empty = F.array().cast("array<struct<name:string,content:binary>>")
+    docs = docs.withColumns({"attachments": F.when(F.col("doc_id") == "z1", attached(xml)).when(F.col("doc_id") == "z2", attached(xml[:200])).otherwise(empty), "characters": F.when(F.col("doc_id").isin("s1", "s2"), 0).otherwise(900)})
+    entry = {"rate": 19.0, "net": "100.00", "tax": "19.00"}
+    invoice = {"schema_version": 1, "invoice_number": "M-1", "issue_date": "2026-06-15", "currency": "EUR", "seller": {"name": "ACME", "ibans": []}, "totals": {"net": "100.00", "tax": "19.00", "gross": "119.00"}, "vat_breakdown": [entry], "line_items": [{"position": 1, "description": "Ware", "tax_rate": 19.0, "line_total": "100.00"}]}
+    replies = spark.createDataFrame([("s1", "```json\n" + json.dumps({"is_invoice": True, "invoice": invoice, "markdown": None}) + "\n```"), ("s2", json.dumps({"is_invoice": False, "invoice": None, "markdown": "# A letter"}))], "doc_id string, reply string")
+    words = document(spark, [line("Some words of a scan", 0.1)], doc_id="s1").select("lines", "tables", "page_count")
+    outside = pipeline.Ports(ocr=lambda d: d.select("doc_id").crossJoin(F.broadcast(words)), model=ports.retried(lambda d: d.select("doc_id").join(replies, "doc_id")))
+    r = pipeline.run_batch(docs, spark.createDataFrame([], streaming.TEMPLATES), options.Options(model_enabled=True), ports=outside)
+    got = {x.doc_id: x for x in materialised(r.documents, "all").collect()}
+    assert {k: x.status for k, x in got.items()} == {"z1": "committed", "z2": "committed", "t1": "exported_markdown", "s1": "committed", "s2": "exported_markdown"}
+    assert got["z1"].canonical.invoice_number == "Z-1" and got["z2"].canonical.invoice_number == "R-2026-0042" and got["s1"].canonical.invoice_number == "M-1" and got["s2"].markdown == "# A letter"
+    assert {(x.doc_id, x.reason) for x in r.escalations.collect()} == {("z2", "xml_fallthrough"), ("s1", "to_model"), ("s2", "to_model")}
+    hops = {x.doc_id: x.detail for x in r.events.where("event = 'routed'").collect()}
+    assert hops["z1"] == '{"route":"zugferd"}' and hops["s1"] == '{"route":"image"}' and hops["t1"] == '{"route":"text"}'
