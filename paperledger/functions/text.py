@@ -68,6 +68,12 @@ def normalize_token(text: Column | str) -> Column:
     return strip_marks(F.replace(F.lower(_col(text)), F.lit("ß"), F.lit("ss")))
 
 
+def normalize_letters(text: Column | str) -> Column:
+    """``normalize_token`` of each run of letters of a text, with all else as it is; combining marks still separate."""
+    plain = F.lower(F.replace(_col(text), F.lit("\u0130"), F.lit("i")))
+    return _if_foreign(plain, lambda t: F.translate(F.replace(t, F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN))
+
+
 def characters(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), ""), lambda c: c != "")
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_token
+from ..functions.text import let, normalize_letters
 from ..plans.options import Gate
 
 #: A small dictionary of our own. Give ``words`` a fuller one for other languages or trades.
@@ -44,28 +44,22 @@ def trie_expression(words: Sequence[str]) -> str:
     return show(tree)
 
 
-def dictionary_hit(token: Column, words: Sequence[str] = WORDS) -> Column:
-    """A normalised token that is a word, or one of six letters or more with a word of 4 to 12 letters inside."""
-    inside = trie_expression([w for w in words if PART[0] <= len(w) <= PART[1]])
-    return token.rlike(f"^(?:{trie_expression(words)})$") | ((F.length(token) >= LONG) & token.rlike(inside or "(?!)"))
-
-
 def text_gate(text: Column, options: Gate = Gate(), words: Sequence[str] = WORDS) -> Column:  # noqa: B008
     """verdict (ok or garbage), hit_rate (null below the least count of tokens), cid_tokens, replacement_ratio,
-    single_ratio, considered and reasons. ``text`` is all lines joined."""
+    single_ratio, considered and reasons. ``text`` is all lines joined. A token is a run of letters; it is a hit if it is a
+    word of four letters or more, or has six or more with a word of 4 to 12 letters inside."""
     cid = F.regexp_count(text, F.lit(r"\(cid:[0-9]+\)"))
     replacement = F.when(F.length(text) > 0, F.regexp_count(text, F.lit("�")) / F.length(text)).otherwise(F.lit(0.0))
-    tokens = F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda t: t != ""), normalize_token)
-    counted = F.aggregate(
-        tokens,
-        F.struct(*[F.lit(0).cast("long").alias(n) for n in ("n", "single", "considered", "hits")]),
-        lambda a, t: F.struct(
-            (a["n"] + 1).alias("n"),
-            (a["single"] + F.when(F.length(t) == 1, 1).otherwise(0)).alias("single"),
-            (a["considered"] + F.when(F.length(t) >= LETTERS, 1).otherwise(0)).alias("considered"),
-            (a["hits"] + F.when((F.length(t) >= LETTERS) & dictionary_hit(t, words), 1).otherwise(0)).alias("hits"),
-        ),
-    )
+    inside = trie_expression([w for w in words if PART[0] <= len(w) <= PART[1]]) or "(?!)"
+    whole = trie_expression([w for w in words if len(w) >= LETTERS]) or "(?!)"
+    hit = rf"(?<!\p{{L}})(?:(?:{whole})(?!\p{{L}})|(?=\p{{L}}{{{LONG}}})\p{{L}}*?(?:{inside})\p{{L}}*+)"
+
+    def counts(t: Column) -> Column:
+        parts = {"n": r"\p{L}++", "single": r"(?<!\p{L})\p{L}(?!\p{L})", "considered": rf"\p{{L}}{{{LETTERS},}}+", "hits": hit}
+        return F.struct(*[F.regexp_count(t, F.lit(x)).cast("long").alias(n) for n, x in parts.items()])
+
+    counted = let(normalize_letters(text), counts)
+
     def of(c: Column) -> Column:
         single = F.when(c["n"] > 0, c["single"] / c["n"]).otherwise(F.lit(0.0))
         rate = F.when(c["considered"] >= options.least_tokens, c["hits"] / c["considered"])
@@ -86,4 +80,4 @@ def text_gate(text: Column, options: Gate = Gate(), words: Sequence[str] = WORDS
             why.alias("reasons"),
         )
 
-    return F.get(F.transform(F.array(counted), of), F.lit(0))
+    return let(counted, of)

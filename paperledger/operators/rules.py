@@ -63,9 +63,11 @@ def _field_value(field: str, pattern: str, rest: Column) -> Column:
     return F.when((raw != "") & value.isNotNull(), F.struct(raw.alias("raw"), value.alias("value")))
 
 
-def label_hits(lines: Column, field: str, lexicon: Lexicon = DEFAULT) -> Column:
-    """All usable hits of a field, best first: the longer label, then its place in the lexicon, then the line. A label
-    must begin its line; a hit without a value falls through to the next."""
+def _folded(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.struct(x["text"].alias("text"), fold(x["text"]).alias("folded"), x["page"].alias("page"), x["box"].alias("box"), F.lit(0).alias("end")))
+
+
+def _hits(folded: Column, field: str, lexicon: Lexicon) -> Column:
     labels, pattern = lexicon.header[field]
     known = sorted(((plain_label(x), i) for i, x in enumerate(labels) if plain_label(x)), key=lambda t: (-len(t[0]), t[1]))
     starts = "|".join(label_expression(label) for label, _ in known)
@@ -79,14 +81,19 @@ def label_hits(lines: Column, field: str, lexicon: Lexicon = DEFAULT) -> Column:
 
         return let(let(remainder(x["text"], x["end"]), lambda rest: _field_value(field, pattern, rest)), of)
 
-    folded = F.transform(lines, lambda x: F.struct(x["text"].alias("text"), fold(x["text"]).alias("folded"), x["page"].alias("page"), x["box"].alias("box"), F.lit(0).alias("end")))
     near = F.filter(folded, lambda x: x["folded"].rlike(starts))
     return F.filter(F.transform(let(near, hits), one), lambda x: x.isNotNull()).cast(f"array<{HIT}>")
 
 
-def header_fields(lines: Column, lexicon: Lexicon = DEFAULT) -> dict[str, Column]:
-    """For each header field its first hit, or null."""
-    return {f: F.get(label_hits(lines, f, lexicon), F.lit(0)) for f in lexicon.header}
+def label_hits(lines: Column, field: str, lexicon: Lexicon = DEFAULT) -> Column:
+    """All usable hits of a field, best first: the longer label, then its place in the lexicon, then the line. A label
+    must begin its line; a hit without a value falls through to the next."""
+    return let(_folded(lines), lambda folded: _hits(folded, field, lexicon))
+
+
+def header_fields(lines: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """For each header field its first hit, or null, as a struct. Lines are folded once for all fields."""
+    return let(_folded(lines), lambda folded: F.struct(*[F.get(_hits(folded, f, lexicon), F.lit(0)).alias(f) for f in lexicon.header]))
 
 
 def vat_lines(lines: Column) -> Column:
@@ -141,16 +148,17 @@ def currency(text: Column) -> Column:
 
 def run_rules(lines: Column, tables: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """invoice_number, issue_date, due_date, net, tax, gross (hits), vat, items, currency, found and missed."""
-    hits = header_fields(lines, lexicon)
+    hits = tuple(lexicon.header)
     text = F.array_join(F.transform(lines, lambda x: x["text"]), " ")
-    made = F.struct(*[v.alias(k) for k, v in hits.items()], vat_lines(lines).alias("vat"), rule_items(tables, lexicon).alias("items"), currency(text).alias("currency"))
+    made = F.struct(header_fields(lines, lexicon).alias("header"), vat_lines(lines).alias("vat"), rule_items(tables, lexicon).alias("items"), currency(text).alias("currency"))
 
     def told(r: Column) -> Column:
-        present = {**{k: r[k].isNotNull() for k in hits}, "line_items": r["items"].isNotNull()}
+        present = {**{k: r["header"][k].isNotNull() for k in hits}, "line_items": r["items"].isNotNull()}
         found = F.array(*[F.when(v, F.lit(k)) for k, v in present.items()], F.when(F.size(r["vat"]) > 0, F.lit("vat_breakdown")))
         missed = F.array(*[F.when(~v, F.lit(k)) for k, v in present.items()])
         return F.struct(
-            *[r[k].alias(k) for k in (*hits, "vat", "items", "currency")],
+            *[r["header"][k].alias(k) for k in hits],
+            *[r[k].alias(k) for k in ("vat", "items", "currency")],
             F.filter(found, lambda x: x.isNotNull()).alias("found"),
             F.filter(missed, lambda x: x.isNotNull()).alias("missed"),
         )

@@ -167,8 +167,8 @@ def classify_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE p.style WHEN 0 THEN x.dot WHEN 1 THEN x.dot WHEN 3 THEN '1.00' END AS tax,
  CASE p.style WHEN 0 THEN x.dot WHEN 1 THEN x.dot WHEN 2 THEN x.dot END AS gross FROM p JOIN x USING (k)""")
 def label_anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = L.header_fields(F.col("lines"))
-    return pages(spark, sf_dir).select("k", *[hits[f]["value"].alias(f) for f in ("invoice_number", "issue_date", "net", "tax", "gross")])
+    hits = pages(spark, sf_dir).select("k", L.header_fields(F.col("lines")).alias("h"))
+    return hits.select("k", *[F.col(f"h.{f}.value").alias(f) for f in ("invoice_number", "issue_date", "net", "tax", "gross")])
 
 
 @query(PAGE_SQL + """SELECT p.k, CAST(CASE p.style WHEN 0 THEN 19 WHEN 1 THEN 7 ELSE 5 END AS INTEGER) AS rate, CASE WHEN p.style = 3 THEN '1.00' ELSE x.dot END AS tax FROM p JOIN x USING (k) WHERE p.style <> 2""")

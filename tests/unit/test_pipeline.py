@@ -68,7 +68,11 @@ def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     document(spark, lines, tables, doc_id="a").write.parquet(source)
     stream = spark.readStream.schema(schemas.POSITIONED).parquet(source)
-    streaming.start(stream, str(tmp_path / "out")).awaitTermination(300)
+    run = streaming.start(stream, str(tmp_path / "out"))
+    run.awaitTermination(300)
+    assert streaming.health(run, str(tmp_path / "out"), layout=False) == {"ok": True, "store": True, "worker": True, "layout": False}
+    assert not streaming.health(run, str(tmp_path / "nowhere"))["ok"]
+    assert spark.read.parquet(str(tmp_path / "out/events/v=0")).where("event = 'reconciled'").count() == 1
     assert [r.status for r in spark.read.parquet(str(tmp_path / "out/documents/v=0")).collect()] == ["committed"]
     assert streaming.templates_before(spark, str(tmp_path / "out"), 1).count() == 1
 
