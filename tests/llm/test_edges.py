@@ -1,5 +1,6 @@
 """Every operator and stage with clashing columns, null and repeated ids, and empty tables: the same results as without."""
 
+import bisect
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperledger.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, queries, secret_scan, shingle_join, url_filter, vector_topk, wordhash
+from tests.llm.test_operators import brute_pii
 
 CLASH = ("_id", "_key", "_size", "_source", "_row", "key", "doc_id2", "row", "number", "salt", "which", "label", "by", "size", "none", "id", "text_sha256", "digest", "part", "at", "at_", "rank", "block", "d", "score", "removed_", "times", "cut", "salts", "n", "h1")
 
@@ -188,3 +190,38 @@ def test_words_of_one_hash_keep_their_ids(monkeypatch):
 
     monkeypatch.setattr(wordhash, "words", poor)
     assert [i.tolist() for _, i in packing.Encoder(queries.tokenizer()).encode(pa.array(texts))] == right
+
+
+def test_personal_data_in_a_long_text(spark):
+    """Thousands of spans of several kinds in one text, by the sums over blocks and stretches."""
+    rng = random.Random(5)
+    parts = ["a.b@mail.com", "4111 1111 1111 1111", "10.0.0.1", "+1 (017) 555-7713", "415-223-4567", "415-22-1234", "word", "é🙂", "x@y.de", "IBAN DE89370400440532013000"]
+    text = " ".join(rng.choice(parts) for _ in range(6000))
+    rows = pii.find_personal_data(spark.createDataFrame([(1, text), (2, "415-223-4567 and a.b@mail.com"), (3, None)], "doc_id long, text string")).collect()
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in rows}
+    base = brute_pii(text)
+    assert [s for s in found[1] if s[0] in pii.BASE] == base and len(base) > 2000 and found[3] == []
+    weak = [s for s in found[1] if s[0] not in pii.BASE]
+    ends = sorted((s, e) for _, s, e in base)
+    starts = [s for s, _ in ends]
+    for _, s, e in weak:
+        i = bisect.bisect_left(starts, e)
+        assert not any(a < e and s < b for a, b in ends[max(0, i - 3) : i])
+    assert {text[s:e] for k, s, e in weak if k == "local"} <= {"415-223-4567"} and weak
+
+
+def test_span_classifier_counts():
+    """Its weights are the log odds of features by chances, against plain sums."""
+    said = [("local", (7, 9), 0.9), ("local", (7, 11), 0.2), ("ssn", (13, 9), 0.6)]
+    sums, totals = {}, {}
+    for kind, features, c in said:
+        y, n = totals.get(kind, (0.0, 0.0))
+        totals[kind] = (y + c, n + 1 - c)
+        for f in features:
+            k, y, n = sums.get(f, (pii.KINDS.index(kind), 0.0, 0.0))
+            sums[f] = (max(k, pii.KINDS.index(kind)), y + c, n + 1 - c)
+    weights, prior = pii.weights([(f, *v) for f, v in sums.items()], totals)
+    assert prior["local"] == pytest.approx(np.log((1.1 + pii.SMOOTH) / (0.9 + pii.SMOOTH)))
+    spread = pii.SMOOTH * pii.SPREAD
+    assert weights[7] == pytest.approx(np.log((1.1 + pii.SMOOTH) / (1.1 + spread)) - np.log((0.9 + pii.SMOOTH) / (0.9 + spread)))
+    assert weights[11] < 0 < weights[7] + 1 and weights[100] == 0.0
