@@ -223,12 +223,14 @@ def resolved(escalations: DataFrame, done: DataFrame) -> DataFrame:
     return escalations.join(done.select("doc_id", F.col("resolution").alias("_r")), "doc_id", "left").withColumn("resolution", F.coalesce("_r", "resolution")).drop("_r")
 
 
-def commit_review(pending: DataFrame, corrections: DataFrame, solved: Column) -> DataFrame:
+def commit_review(pending: DataFrame, corrections: DataFrame, solved: Column, issues: Column | None = None) -> DataFrame:
     """Corrections (doc_id, body) against pending rows: code and what blocks. 404 without a document, 409 where it does
-    not wait for review, 422 where the arithmetic fails, else 200. ``solved``: violations of the submitted body."""
+    not wait for review, 400 where the body has ``issues`` with its schema, 422 where the arithmetic fails, else 200.
+    ``solved``: violations of the submitted body."""
     joined = corrections.join(pending.select("doc_id", "status"), "doc_id", "left")
     blocking = F.filter(solved, lambda v: v["constraint"].isin(*BLOCKING))
-    code = F.when(F.col("status").isNull(), 404).when(F.col("status") != "pending_review", 409).when(F.size(blocking) > 0, 422).otherwise(200)
+    shapeless = F.lit(False) if issues is None else F.size(issues) > 0
+    code = F.when(F.col("status").isNull(), 404).when(F.col("status") != "pending_review", 409).when(shapeless, 400).when(F.size(blocking) > 0, 422).otherwise(200)
     return joined.withColumns({"code": code, "blocking": blocking})
 
 

@@ -28,7 +28,7 @@ from ..operators.cii import read_xml
 from ..sources.ports import Port, embedded_xml, is_invoice_attachment
 from ..sources.tables import materialised
 from .options import Options
-from .schemas import INVOICE, LINE, META, TABLE, TEMPLATE, struct_type
+from .schemas import INVOICE, LINE, META, TABLE, TEMPLATE, canonical_issues, struct_type
 
 
 def route(attachments: Column, characters: Column, options: Options) -> Column:
@@ -195,6 +195,21 @@ def induce(committed: DataFrame, options: Options) -> DataFrame:
     return t.select("doc_id", F.col("doc_id").alias("seq"), ids.alias("ids"), "body", "source")
 
 
+def review(pending: DataFrame, corrections: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Corrections (doc_id, body: a canonical invoice) of stored documents (doc_id, status, lines, tables, page_count):
+    for each its code and what blocks, and for accepted ones the body, which is stored as it was submitted, with the
+    status that follows; and what accepted ones teach, for ``vendors.upsert``."""
+    kinds = struct_type(INVOICE).fields
+    loaded = corrections.withColumns({"invoice": F.struct(*[F.col("body")[f.name].alias(f.name) for f in kinds]).cast(INVOICE)})
+    found = R.checks(options.reconcile)
+    checked = R.load(loaded).select("doc_id", "body", F.concat(*[found[n]["violations"] for n in D.BLOCKING]).alias("solved"), canonical_issues(F.col("body")).alias("issues"))
+    told = materialised(D.commit_review(pending, checked, F.col("solved"), F.col("issues")), "review")
+    taken = told["code"] == 200
+    answers = told.select("doc_id", "code", "blocking", F.when(taken, F.col("body")).alias("canonical"), F.when(taken, "committed").otherwise(F.col("status")).alias("status"))
+    stored = answers.where("code = 200").join(pending.select("doc_id", "lines", "tables", "page_count"), "doc_id").withColumn("by", F.lit("human"))
+    return answers, induce(stored, options)
+
+
 @dataclass
 class Ports:
     """What stands outside: ``ocr`` gives doc_id, page_count, lines and tables of a scan's words; ``model`` gives doc_id,

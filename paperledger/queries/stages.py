@@ -11,12 +11,12 @@ from ..operators import segment as G
 from ..operators import vendors as V
 from ..plans import pipeline as P
 from ..plans.options import Options
-from ..plans.schemas import INVOICE, LINE, META, TABLE, struct_type
+from ..plans.schemas import CANONICAL, INVOICE, LINE, META, TABLE, struct_type
 from ..sources import ports
 from . import query, read
 from .layouts import PAGES_SQL, paged
 from .records import CII, IDS, _said, stored
-from .templates import induced
+from .templates import _line, induced
 from .texts import AMOUNT_SQL
 
 O_SQL = "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)\n"
@@ -273,3 +273,26 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     d = keys(spark, sf_dir).withColumn("doc_id", k)
     return ports.events(d, "classified", band=F.when(k % 2 == 0, "invoice").otherwise("uncertain"), score=k % 10).drop("at")
+
+
+@query(STATUS_SQL + """, c AS (SELECT doc_id, doc_id % 7 = 0 AS absent, status <> 'pending_review' AS late, doc_id % 5 = 0 AS shapeless, doc_id % 2 = 0 AS wrong, status FROM d),
+r AS (SELECT *, CAST(CASE WHEN absent THEN 404 WHEN late THEN 409 WHEN shapeless THEN 400 WHEN wrong THEN 422 ELSE 200 END AS INTEGER) AS code FROM c)
+SELECT doc_id, code, CASE WHEN wrong THEN 'C1_TOTALS' ELSE '' END AS blocking, CASE WHEN code = 200 THEN 'R-' || doc_id END AS number, CASE WHEN code = 200 THEN 'committed' WHEN code <> 404 THEN status END AS status, CASE WHEN code = 200 THEN 'human_review' END AS taught FROM r""")
+def review_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole corrections of all documents: what each is answered, what is stored and what it teaches. Even gross amounts
+    are wrong, and those divisible by 5 have no number."""
+    k, none = F.col("doc_id"), F.lit(None)
+    kinds = {f.name: f.dataType for f in struct_type(CANONICAL).fields}
+    item = F.struct(F.lit(1).alias("position"), F.lit("Ware").alias("description"), none.alias("quantity"), none.alias("unit"), none.alias("unit_price"), F.lit(19.0).alias("tax_rate"), F.lit("100.00").alias("line_total"))
+    values = {
+        "schema_version": F.lit(1), "invoice_number": F.when(k % 5 != 0, _said("R-", k)), "issue_date": F.lit("2026-06-15"), "currency": F.lit("EUR"),
+        "seller": F.struct(F.lit("ACME").alias("name"), F.lit("DE811907980").alias("vat_id"), none.alias("tax_number"), F.array().alias("ibans"), none.alias("address")),
+        "totals": F.struct(F.lit("100.00").alias("net"), F.lit("19.00").alias("tax"), F.when(k % 2 == 0, "120.00").otherwise("119.00").alias("gross")),
+        "vat_breakdown": F.array(F.struct(F.lit(19.0).alias("rate"), F.lit("100.00").alias("net"), F.lit("19.00").alias("tax"))), "line_items": F.array(item),
+    }
+    body = F.struct(*[values.get(n, none).cast(t).alias(n) for n, t in kinds.items()])
+    d = stored(spark, sf_dir)
+    page = {"lines": F.array(_line(_said("Nr: R-", k), 0.1), _line("Datum 15.06.2026", 0.2)), "tables": F.array().cast(f"array<{TABLE}>"), "page_count": F.lit(1)}
+    answers, taught = P.review(d.where("doc_id % 7 <> 0").withColumns(page), d.select("doc_id", body.alias("body")), Options())
+    told = answers.select("doc_id", "code", F.array_join(F.transform("blocking", lambda v: v["constraint"]), ",").alias("blocking"), F.col("canonical.invoice_number").alias("number"), "status")
+    return told.join(taught.select("doc_id", F.col("source").alias("taught")), "doc_id", "left")
