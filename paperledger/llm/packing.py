@@ -38,8 +38,8 @@ from . import scratch, wordhash
 
 LENGTH = 4096
 END = 2
-MOST_WORDS = 400_000
-MOST_PARTS = 100_000
+MOST_WORDS = 1_500_000
+MOST_PARTS = 250_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _MADE: dict[str, Encoder] = {}
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -126,7 +126,7 @@ class Encoder:
     def _forget(self) -> None:
         self.table.clear()
         self.flat, self.first, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
-        self.looks = np.zeros((1 << 15, 3), np.uint64)
+        self.looks = tuple(np.zeros(1 << 15, np.uint64) for _ in range(3))  # size, first and last eight bytes
         self.long: dict[int, bytes] = {}
 
     def _split(self, word: bytes) -> list[str]:
@@ -145,7 +145,7 @@ class Encoder:
             known.update(zip(fresh[a : a + 4096], (tuple(e.ids) for e in found), strict=True))
         return [known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p]) for parts in split]
 
-    def _learn(self, words: list[bytes], looks: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], looks: tuple[np.ndarray, ...]) -> None:
         own = self._ids(words)
         counts = np.fromiter(map(len, own), np.int64, len(own))
         ids = np.fromiter(chain.from_iterable(own), np.uint32, counts.sum())
@@ -155,10 +155,11 @@ class Encoder:
         if n + len(own) + 1 > len(self.first):
             more = max(len(self.first), len(own) + 1)
             self.first = np.concatenate([self.first, np.zeros(more, np.int64)])
-            self.looks = np.concatenate([self.looks, np.zeros((more, 3), np.uint64)])
+            self.looks = tuple(np.concatenate([x, np.zeros(more, np.uint64)]) for x in self.looks)
         self.flat[self.used : self.used + len(ids)] = ids
         self.first[n + 1 : n + len(own) + 1] = self.used + np.cumsum(counts)
-        self.looks[n : n + len(own)] = looks
+        for kept, x in zip(self.looks, looks, strict=True):
+            kept[n : n + len(own)] = x
         self.long.update((n + i, w) for i, w in enumerate(words) if len(w) > 16)
         self.used += len(ids)
 
@@ -170,20 +171,22 @@ class Encoder:
         raw = data[first : ends[-1]].tobytes() + bytes(8)
         at, size = starts - first, ends - starts
         eights = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw, strides=(1,))
-        looks = np.empty((len(h), 3), np.uint64)
-        looks[:, 0] = size
-        looks[:, 1] = eights[at] & _MASKS[np.minimum(size, 8)]
-        looks[:, 2] = np.where(size > 8, eights[at + np.maximum(size - 8, 0)], 0)
+        last = np.zeros(len(h), np.uint64)
+        longer = np.flatnonzero(size > 8)
+        last[longer] = eights[(at + size - 8)[longer]]
+        looks = size.astype(np.uint64), eights[at] & _MASKS[np.minimum(size, 8)], last
         number = self.table.find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
             keys, where = np.unique(h[new], return_index=True)
             new_at = new[where]
-            self._learn([raw[at[i] : at[i] + size[i]] for i in new_at], looks[new_at])
+            self._learn([raw[at[i] : at[i] + size[i]] for i in new_at], tuple(x[new_at] for x in looks))
             self.table.add(keys)
             number[new] = self.table.find(h[new])
-        other = (self.looks[number] != looks).any(1)
-        for i in np.flatnonzero(size > 16):
+        other = np.zeros(len(h), bool)
+        for kept, x in zip(self.looks, looks, strict=True):
+            other |= kept[number] != x
+        for i in longer[size[longer] > 16]:
             other[i] |= self.long.get(int(number[i])) != raw[at[i] : at[i] + size[i]]
         begin = self.first[number]
         count = self.first[number + 1] - begin
