@@ -38,8 +38,9 @@ from . import scratch, wordhash
 
 LENGTH = 4096
 END = 2
-MOST_WORDS = 1_500_000
-MOST_PARTS = 250_000
+#: Bounds of a worker's cache, which no result rests on: with a slice's new words, arrays of 2**20 words stay enough.
+MOST_WORDS = 900_000
+MOST_PARTS = 60_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _MADE: dict[str, Encoder] = {}
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -121,11 +122,12 @@ class Encoder:
         self.by_word = own == _SPLITTING and plain and not made.get("truncation") and not made.get("padding")
         del made
         self.table, self.parts = Table(), {}
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
         self.table.clear()
-        self.flat, self.first, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
+        self.flat, self.first, self.used = np.empty(1 << 16, self.kind), np.zeros(1 << 15, np.int64), 0
         self.looks = tuple(np.zeros(1 << 15, np.uint64) for _ in range(3))  # size, first and last eight bytes
         self.long: dict[int, bytes] = {}
 
@@ -150,7 +152,7 @@ class Encoder:
         counts = np.fromiter(map(len, own), np.int64, len(own))
         ids = np.fromiter(chain.from_iterable(own), np.uint32, counts.sum())
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), self.kind)])
         n = self.table.size
         if n + len(own) + 1 > len(self.first):
             more = max(len(self.first), len(own) + 1)
@@ -244,6 +246,7 @@ def _pieces(path: str, length: int):
                     out.append((doc_ids[i], s, n, zlib.crc32(ids[s : s + n]), len(ids), part, int(count[n])))
                     count[n] += 1
             names, kinds = [x.split()[0] for x in _PIECES.split(", ")], [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+            del batch  # before the next one is read
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names)
 
     return run

@@ -192,6 +192,17 @@ def test_words_of_one_hash_keep_their_ids(monkeypatch):
     assert [i.tolist() for _, i in packing.Encoder(queries.tokenizer()).encode(pa.array(texts))] == right
 
 
+def test_cache_of_words_has_a_bound(monkeypatch):
+    """1.7 million different words: a worker's cache holds 100 MB at most."""
+    own = packing.Encoder(queries.tokenizer())
+    monkeypatch.setattr(own, "_ids", lambda words: [(1, 2, 3, 4)] * len(words))
+    for a in range(0, 1_700_000, 100_000):
+        for _, ids in own.encode(pa.array([" ".join(f"w{i:x}" for i in range(a, a + 100_000))])):
+            assert len(ids) == 400_001 and ids.dtype == np.uint32 and ids[-5:].tolist() == [1, 2, 3, 4, packing.END]
+        held = [own.flat, own.first, *own.looks, own.table.keys, own.table.numbers]
+        assert sum(x.nbytes for x in held) < 100 << 20
+
+
 def test_personal_data_in_a_long_text(spark):
     """Thousands of spans of several kinds in one text, by the sums over blocks and stretches."""
     rng = random.Random(5)
