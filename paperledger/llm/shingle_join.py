@@ -9,6 +9,8 @@
    are posted; a bucket that turns out larger, after the shuffle.
 3. *Candidates.* Each bucket's classes form signature trees, one for each width of bitmap; the dual traversal leaves
    the pairs whose overlap may suffice, and a spanning forest of these goes on. Its components hold every link within.
+   The task of two blocks joins each block's members first, as that block's own task does, and emits only edges between
+   the blocks that join what is still apart, so that a group of near copies makes about as many edges as members.
 4. *Links.* The token sets of such classes come together by component, a large one by pairs of blocks. Trees again give
    the candidates, and each candidate that no earlier link has joined is compared exactly. A spanning forest of the
    links remains; its components are the result.
@@ -44,6 +46,7 @@ SPLIT, SMALL, FEW = 8192, 512, 16
 SEEN = 1_000_000
 BLOCK_TOKENS = 4_000_000
 _SETS = "doc_id long, n int, h1 long, h2 long, bits binary, token long, df long"
+_TASKS = "task long, rep long, n int, tokens binary, side int"
 
 
 def token_sets(texts: pa.Array, n: int = N) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,17 +115,19 @@ def prefix_length(n: int) -> int:
 
 
 def _post(shared):
-    """Rows (key, cls): the classes of each prefix token, once for each partition's window."""
+    """Rows (key, cls, side): the classes of each prefix token, once for each partition's window; ``side`` as in
+    ``_sides``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, order, blocks = shared.value
-        keys, classes, held, seen = [], [], 0, set()
+        keys, classes, sides, held, seen = [], [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(classes))], ["key", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes, sides)], ["key", "cls", "side"])
                 keys.clear()
                 classes.clear()
+                sides.clear()
 
         for batch in batches:
             for _, s in token_sets(batch.column(0)):
@@ -143,16 +148,19 @@ def _post(shared):
                         late = late[: take - len(cool)]
                         keys.append(cool.view(np.int64))
                         classes.append(np.full(len(cool), cls[0]))
+                        sides.append(np.zeros(len(cool), np.int32))
                         held += len(cool)
                         for i in late:
                             k = int(blocks[i])
-                            token = hot[i : i + 1]
+                            token, side = hot[i : i + 1], np.zeros(1, np.int32)
                             if k > 1:  # a block meets every block, itself too
                                 own = cls[1] % k
+                                side = _sides(np.full(k, own), np.arange(k))
                                 with np.errstate(over="ignore"):
                                     token = np.array([wordhash.mix(token + np.uint64(1 + min(own, o) * k + max(own, o)) * wordhash.GOLDEN)[0] for o in range(k)], np.uint64)
                             keys.append(token.view(np.int64))
                             classes.append(np.full(len(token), cls[0]))
+                            sides.append(side)
                             held += len(token)
                         if held >= WINDOW // 4:
                             yield from flush()
@@ -161,6 +169,7 @@ def _post(shared):
                 own = s[: prefix_length(len(s))]
                 keys.append(own.view(np.int64))
                 classes.append(np.full(len(own), cls[0]))
+                sides.append(np.zeros(len(own), np.int32))
                 held += len(own)
                 if held >= WINDOW // 4:
                     yield from flush()
@@ -170,34 +179,39 @@ def _post(shared):
     return run
 
 
-def _split(name: int, size: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (bucket, cls) of some classes of a bucket of ``size`` by pairs of blocks: a block meets every block, itself
-    too."""
-    k = int(blocks_of(size))
+def _sides(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of members of block ``own`` in the task of two blocks: 1 in the lower one, 2 in the higher, 0 in a block's own."""
+    return np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int32)
+
+
+def _split(name: int, k: int, cls: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (bucket, cls, side) of some classes of a bucket by pairs of its ``k`` blocks: a block meets every block,
+    itself too. In a bucket of two blocks, those of one meet those of the other only."""
     own = (wordhash.mix(cls.view(np.uint64)) % np.uint64(k)).astype(np.int64)
-    other = np.arange(k)
-    low, high = np.minimum(own[:, None], other).ravel(), np.maximum(own[:, None], other).ravel()
+    own, other, side = np.repeat(own, k), np.tile(np.arange(k), len(cls)), np.repeat(side, k)
+    low, high = np.where(side == 0, np.minimum(own, other), np.where(side == 1, own, other)), np.where(side == 0, np.maximum(own, other), np.where(side == 1, other, own))
     with np.errstate(over="ignore"):
         task = wordhash.mix(np.uint64(name & (1 << 64) - 1) + (1 + low * k + high).astype(np.uint64) * wordhash.GOLDEN)
-    return task.view(np.int64), np.repeat(cls, k)
+    return task.view(np.int64), np.repeat(cls, k), np.where(side == 0, _sides(own, other), side)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and class to rows (bucket, cls) of buckets with two classes or more; of equal buckets that lie
-    near to each other in this partition, one."""
+    """Rows sorted by key and class to rows (bucket, cls, side) of buckets with two classes or more, and of two blocks
+    that both have some; of equal buckets that lie near to each other in this partition, one."""
     seen: set[int] = set()
-    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def found(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(key: np.ndarray, cls: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
             return
         fresh = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls = key[fresh], cls[fresh]
+        key, cls, side = key[fresh], cls[fresh], side[fresh]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[at, len(key)])
         with np.errstate(over="ignore"):
-            name = wordhash.mix(np.add.reduceat(wordhash.mix(cls.view(np.uint64) ^ wordhash.GOLDEN), at) + sizes.astype(np.uint64)).view(np.int64)
-        keep = sizes > 1
+            name = wordhash.mix(np.add.reduceat(wordhash.mix((cls.view(np.uint64) ^ wordhash.GOLDEN) + side.astype(np.uint64)), at) + sizes.astype(np.uint64)).view(np.int64)
+        paired = side[at] > 0
+        keep = (sizes > 1) & ~(paired & (np.minimum.reduceat(side, at) == np.maximum.reduceat(side, at)))
         _, first = np.unique(np.where(keep, name, 0), return_index=True)
         once = np.zeros(len(at), bool)
         once[first] = True
@@ -206,30 +220,31 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         seen.update(name[keep].tolist())
-        large = keep & (blocks_of(sizes) > 1)
+        blocks = blocks_of(np.where(paired, sizes // 2, sizes))
+        large = keep & (blocks > 1)
         rows = np.repeat(keep & ~large, sizes)
         if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[rows]), pa.array(cls[rows])], ["bucket", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)[rows]), pa.array(cls[rows]), pa.array(side[rows])], ["bucket", "cls", "side"])
         for i in np.flatnonzero(large):
-            own = cls[at[i] : at[i] + sizes[i]]
-            step = max(1, WINDOW // 4 // int(blocks_of(len(own))))
-            for a in range(0, len(own), step):
-                task, part = _split(int(name[i]), len(own), own[a : a + step])
-                yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(part)], ["bucket", "cls"])
+            k, end = int(blocks[i]), at[i] + sizes[i]
+            step = max(1, WINDOW // 4 // k)
+            for a in range(at[i], end, step):
+                b = min(a + step, end)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _split(int(name[i]), k, cls[a:b], side[a:b])], ["bucket", "cls", "side"])
 
     for batch in batches:
-        key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, cls, side = (batch.column(i).to_numpy() for i in range(3))
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            parts = [*rest, (key[:cut], cls[:cut])]
+            parts = [*rest, (key[:cut], cls[:cut], side[:cut])]
             yield from found(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             rest = []
         elif rest and rest[0][0][0] != key[0]:
             yield from found(*(np.concatenate(x) for x in zip(*rest, strict=True)))
             rest = []
-        rest.append((key[cut:], cls[cut:]))
+        rest.append((key[cut:], cls[cut:], side[cut:]))
     if rest:
         yield from found(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
@@ -251,45 +266,67 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts)
 
 
-def candidates(rows: list[np.ndarray], sizes: np.ndarray, of: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members, by number, from trees over each width of bitmap and over neighbouring widths; sets of widths
-    farther apart differ too much in size to link."""
-    widths = np.array([len(r) for r in rows])
-    trees: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for w in np.unique(widths):
-        ids = np.flatnonzero(widths == w)
-        trees[int(w)] = (ids, np.stack([rows[i] for i in ids]))
-    for w, (ids, bits) in trees.items():
+def _by_width(rows: list[np.ndarray], members: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The members, and their bitmaps, of each width."""
+    widths = np.array([len(rows[i]) for i in members])
+    return {int(w): (members[widths == w], np.stack([rows[i] for i in members[widths == w]])) for w in np.unique(widths)}
+
+
+def _between(mine: dict, theirs: dict, sizes: np.ndarray, of: np.ndarray | None, equal: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for w, (ids, bits) in mine.items():
         own = signature_tree.Tree(bits, sizes[ids], ids)
-        yield from signature_tree.pairs(own, own, of)
-        if 2 * w in trees:
-            more, wide = trees[2 * w]
+        if equal and w in theirs:
+            more, wide = theirs[w]
+            yield from signature_tree.pairs(own, own if mine is theirs else signature_tree.Tree(wide, sizes[more], more), of)
+        if 2 * w in theirs:
+            more, wide = theirs[2 * w]
             near = sizes[more] * 4 <= sizes[ids].max() * 5
             if near.any():
                 other = signature_tree.Tree(signature_tree.fold(wide[near], w), sizes[more[near]], more[near])
                 yield from signature_tree.pairs(own, other, of)
 
 
+def candidates(rows: list[np.ndarray], sizes: np.ndarray, of: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members, by number, from trees over each width of bitmap and over neighbouring widths; sets of widths
+    farther apart differ too much in size to link."""
+    trees = _by_width(rows, np.arange(len(rows)))
+    yield from _between(trees, trees, sizes, of)
+
+
+def _dealt(rows: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, labels: signature_tree.Labels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates of a task, which the caller joins in ``labels``. Of two blocks, first those within either, whose
+    edges are then forgotten, as the block's own task emits them."""
+    if not side.any():
+        yield from candidates(rows, sizes, labels.of)
+        return
+    low, high = (_by_width(rows, np.flatnonzero(side == x)) for x in (1, 2))
+    for own in (low, high):
+        yield from _between(own, own, sizes, labels.of)
+    labels.edges.clear()
+    yield from _between(low, high, sizes, labels.of)
+    yield from _between(high, low, sizes, labels.of, equal=False)
+
+
 def _edges(ids: np.ndarray, labels: signature_tree.Labels) -> pa.RecordBatch:
     e = np.array(labels.edges, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, rep, n, bits), sorted by bucket, to a forest of each bucket's candidate pairs."""
+    """Rows (bucket, rep, n, bits, side), sorted by bucket, to a forest of each bucket's candidate pairs."""
     for t in _groups(batches):
         ids, sizes = t.column("rep").to_numpy(), t.column("n").to_numpy()
         rows = [np.frombuffer(b, np.uint8) for b in t.column("bits").to_pylist()]
         labels = signature_tree.Labels(len(ids))
-        for a, b in candidates(rows, sizes, labels.of):
+        for a, b in _dealt(rows, sizes, t.column("side").to_numpy(), labels):
             labels.join(a, b)
         if labels.edges:
             yield _edges(ids, labels)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, component, blocks) to rows (task, rep, n, tokens): of a component in k blocks, a member
-    goes to the k tasks that pair its block with each."""
+    """Rows (doc_id, text, component, blocks) to rows (task, rep, n, tokens, side): of a component in k blocks, a
+    member goes to the k tasks that pair its block with each."""
     for batch in batches:
         ids, component, blocks = (batch.column(i).to_numpy() for i in (0, 2, 3))
         out = []
@@ -299,22 +336,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for o in range(k):
                 with np.errstate(over="ignore"):
                     task = wordhash.mix(np.array([component[i]], np.int64).view(np.uint64) * wordhash.GOLDEN + np.uint64(min(own, o) * k + max(own, o)))
-                out.append((int(task.view(np.int64)[0]), int(ids[i]), len(s), s.tobytes()))
+                out.append((int(task.view(np.int64)[0]), int(ids[i]), len(s), s.tobytes(), (own > o) + (own != o)))
             if sum(len(x[3]) for x in out[-64:]) > 1 << 22 or len(out) >= 4096:
-                yield _batch("task long, rep long, n int, tokens binary", len(out), **dict(zip(("task", "rep", "n", "tokens"), zip(*out, strict=True), strict=True)))
+                yield _batch(_TASKS, len(out), **dict(zip(("task", "rep", "n", "tokens", "side"), zip(*out, strict=True), strict=True)))
                 out = []
         if out:
-            yield _batch("task long, rep long, n int, tokens binary", len(out), **dict(zip(("task", "rep", "n", "tokens"), zip(*out, strict=True), strict=True)))
+            yield _batch(_TASKS, len(out), **dict(zip(("task", "rep", "n", "tokens", "side"), zip(*out, strict=True), strict=True)))
 
 
-def link(sets: list[np.ndarray]) -> signature_tree.Labels:
-    """The forest of exact links among token sets."""
+def link(sets: list[np.ndarray], side: np.ndarray | None = None) -> signature_tree.Labels:
+    """The forest of exact links among token sets; of two blocks, without the edges within either."""
     sizes = np.array([len(s) for s in sets], np.int64)
     labels = signature_tree.Labels(len(sets))
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.r_[0, np.cumsum(sizes)]
     mark = np.zeros(len(names), bool)
-    for a, b in candidates([signature_tree.bitmap(s) for s in sets], sizes, labels.of):
+    side = np.zeros(len(sets), np.int32) if side is None else side
+    for a, b in _dealt([signature_tree.bitmap(s) for s in sets], sizes, side, labels):
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
@@ -335,7 +373,7 @@ def link(sets: list[np.ndarray]) -> signature_tree.Labels:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches):
         ids = t.column("rep").to_numpy()
-        labels = link([np.frombuffer(b, np.uint64) for b in t.column("tokens").to_pylist()])
+        labels = link([np.frombuffer(b, np.uint64) for b in t.column("tokens").to_pylist()], t.column("side").to_numpy())
         if labels.edges:
             yield _edges(ids, labels)
 
@@ -381,9 +419,9 @@ def _components(rows: DataFrame) -> DataFrame:
     salt = scratch.salt("doc_id")
     classes = own.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), scratch.salts(salt))
     classes = scratch.table(classes, "classes")
-    posts = rows.select("text").mapInArrow(_post(shared), "key long, cls long")
-    buckets = posts.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "bucket long, cls long").distinct()
-    members = buckets.join(classes.select(F.col("h1").alias("cls"), "rep", "n", "bits"), "cls").select("bucket", "rep", "n", "bits")
+    posts = rows.select("text").mapInArrow(_post(shared), "key long, cls long, side int")
+    buckets = posts.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "bucket long, cls long, side int").distinct()
+    members = buckets.join(classes.select(F.col("h1").alias("cls"), "rep", "n", "bits"), "cls").select("bucket", "rep", "n", "bits", "side")
     maybe = members.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_may_link, "a long, b long")
     groups = scratch.table(components(maybe), "groups")
 
@@ -391,7 +429,7 @@ def _components(rows: DataFrame) -> DataFrame:
     few = F.least(F.ceil(F.count("*") / SMALL), F.lit(FEW))
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), few).cast("int").alias("blocks"))
     placed = groups.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    tasks = rows.join(placed, "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(_blocks, "task long, rep long, n int, tokens binary")
+    tasks = rows.join(placed, "doc_id").select("doc_id", "text", "component", "blocks").mapInArrow(_blocks, _TASKS)
     links = tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_link, "a long, b long")
     found = scratch.table(components(links), "links")
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,33 @@ def test_shingle_ties(spark):
     assert got == [c for _, c in brute_components(texts)] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("posted", [1, 4])
+def test_group_of_near_copies_makes_few_edges(monkeypatch, posted):
+    """A bucket of 1,600 near copies and some pairs, split where it is posted or after: all are joined, by about as many
+    edges as members, with either block pairs of candidates or of links."""
+    rng = np.random.default_rng(8)
+    make = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    core, pairs = make(60), [make(50) for _ in range(200)]
+    sets = [np.unique(np.r_[core, make(3)]) for _ in range(1600)] + [np.unique(np.r_[x, make(2)]) for x in pairs for _ in range(2)]
+    cls = np.sort(rng.integers(-(1 << 62), 1 << 62, len(sets)))
+    monkeypatch.setattr(shingle_join, "SMALL", 128)
+    own, other = rng.integers(0, posted, len(sets)), np.arange(posted)
+    low, high = np.minimum(own[:, None], other), np.maximum(own[:, None], other)
+    rows = (low * posted + high).ravel(), np.repeat(cls, posted), shingle_join._sides(np.repeat(own, posted), np.tile(other, len(sets)))
+    order = np.lexsort(rows[1::-1])
+    dealt = pa.Table.from_batches(shingle_join._buckets(iter([pa.RecordBatch.from_arrays([pa.array(x[order]) for x in rows], ["key", "cls", "side"])]))).sort_by([("bucket", "ascending"), ("cls", "ascending")])
+    at = np.searchsorted(cls, dealt.column("cls").to_numpy())
+    more = {"rep": pa.array(at), "n": pa.array([len(sets[i]) for i in at], pa.int32()), "bits": pa.array([signature_tree.bitmap(sets[i]).tobytes() for i in at]), "tokens": pa.array([sets[i].tobytes() for i in at])}
+    names, side = dealt.column("bucket"), dealt.column("side")
+    for found, given in ((shingle_join._may_link, ("rep", "n", "bits")), (shingle_join._link, ("rep", "n", "tokens"))):
+        batches = pa.table([names, *(more[k] for k in given), side], ["bucket", *given, "side"]).combine_chunks().to_batches()
+        edges = pa.Table.from_batches(found(iter(batches)))
+        nodes, of = components.least_reached(*(edges.column(k).to_numpy() for k in ("a", "b")))
+        assert nodes.tolist() == list(range(len(sets)))
+        assert of.tolist() == [0] * 1600 + [i - i % 2 for i in range(1600, len(sets))]
+        assert len(edges) < 1.2 * len(sets)
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     sets = []
