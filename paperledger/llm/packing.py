@@ -2,7 +2,8 @@
 
 1. *Pieces.* A document is its ids and the end id; it is cut into blocks of the full length and a rest. Where the
    tokenizer's normaliser and splitting never look across white space, which its file says, ids come word by word
-   through a bounded cache; any other tokenizer reads whole texts.
+   through a bounded cache, and new words of plain bytes are split and merged side by side (``merges.py``); any other
+   tokenizer reads whole texts.
 2. *Histogram.* Pieces are counted by length; there are at most as many lengths as a sequence has tokens, so the
    counts, and all that follows from them on the driver, have a fixed bound whatever the number of documents.
 3. *Patterns.* Lengths are placed longest first, each into the packs with the most room, all packs of one pattern at
@@ -26,7 +27,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch, wordhash
+from . import merges, scratch, wordhash
 
 LENGTH = 4096
 END = 2
-#: Bounds of a worker's cache, which no result rests on: with a slice's new words, arrays of 2**20 words stay enough.
-MOST_WORDS = 900_000
+#: Bounds of a worker's cache, which no result rests on: with a chunk's new words, arrays of 2**19 words stay enough.
+MOST_WORDS = 420_000
 MOST_PARTS = 60_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _MADE: dict[str, Encoder] = {}
@@ -58,6 +60,26 @@ _SPLITTING = (
 #: Words of these signs are split here just as the tokenizer's own expression splits them, after its lower-casing.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_LETTER, _DIGIT, _SIGN, _ODD = range(4)
+
+
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's kind and lower case, by itself and behind 0xC3, which starts the letters of Latin-1. Words of odd
+    bytes, and of apostrophes, whose meaning hangs on what stands around them, are not split by bytes."""
+    kind, low = np.full((2, 256), _ODD, np.uint8), np.tile(np.arange(256, dtype=np.uint8), (2, 1))
+    kind[0, 0x21:0x7F] = _SIGN
+    kind[0, ord("0") : ord("9") + 1] = _DIGIT
+    for letters in (slice(ord("a"), ord("z") + 1), slice(ord("A"), ord("Z") + 1), 0xC3):
+        kind[0, letters] = _LETTER
+    kind[0, ord("'")] = _ODD
+    kind[1, 0x80:0xC0] = _LETTER
+    kind[1, [0x97, 0xB7]] = _ODD  # × and ÷
+    low[0, ord("A") : ord("Z") + 1] += 32
+    low[1, 0x80:0x9F] += 32
+    return kind, low
+
+
+_KIND, _LOW = _bytes()
 
 
 class Table:
@@ -107,24 +129,32 @@ class Table:
 
 class Encoder:
     """Ids of texts. Where the file splits as ``_SPLITTING`` says, words are looked up in a cache by hash, and then
-    compared: by their length and first and last eight bytes, which is all of most words, and a longer one whole. Any
-    other tokenizer gets whole texts. A word's ids are ``flat[first[number] : first[number + 1]]``."""
+    compared: by their length and first and last eight bytes, which is all of most words, and a longer one whole. New
+    words of plain bytes get their ids from the file's merges, others from the tokenizer itself. Any other tokenizer gets
+    whole texts. A word's ids are ``flat[first[number] : first[number + 1]]``."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         own = made.get("normalizer"), made.get("pre_tokenizer")
         plain = all(re.fullmatch(r"<\|[a-z]+\|>", t["content"]) for t in made.get("added_tokens") or [])
         self.by_word = own == _SPLITTING and plain and not made.get("truncation") and not made.get("padding")
+        self.merges = merges.Merges.of(made["model"]) if self.by_word else None
         del made
         self.table, self.parts = Table(), {}
-        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
+        most = self.merges.none - 1 if self.merges else max(self.tokenizer.get_vocab().values(), default=0)
+        self.kind = np.uint16 if most < 1 << 16 else np.uint32
         self._forget()
 
+    @cached_property
+    def tokenizer(self):
+        """Read when a text first needs it: beside the merges, few words do."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.table.clear()
         self.flat, self.first, self.used = np.empty(1 << 16, self.kind), np.zeros(1 << 15, np.int64), 0
@@ -136,7 +166,35 @@ class Encoder:
         text = word.decode()
         return _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) and "<|" not in text else [text]
 
-    def _ids(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Each word's ids. Words of plain bytes are split and merged here, all at once."""
+        if not self.merges:
+            return self._by_tokenizer(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        behind = np.zeros(len(data), np.intp)
+        behind[1:] = data[:-1] == 0xC3
+        kind, low = _KIND[behind, data], _LOW[behind, data]
+        bad = kind == _ODD
+        bad[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        odd = np.logical_or.reduceat(bad, np.cumsum(size) - size) | (size > merges.LONGEST)
+        if odd.any():
+            keep = np.repeat(~odd, size)
+            kind, low, size = kind[keep], low[keep], np.where(odd, 0, size)
+        ends = np.cumsum(size)
+        begins = kind == _DIGIT
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[(ends - size)[~odd]] = True
+        begins = np.flatnonzero(begins)
+        ids, count = self.merges.ids(low, np.append(begins, len(low)))
+        upto = np.append(0, np.cumsum(count))[np.searchsorted(begins, np.append(0, ends))]
+        out = [ids[a:b] for a, b in pairwise(upto.tolist())]
+        odd = np.flatnonzero(odd)
+        for i, own in zip(odd, self._by_tokenizer([words[i] for i in odd]), strict=True):
+            out[i] = own
+        return out
+
+    def _by_tokenizer(self, words: list[bytes]) -> list[np.ndarray]:
         split = [self._split(w) for w in words]
         if len(self.parts) > MOST_PARTS:
             self.parts.clear()
@@ -145,12 +203,12 @@ class Encoder:
         for a in range(0, len(fresh), 4096):
             found = self.tokenizer.encode_batch_fast(fresh[a : a + 4096], add_special_tokens=False)
             known.update(zip(fresh[a : a + 4096], (tuple(e.ids) for e in found), strict=True))
-        return [known[parts[0]] if len(parts) == 1 else tuple(i for p in parts for i in known[p]) for parts in split]
+        return [np.array([i for p in parts for i in known[p]], np.uint32) for parts in split]
 
     def _learn(self, words: list[bytes], looks: tuple[np.ndarray, ...]) -> None:
         own = self._ids(words)
         counts = np.fromiter(map(len, own), np.int64, len(own))
-        ids = np.fromiter(chain.from_iterable(own), np.uint32, counts.sum())
+        ids = np.concatenate(own)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), self.kind)])
         n = self.table.size
@@ -197,7 +255,7 @@ class Encoder:
             return self.flat[np.repeat(begin - upto, count) + np.arange(count.sum())], count
         ids = [self.flat[b : b + n] for b, n in zip(begin, count, strict=True)]  # two words of one hash
         for i in np.flatnonzero(other):
-            ids[i] = np.array(self._ids([raw[at[i] : at[i] + size[i]]])[0], np.uint32)
+            ids[i] = self._ids([raw[at[i] : at[i] + size[i]]])[0]
         return np.concatenate(ids), np.array([len(x) for x in ids])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -337,4 +395,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(places(pack_histogram(counts, length)))
     ranked = pieces.join(parts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*columns, "rank").mapInArrow(_place(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # No more files than the pieces have: a join over many shuffle partitions would make each a task, a file and the
+    # processes that Hadoop's local file system forks for it.
+    ranked = ranked.select(*columns, "rank").coalesce(max(1, pieces.rdd.getNumPartitions()))
+    return ranked.mapInArrow(_place(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
