@@ -40,6 +40,8 @@ from . import merges, scratch, wordhash
 
 LENGTH = 4096
 END = 2
+#: Bytes of texts that pass between the JVM and a worker at once.
+BATCH = 4 << 20
 #: Bounds of a worker's cache, which no result rests on: with a chunk's new words, arrays of 2**19 words stay enough.
 MOST_WORDS = 420_000
 MOST_PARTS = 60_000
@@ -387,7 +389,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``tokenizer`` is the path of
     a tokenizers file that every executor can read."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = scratch.table(rows.mapInArrow(_pieces(tokenizer, length), _PIECES), "pieces")
+    with scratch.batches(docs.sparkSession, BATCH):
+        pieces = scratch.table(rows.mapInArrow(_pieces(tokenizer, length), _PIECES), "pieces")
     parts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     parts = parts.withColumn("before", before).drop("n")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,20 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """While tables are written within, Arrow batches end after about ``most`` bytes, or where the session ends them
+    before. The JVM and its worker each hold a batch, and the JVM a vector that doubles as it grows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > most:
+            spark.conf.set(name, f"{most}b")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(made: DataFrame) -> None:
     """Delete the files of a table made here that nothing reads any more."""
     for file in {f.rpartition("/")[0] for f in made.inputFiles()}:

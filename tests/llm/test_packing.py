@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from paperledger.llm import merges, packing, queries
+from paperledger.llm import merges, packing, queries, scratch
 
 
 def texts(n=400):
@@ -75,3 +77,31 @@ def test_no_more_files_than_the_pieces_have(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= packing.LENGTH
+
+
+def test_texts_pass_in_small_batches(spark, monkeypatch):
+    """While pieces are made, and only then: 4,000 texts of 1,000 bytes, at 100,000 bytes a batch."""
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    real = scratch.table
+
+    def table(df, *rest):
+        rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 1000))
+        sizes.extend(r.n for r in rows.mapInArrow(lambda own: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in own), "n long").collect())
+        return real(df, *rest)
+
+    monkeypatch.setattr(scratch, "table", table)
+    monkeypatch.setattr(packing, "BATCH", 100_000)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame(list(enumerate(texts(40))), "doc_id long, text string")
+    assert packing.pack(docs, queries.tokenizer()).count() == 42
+    assert sum(sizes) == 4000 and max(sizes) <= 200
+    assert spark.conf.get(name) == before
+    for own, within in (("1k", "1k"), ("64m", "4096b")):
+        spark.conf.set(name, own)
+        try:
+            with pytest.raises(ZeroDivisionError), scratch.batches(spark, 4096):
+                assert spark.conf.get(name) == within
+                raise ZeroDivisionError
+            assert spark.conf.get(name) == own
+        finally:
+            spark.conf.set(name, before)
