@@ -8,7 +8,8 @@ folds turns margins into scores, with the classes in the proportion of all label
 The model is fitted on the driver from a bounded sample: of each class, the ``PER_CLASS`` labelled rows whose ids have
 the least hashes, and of these, in the same order and each class for itself, as many as have ``PER_CLASS_FEATURES``
 features in all, the first whatever its size; all are read whole. Both bounds are parameters of ``fit``, and neither
-rests on the files' layout. The model is ``1 << BITS`` weights. Every text is scored whole.
+rests on the files' layout. The model is ``1 << BITS`` weights. Every text is scored whole. The sample lies in memory
+that goes back to the system after the fit.
 
 Defined cases: a null or empty text has no features, and its margin is the bias alone; without labels of both classes
 every score is the share of label 1 among the labels that there are, or 0.5 without any; repeated labels count each;
@@ -19,7 +20,8 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import mmap
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,7 @@ SMOOTH = 1.0
 COST = 1.0
 EPOCHS = 20
 FOLDS = 3
+BLOCK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -107,9 +110,24 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, np.unique(np.concatenate([_repeats(run[w:e].max(initial=1)), one[w:e], two[w : max(w, e - 1)], three[s : max(s, t - 2)]]))
 
 
+def stored(arrays: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Copies of ``arrays``, laid one after another into anonymous maps of ``BLOCK`` bytes or more. A map is given back when
+    nothing refers to it; thousands of small arrays by themselves would leave their memory with the process."""
+    block, at = np.empty(0, np.uint8), 0
+    for a in arrays:
+        if at + a.nbytes > len(block):
+            block, at = np.frombuffer(mmap.mmap(-1, max(BLOCK, a.nbytes), flags=mmap.MAP_PRIVATE), np.uint8), 0
+        own = block[at : at + a.nbytes].view(a.dtype)
+        own[:] = a
+        yield own
+        at += -(-a.nbytes // 8) * 8
+
+
 def log_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    counts = [SMOOTH + np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c == k] or [np.empty(0, np.int32)]), minlength=1 << BITS) for k in (1, -1)]
-    return np.log((counts[0] / counts[0].sum()) / (counts[1] / counts[1].sum()))
+    counts = {k: np.full(1 << BITS, SMOOTH) for k in (1, -1)}
+    for r, c in zip(rows, y, strict=True):
+        counts[int(c)][r] += 1  # a row's features are distinct
+    return np.log((counts[1] / counts[1].sum()) / (counts[-1] / counts[-1].sum()))
 
 
 def _scaled(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -162,7 +180,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
         own, labels = [rows[i] for i in keep], y[keep]
         ratio = log_ratio(own, labels)
         each = {k: COST * len(keep) / (2 * max((labels == k).sum(), 1)) for k in (1, -1)}
-        w, bias = dual_coordinate_descent(own, [_scaled(r, ratio) for r in own], labels, np.array([each[int(c)] for c in labels]))
+        w, bias = dual_coordinate_descent(own, list(stored(_scaled(r, ratio) for r in own)), labels, np.array([each[int(c)] for c in labels]))
         return ratio, w, bias
 
     fold = np.random.default_rng(5).permutation(len(rows)) % FOLDS
@@ -209,12 +227,19 @@ def fit(
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     chosen = scratch.table(_featured(texts.join(F.broadcast(sample), "doc_id")).withColumn("n", F.length("row") / 4), "features")
     upto = F.sum("n").over(Window.partitionBy("label").orderBy("by", "row")) - F.col("n")
-    held = chosen.withColumn("before", upto).where(F.col("before") <= per_class_features).select("label", "row")
-    rows, y = [], []
-    for r in held.toLocalIterator():
-        rows.append(np.frombuffer(r.row, np.int32))
-        y.append(1 if r.label else -1)
+    # Written, it comes in a job for each of its few files, not for each partition of the shuffle.
+    held = scratch.table(chosen.withColumn("before", upto).where(F.col("before") <= per_class_features).select("label", "row"), "sample")
+    y = []
+
+    def sent() -> Iterator[np.ndarray]:
+        for r in held.toLocalIterator():
+            y.append(1 if r.label else -1)
+            yield np.frombuffer(r.row, np.int32)
+
+    rows = list(stored(sent()))
     signs = np.array(y)
+    for made in (chosen, held):
+        scratch.drop(made)
     if not len(rows) or not (signs > 0).any() or not (signs < 0).any():
         odds = np.clip(share, 1e-6, 1 - 1e-6)
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0, float(np.log(odds / (1 - odds))))
