@@ -39,6 +39,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def bound(use, *values: Column) -> Column:
+    """``use`` of all values, each computed once: inside a lambda a column that the optimizer inlines is computed for
+    every element."""
+    named = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return let(named, lambda s: use(*[s[f"v{i}"] for i in range(len(values))]))
+
+
 def trim(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
 

@@ -26,5 +26,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "k") -> DataFrame:
+    """Rows dealt by a key to some tasks for each core. Small rows that ask for much work would otherwise share a task for
+    each row group of a file, or for each size that adaptive execution merges, and leave cores idle."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, key)
+
+
 def load_all() -> None:
     from . import invoices, layouts, records, stages, templates, texts  # noqa: F401

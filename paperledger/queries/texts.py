@@ -14,7 +14,7 @@ from ..operators import classify as C
 from ..operators import gate as G
 from ..operators import rules as L
 from ..plans.schemas import LINE, TABLE
-from . import query, read
+from . import query, read, spread
 
 AMOUNT_SQL = """WITH a AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders),
 r AS (SELECT k, CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS dot, format('{:,}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS en FROM a),
@@ -25,7 +25,7 @@ x AS (SELECT k, dot, en, replace(replace(replace(en, ',', '_'), '.', ','), '_',
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, dot (a dot-decimal string), en and de."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("dot"))
-    return o.withColumns({"en": A.render_amount("dot", "."), "de": A.render_amount("dot", ",")})
+    return spread(o).withColumns({"en": A.render_amount("dot", "."), "de": A.render_amount("dot", ",")})
 
 
 @query(AMOUNT_SQL + """SELECT k, en, de, replace(en, ',', '') AS en_plain, replace(de, '.', '') AS de_plain, dot AS from_en, dot AS from_de, dot AS from_euro, dot AS pinned, '-' || dot AS negative FROM x""")

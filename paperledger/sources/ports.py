@@ -44,8 +44,8 @@ def embedded_xml(df: DataFrame) -> DataFrame:
 
 def read_layout(df: DataFrame, json: str = "layout_json") -> DataFrame:
     """``df`` with page_count, lines, tables and error from layout JSON."""
-    parsed = df.withColumn("_layout", F.from_json(json, LAYOUT))
-    return parsed.withColumns(map_layout(F.col("_layout"))).drop("_layout")
+    mapped = df.withColumn("_layout", map_layout(F.from_json(json, LAYOUT)))
+    return mapped.withColumns({n: F.col("_layout")[n] for n in ("page_count", "lines", "tables", "error")}).drop("_layout")
 
 
 def read_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
