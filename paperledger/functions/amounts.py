@@ -9,6 +9,10 @@ from .text import SPACE, _col, let, trim
 
 #: The currency marks that a printed amount may carry.
 CURRENCY = r"(?i)EUR|€|USD|\$|GBP|£|CHF"
+#: Texts that are their amount but for the separators: digits alone, and a fraction of one or two digits behind groups.
+WHOLE = r"^-?[0-9]{1,12}\z"
+COMMA = r"^-?(?:[0-9]{1,12}|[0-9]{1,3}(?:\.[0-9]{3}){1,3}),[0-9]{1,2}\z"
+POINT = r"^-?(?:[0-9]{1,12}|[0-9]{1,3}(?:,[0-9]{3}){1,3})\.[0-9]{1,2}\z"
 
 
 def _after(text: Column, sign: Column) -> Column:
@@ -57,10 +61,17 @@ def parse_amount(text: Column | str, decimal: Column | None = None) -> Column:
         sign = F.when(F.startswith(signed, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
         return F.when(good, F.concat(sign, p["digits"], F.coalesce(F.concat(F.lit("."), p["after"]), F.lit(""))))
 
+    def plain(t: Column) -> Column:
+        """Most amounts: one expression tells their shape, where the whole way takes a dozen."""
+        comma, point = t.rlike(COMMA), t.rlike(POINT)
+        if decimal is not None:
+            comma, point = comma & (decimal == ","), point & (decimal == ".")
+        return F.when(t.rlike(WHOLE), t).when(comma, F.translate(t, ",.", ".")).when(point, F.translate(t, ".,", ".")).otherwise(parse(t))
+
     def parse(t: Column) -> Column:
         return let(strip_noise(t), lambda signed: let(F.regexp_replace(signed, "^[-+]", ""), lambda s: let(split(s), lambda p: let(whole(p), lambda w: value(t, signed, w)))))
 
-    return let(_col(text), parse)
+    return let(_col(text), plain)
 
 
 def render_amount(dot_decimal: Column | str, decimal: str | Column, grouped: bool = True) -> Column:
@@ -94,19 +105,30 @@ def quantity(value: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
 
 
+def bare_number(x: Column) -> Column:
+    """A dot-decimal string without zeros that change nothing."""
+    def short(x: Column) -> Column:
+        cut = let(F.rtrim(x, F.lit("0")), lambda y: F.when(F.endswith(y, F.lit(".")), F.substring(y, F.lit(1), F.length(y) - 1)).otherwise(y))
+        return F.when(F.instr(x, ".") > 0, cut).otherwise(x)
+
+    def plain(x: Column) -> Column:
+        return F.when(F.startswith(x, F.lit("0")) | F.startswith(x, F.lit("-0")), F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")).otherwise(x)
+
+    return let(let(x, short), plain)
+
+
 def number_equal(a: Column | str, b: Column | str) -> Column:
     """Whether two dot-decimal strings are one number, whatever zeros they carry; false where either is null."""
-    def bare(x: Column) -> Column:
-        x = F.when(F.instr(x, ".") > 0, F.regexp_replace(F.regexp_replace(x, "0+$", ""), r"\.$", "")).otherwise(x)
-        return F.regexp_replace(x, r"^(-?)0+(?=[0-9])", "$1")
-
-    return F.coalesce(bare(_col(a)) == bare(_col(b)), F.lit(False))
+    return F.coalesce(bare_number(_col(a)) == bare_number(_col(b)), F.lit(False))
 
 
 def cell_to_dot(cell: Column | str, decimal: Column) -> Column:
     """A table cell under a pinned separator as a dot-decimal string, or null where it is no number."""
-    s = trim(F.regexp_replace(_col(cell), "(?i)EUR|€", ""))
-    after = F.when(F.instr(s, decimal) > 0, _after(s, decimal))
-    before = F.regexp_replace(F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1), "[.,]", "")
-    split = F.concat(F.when(before == "", F.lit("0")).otherwise(before), F.lit("."), after)
-    return F.when(s.rlike(r"^-?[0-9.,]+$"), F.when(after.rlike("^[0-9]{1,4}$"), split).otherwise(F.regexp_replace(s, "[.,]", "")))
+    def parted(s: Column) -> Column:
+        return let(F.when(F.instr(s, decimal) > 0, _after(s, decimal)), lambda after: F.when(after.rlike("^[0-9]{1,4}$"), joined(s, after)).otherwise(F.regexp_replace(s, "[.,]", "")))
+
+    def joined(s: Column, after: Column) -> Column:
+        before = F.regexp_replace(F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1), "[.,]", "")
+        return let(before, lambda b: F.concat(F.when(b == "", F.lit("0")).otherwise(b), F.lit("."), after))
+
+    return let(trim(F.regexp_replace(_col(cell), "(?i)EUR|€", "")), lambda s: F.when(s.rlike(r"^-?[0-9.,]+$"), parted(s)))
