@@ -147,14 +147,24 @@ def _repair(rule: str, path: Column | str, to: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), (F.lit(path) if isinstance(path, str) else path).alias("path"), to.alias("to"))
 
 
-def _log(*found: Column) -> Column:
-    return F.concat(F.col("repairs"), F.filter(F.array(*found), lambda r: r.isNotNull()))
+def _log(*found: tuple[Column, Column]) -> Column:
+    """The repairs with those of ``found`` (whether there is one, and it) that there are."""
+    some = found[0][0]
+    for made, _ in found[1:]:
+        some = some | made
+    told = F.filter(F.array(*[F.when(made, r) for made, r in found]), lambda r: r.isNotNull())
+    return F.when(some, F.concat(F.col("repairs"), told)).otherwise(F.col("repairs"))
 
 
 def _log_each(items: Column, one) -> Column:
     return F.concat(F.col("repairs"), F.filter(F.transform(items, one), lambda r: r.isNotNull()))
 
 
+def _where(gaps: Column, work: Column, name: str) -> Column:
+    """``work`` for rows with gaps; the column as it is for all others, so that an idle pass costs a look at nulls."""
+    return F.when(gaps, work).otherwise(F.col(name))
+
+
 def _line(x: Column, **changed: Column) -> Column:
     names = ("position", "description", "quantity", "unit", "unit_price", "tax_rate", "line_total")
     return F.struct(*[changed.get(n, x[n]).alias(n) for n in names])
@@ -171,9 +181,9 @@ def _path(kind: str, i: Column, name: str) -> Column:
 def totals_from_vat(df: DataFrame, o: Reconcile) -> DataFrame:
     vat = F.col("vat")
     ready = (F.size(vat) > 0) & F.forall(vat, lambda v: v["net"].isNotNull() & v["tax"].isNotNull())
-    new = {n: F.when(ready & F.col(n).isNull(), F.round(_sum(vat, lambda v: v[n]), 2).cast(AMOUNT)) for n in ("net", "tax")}  # noqa: B023
+    new = {n: F.when(F.col(n).isNull() & ready, F.round(_sum(vat, lambda v: v[n]), 2).cast(AMOUNT)) for n in ("net", "tax")}  # noqa: B023
     df = df.withColumns({f"_{n}": c for n, c in new.items()})
-    log = [F.when(F.col(f"_{n}").isNotNull(), _repair("R_TOTALS_FROM_VAT", f"totals.{n}", money(f"_{n}"))) for n in new]
+    log = [(F.col(f"_{n}").isNotNull(), _repair("R_TOTALS_FROM_VAT", f"totals.{n}", money(f"_{n}"))) for n in new]
     return df.withColumns({**{n: F.coalesce(n, f"_{n}") for n in new}, "repairs": _log(*log)}).drop(*[f"_{n}" for n in new])
 
 
@@ -181,13 +191,13 @@ def net_from_lines(df: DataFrame, o: Reconcile) -> DataFrame:
     lines = F.col("lines")
     ready = F.col("net").isNull() & (F.size(lines) > 0) & F.forall(lines, lambda x: x["line_total"].isNotNull())
     df = df.withColumn("_net", F.when(ready, F.round(_sum(lines, lambda x: x["line_total"]), 2).cast(AMOUNT)))
-    return df.withColumns({"net": F.coalesce("net", "_net"), "repairs": _log(F.when(F.col("_net").isNotNull(), _repair("R_NET_FROM_LINES", "totals.net", money("_net"))))}).drop("_net")
+    return df.withColumns({"net": F.coalesce("net", "_net"), "repairs": _log((F.col("_net").isNotNull(), _repair("R_NET_FROM_LINES", "totals.net", money("_net"))))}).drop("_net")
 
 
 def total_derive(df: DataFrame, o: Reconcile) -> DataFrame:
     net, tax, gross = map(F.col, ("net", "tax", "gross"))
     df = df.withColumns({"_net": F.when(net.isNull(), gross - tax).cast(AMOUNT), "_tax": F.when(tax.isNull(), gross - net).cast(AMOUNT), "_gross": F.when(gross.isNull(), net + tax).cast(AMOUNT)})
-    log = [F.when(F.col(f"_{n}").isNotNull(), _repair("R_TOTAL_DERIVE", f"totals.{n}", money(f"_{n}"))) for n in ("net", "tax", "gross")]
+    log = [(F.col(f"_{n}").isNotNull(), _repair("R_TOTAL_DERIVE", f"totals.{n}", money(f"_{n}"))) for n in ("net", "tax", "gross")]
     return df.withColumns({**{n: F.coalesce(n, f"_{n}") for n in ("net", "tax", "gross")}, "repairs": _log(*log)}).drop("_net", "_tax", "_gross")
 
 
@@ -199,16 +209,18 @@ def vat_synth(df: DataFrame, o: Reconcile) -> DataFrame:
     df = df.withColumn("_rate", F.when((F.size(vat) == 0) & net.isNotNull() & tax.isNotNull() & (F.size(fits) == 1), F.get(fits, F.lit(0))))
     made = F.struct(F.col("_rate").alias("rate"), net.alias("net"), tax.alias("tax")).cast(WORK_VAT)
     words = F.concat(F.lit("{rate: "), quantity("_rate"), F.lit(", net: "), money(net), F.lit(", tax: "), money(tax), F.lit("}"))
-    log = F.when(F.col("_rate").isNotNull(), _repair("R_VAT_SYNTH", "vatBreakdown.0", words))
+    log = (F.col("_rate").isNotNull(), _repair("R_VAT_SYNTH", "vatBreakdown.0", words))
     df = df.withColumns({"vat": F.when(F.col("_rate").isNotNull(), F.array(made)).otherwise(vat), "repairs": _log(log)}).drop("_rate")
 
     def gap(v: Column) -> Column:
         return v["net"].isNull() & v["rate"].isNotNull()
 
     # The header is better evidence than a rounded tax: apportion first.
-    df = df.withColumn("_rest", F.when(net.isNotNull() & (F.size(F.filter(vat, gap)) == 1), (net - _sum(vat, lambda v: v["net"])).cast(AMOUNT)))
-    filled = F.transform(vat, lambda v: F.when(gap(v) & F.col("_rest").isNotNull(), _entry(v, net=F.col("_rest"))).otherwise(v))
-    df = df.withColumns({"vat": filled, "repairs": _log_each(vat, lambda v, i: F.when(gap(v) & F.col("_rest").isNotNull(), _repair("R_VAT_SYNTH", _path("vatBreakdown", i, "net"), money("_rest"))))}).drop("_rest")
+    df = df.withColumn("_rest", F.when(net.isNotNull() & F.exists(vat, gap) & (F.size(F.filter(vat, gap)) == 1), (net - _sum(vat, lambda v: v["net"])).cast(AMOUNT)))
+    filled = F.transform(vat, lambda v: F.when(gap(v), _entry(v, net=F.col("_rest"))).otherwise(v))
+    log = _log_each(vat, lambda v, i: F.when(gap(v), _repair("R_VAT_SYNTH", _path("vatBreakdown", i, "net"), money("_rest"))))
+    known = F.col("_rest").isNotNull()
+    df = df.withColumns({"vat": _where(known, filled, "vat"), "repairs": _where(known, log, "repairs")}).drop("_rest")
 
     def new_tax(v: Column) -> Column:
         exact = v["net"] * v["rate"] * F.lit("0.01").cast("decimal(3,2)")
@@ -221,13 +233,17 @@ def vat_synth(df: DataFrame, o: Reconcile) -> DataFrame:
         by_tax = F.when(new_tax(v).isNotNull(), _repair("R_VAT_SYNTH", _path("vatBreakdown", i, "tax"), money(new_tax(v))))
         return F.coalesce(by_tax, F.when(new_net(v).isNotNull(), _repair("R_VAT_SYNTH", _path("vatBreakdown", i, "net"), money(new_net(v)))))
 
-    return df.withColumns({"repairs": _log_each(vat, logged), "vat": F.transform(vat, lambda v: _entry(v, tax=F.coalesce(v["tax"], new_tax(v)), net=F.coalesce(v["net"], new_net(v))))})
+    gaps = F.exists(vat, lambda v: v["net"].isNull() | v["tax"].isNull())
+    filled = F.transform(vat, lambda v: _entry(v, tax=F.coalesce(v["tax"], new_tax(v)), net=F.coalesce(v["net"], new_net(v))))
+    return df.withColumns({"repairs": _where(gaps, _log_each(vat, logged), "repairs"), "vat": _where(gaps, filled, "vat")})
 
 
 def _fill_lines(df: DataFrame, field: str, name: str, new, rule, show) -> DataFrame:
     lines = F.col("lines")
+    gaps = F.exists(lines, lambda x: x[field].isNull())
     log = _log_each(lines, lambda x, i: F.when(new(x).isNotNull(), F.struct(rule(x).alias("rule"), _path("lineItems", i, name).alias("path"), show(new(x)).alias("to"))))
-    return df.withColumns({"repairs": log, "lines": F.transform(lines, lambda x: _line(x, **{field: F.coalesce(x[field], new(x))}))})
+    filled = F.transform(lines, lambda x: _line(x, **{field: F.coalesce(x[field], new(x))}))
+    return df.withColumns({"repairs": _where(gaps, log, "repairs"), "lines": _where(gaps, filled, "lines")})
 
 
 def line_total_derive(df: DataFrame, o: Reconcile) -> DataFrame:
@@ -263,7 +279,8 @@ def line_tax_inherit(df: DataFrame, o: Reconcile) -> DataFrame:
     implied = F.round(_sum_exact(lines, lambda x: x["line_total"] * F.coalesce(x["tax_rate"], one)) * F.lit("0.01").cast("decimal(3,2)"), 2)
     tolerance = F.lit(o.tolerance_header).cast("decimal(9,4)") + F.lit(o.slack_per_line).cast("decimal(9,4)") * F.size(lines)
     checkable = tax.isNotNull() & F.forall(lines, lambda x: x["line_total"].isNotNull())
-    df = df.withColumn("_rate", F.when(~checkable | (F.abs(implied - tax) <= tolerance), one))
+    gaps = F.exists(lines, lambda x: x["tax_rate"].isNull())
+    df = df.withColumn("_rate", F.when(gaps, F.when(~checkable | (F.abs(implied - tax) <= tolerance), one)))
     return _fill_lines(df, "tax_rate", "taxRate", lambda x: F.when(x["tax_rate"].isNull(), F.col("_rate")), lambda x: F.lit("R_LINE_TAX_INHERIT"), quantity).drop("_rate")
 
 

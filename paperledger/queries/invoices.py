@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators import reconcile as R
 from ..plans.options import Reconcile
 from ..plans.schemas import AMOUNT, RATE, REPAIR, WORK_LINE, WORK_VAT
-from . import query, read
+from . import query, read, spread
 
 LINES_SQL = """
 WITH l0 AS (SELECT l_orderkey AS k, l_partkey AS part, l_linenumber AS n, CAST(round(l_extendedprice * 100) AS BIGINT) AS t,
@@ -31,8 +32,8 @@ def cents(c: Column) -> Column:
 
 
 def working(spark: SparkSession, sf_dir: str, mapped: bool = True) -> DataFrame:
-    """``k`` and the working columns of each order. Lines meet once, by order; both groupings use that shuffle."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    """``k`` and the working columns of each order. Lines meet once, by order, and are summed by rate within its row."""
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"), "l_orderkey")
     hundredths = F.round(F.col("l_tax") * 100).cast("int")
     rate = F.when(hundredths % 3 == 0, 0).when(hundredths % 3 == 1, 7).otherwise(19) if mapped else hundredths
     t, q = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity").cast(AMOUNT)
@@ -47,13 +48,19 @@ def working(spark: SparkSession, sf_dir: str, mapped: bool = True) -> DataFrame:
         t.cast(AMOUNT).alias("line_total"),
     )
     rows = li.select(F.col("l_orderkey").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", line.cast(WORK_LINE).alias("line")).alias("x"))
-    rows = rows.repartition("k")
-    by_rate = rows.groupBy("k", F.col("x.line.tax_rate").alias("rate")).agg(F.sum("x.line.line_total").cast(AMOUNT).alias("net"), F.collect_list("x").alias("xs"))
-    entry = F.struct("rate", "net", F.round(F.col("net") * F.col("rate") * F.lit("0.01").cast("decimal(3,2)"), 2).cast(AMOUNT).alias("tax"))
-    whole = by_rate.groupBy("k").agg(F.sort_array(F.collect_list(entry), asc=False).cast(f"array<{WORK_VAT}>").alias("vat"), F.array_sort(F.flatten(F.collect_list("xs"))).alias("xs"))
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    whole = rows.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    whole = whole.select("k", F.transform("xs", lambda x: x["line"]).alias("lines"))
+    rates = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["tax_rate"])), asc=False)
+
+    def entry(r: Column) -> Column:
+        own = F.transform(F.filter("lines", lambda x: x["tax_rate"].eqNullSafe(r)), lambda x: x["line_total"])
+        net = let(own, lambda own: F.when(F.exists(own, lambda t: t.isNotNull()), R._sum(own, lambda t: t)).cast(AMOUNT))
+        return let(net, lambda net: F.struct(r.alias("rate"), net.alias("net"), F.round(net * r * F.lit("0.01").cast("decimal(3,2)"), 2).cast(AMOUNT).alias("tax")))
+
+    whole = whole.withColumn("vat", let(rates, lambda rates: F.transform(rates, entry)).cast(f"array<{WORK_VAT}>"))
+    orders = spread(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
     whole = orders.join(whole, "k", "left")
-    vat, lines = F.coalesce("vat", F.array().cast(f"array<{WORK_VAT}>")), F.coalesce(F.transform("xs", lambda x: x["line"]), F.array().cast(f"array<{WORK_LINE}>"))
+    vat, lines = F.coalesce("vat", F.array().cast(f"array<{WORK_VAT}>")), F.coalesce("lines", F.array().cast(f"array<{WORK_LINE}>"))
     whole = whole.select("k", vat.alias("vat"), lines.alias("lines"))
     some = F.size("lines") > 0
     whole = whole.withColumn("net", F.when(some, R._sum(F.col("vat"), lambda v: v["net"]).cast(AMOUNT))).withColumn("tax", F.when(some, R._sum(F.col("vat"), lambda v: v["tax"]).cast(AMOUNT)))
