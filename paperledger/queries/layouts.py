@@ -11,7 +11,7 @@ from ..operators import line_items as I
 from ..operators import segment as S
 from ..operators import template as T
 from ..plans.schemas import LINE, TABLE
-from . import query, read
+from . import query, read, spread
 
 #: Order lines in one order whatever the engine.
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
@@ -31,7 +31,7 @@ def line_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k and the rows of a table for each order: number, words, quantity, price, total. Every third line number is a row
     without number and amounts."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
     rest = F.col("l_linenumber") % 3 == 0
     total = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     row = F.array(
@@ -41,7 +41,7 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(rest, "").otherwise(F.replace(total, F.lit("."), F.lit(","))),
     )
     keyed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", row.alias("row"))
-    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(keyed)).alias("rows"))
+    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(keyed)).alias("rows"))
     return whole.select("k", F.transform("rows", lambda r: r["row"]).alias("rows"))
 
 
@@ -68,7 +68,7 @@ s AS (SELECT conv_id, page, attachment, 0 AS segment, totals AS saw FROM f WHERE
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, each turn a page whose lines show headings, counters and totals by its number."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("page_count"))
+    c = spread(read(spark, sf_dir, "conversations").select("conv_id"), "conv_id").groupBy("conv_id").agg(F.count("*").cast("int").alias("page_count"))
 
     def lines(p: Column) -> Column:
         attached = (p % 7 == 0) | (p % 7 == 6)
@@ -107,11 +107,11 @@ TOKEN_SQL = f"""WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k and an array of boxes, in the order of the lines."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
     x0, y0 = (F.col("l_partkey") % 100) / 100.0, (F.col("l_suppkey") % 90) / 100.0
     box = B.box(x0, y0, x0 + F.col("l_quantity") / 200.0, y0 + 0.01)
     keyed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", box.alias("box"))
-    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(keyed)).alias("rows"))
+    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(keyed)).alias("rows"))
     return whole.select("k", F.transform("rows", lambda r: r["box"]).alias("boxes"))
 
 
@@ -162,9 +162,9 @@ def template_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k, CAST(count(*) AS INTEGER) AS description, CAST(count_if(true) AS INTEGER) AS quantity, CAST(count_if(p = q) AS INTEGER) AS quantity_in_price, CAST(count(*) AS INTEGER) AS line_total, CAST(count_if(t = p) AS INTEGER) AS price_in_total FROM r GROUP BY k""")
 def column_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of words, quantity, price (a tenth of the total, cut) and total; votes for each column by the known items."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
     keyed = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(keyed)).alias("xs"))
+    whole = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(keyed)).alias("xs"))
 
     def values(x: Column, i: Column) -> Column:
         cents = F.round(x["l_extendedprice"] * 100).cast("long")
