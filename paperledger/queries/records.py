@@ -11,7 +11,7 @@ from ..operators import merge as M
 from ..operators import records as R
 from ..operators import vendors as V
 from ..plans.schemas import INVOICE, VIOLATION, struct_type
-from . import query, read
+from . import query, read, spread
 from .texts import AMOUNT_SQL, PAGE_SQL, pages
 
 IDS = "struct<vat_id:string,tax_number:string,ibans:array<string>,name_hash:string>"
@@ -233,7 +233,7 @@ def cii_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-invoices rendered from orders. Every third has its tax total twice, every seventh a gross with a plus sign, and
     every fifth is cut short; even ones have two items with a name and all have one without."""
     k = F.col("o_orderkey")
-    o = read(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("dot"), F.date_format("o_orderdate", "yyyyMMdd").alias("d"))
+    o = spread(read(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("dot"), F.date_format("o_orderdate", "yyyyMMdd").alias("d")))
 
     def item(name: str) -> str:
         return f"<ram:IncludedSupplyChainTradeLineItem><ram:AssociatedDocumentLineDocument><ram:LineID>1</ram:LineID></ram:AssociatedDocumentLineDocument>{name}</ram:IncludedSupplyChainTradeLineItem>"
