@@ -85,7 +85,7 @@ c AS (SELECT doc_id, text, len(tokens) AS n, len(list_filter(tokens, lambda x: l
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", G.text_gate(F.col("text")).alias("g"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", G.text_gate(F.col("text")).alias("g"))
 
 
 @query(GATE_SQL + "SELECT doc_id, considered, CAST(CASE WHEN considered >= 10 THEN round(hits / considered, 6) END AS DOUBLE) AS hit_rate FROM c")
