@@ -13,7 +13,7 @@ from ..plans import pipeline as P
 from ..plans.options import Options
 from ..plans.schemas import CANONICAL, INVOICE, LINE, META, TABLE, struct_type
 from ..sources import ports
-from . import query, read
+from . import query, read, spread
 from .layouts import PAGES_SQL, paged
 from .records import CII, IDS, _said, stored
 from .templates import _line, induced
@@ -23,7 +23,7 @@ O_SQL = "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return spread(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
 
 
 def _pick(at: Column, *values) -> Column:
@@ -44,7 +44,7 @@ def route_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN x.k % 5 <> 4 THEN 'zugferd' END AS source, CASE WHEN x.k % 5 <> 4 THEN CAST(1 AS DOUBLE) END AS confidence FROM x""")
 def xml_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fitting attachment, without its byte order mark, through the reader; every fifth is cut short."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("dot"), F.date_format("o_orderdate", "yyyyMMdd").alias("d"))
+    o = spread(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("dot"), F.date_format("o_orderdate", "yyyyMMdd").alias("d")))
     xml = F.format_string(CII, _said("R-", F.col("k")), "d", F.lit(""), F.col("k"), F.col("k"), "dot", "dot", F.lit(""), "dot")
     xml = F.concat(F.lit("﻿"), F.when(F.col("k") % 5 == 4, F.substring(xml, 1, 300)).otherwise(xml))
 
@@ -291,7 +291,7 @@ def review_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vat_breakdown": F.array(F.struct(F.lit(19.0).alias("rate"), F.lit("100.00").alias("net"), F.lit("19.00").alias("tax"))), "line_items": F.array(item),
     }
     body = F.struct(*[values.get(n, none).cast(t).alias(n) for n, t in kinds.items()])
-    d = stored(spark, sf_dir)
+    d = spread(stored(spark, sf_dir), "doc_id")
     page = {"lines": F.array(_line(_said("Nr: R-", k), 0.1), _line("Datum 15.06.2026", 0.2)), "tables": F.array().cast(f"array<{TABLE}>"), "page_count": F.lit(1)}
     answers, taught = P.review(d.where("doc_id % 7 <> 0").withColumns(page), d.select("doc_id", body.alias("body")), Options())
     told = answers.select("doc_id", "code", F.array_join(F.transform("blocking", lambda v: v["constraint"]), ",").alias("blocking"), F.col("canonical.invoice_number").alias("number"), "status")
