@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperledger.functions import amounts
-from paperledger.operators import layout, reconcile, template
+from paperledger.operators import layout, reconcile, records, template
 from paperledger.plans import schemas
-from paperledger.queries import invoices, layouts, stages, texts
+from paperledger.queries import QUERIES, invoices, layouts, load_all, stages, texts
 from paperledger.sources import ports
 
 DATA = "/root/testdata/sf0.001"
+load_all()
 
 
 def words(n, columns=4):
@@ -74,3 +75,25 @@ def test_a_template_learns_from_a_large_table(spark):
     df = spark.createDataFrame([(items, [table])], f"items array<{schemas.ITEM}>, tables array<{schemas.TABLE}>")
     got = within(60, df, template.induce_table(F.col("items"), F.col("tables"), F.lit(",")))
     assert got.columns == {"position": 0, "description": 1, "quantity": 2, "line_total": 3}
+
+
+def test_documents_without_a_parent_do_not_meet_in_one_task(spark):
+    given = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 1, F.col("id") - 1).alias("parent_id"))
+        files = spark.range(0, 400, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id")).alias("content"))
+        got = records.with_parent_content(docs, files)
+        assert max(map(len, got.rdd.glom().collect())) < 200
+        assert {r.doc_id: r.content for r in got.collect()} == {i: f"own {i}" if i % 2 == 0 else f"own {i - 1}" if i % 100 == 1 else None for i in range(400)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_e_invoices_and_gated_texts_are_dealt_over_all_cores(spark):
+    least = 3 * spark.sparkContext.defaultParallelism
+    assert texts.gated(spark, DATA).rdd.getNumPartitions() >= least
+    assert QUERIES["cii_parse"](spark, DATA).rdd.getNumPartitions() >= least
