@@ -198,7 +198,9 @@ def with_parent_content(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Children without a file of their own get their parent's. Documents without a parent are dealt by their own id, as
     all of them would meet in one task by the parent's."""
     own = files.select(F.col("doc_id"), F.col("content").alias("_own"))
-    parents = files.select(F.col("doc_id").alias("parent_id"), F.lit(0).cast("long").alias("_deal"), F.col("content").alias("_parent"))
+    # Zero, but not a literal: the optimizer would take that out of the join's keys.
+    nothing = F.xxhash64("doc_id").bitwiseAND(F.lit(0).cast("long"))
+    parents = files.select(F.col("doc_id").alias("parent_id"), nothing.alias("_deal"), F.col("content").alias("_parent"))
     dealt = docs.join(own, "doc_id", "left").withColumn("_deal", F.when(F.col("parent_id").isNull(), F.xxhash64("doc_id")).otherwise(0).cast("long"))
     return dealt.join(parents, ["parent_id", "_deal"], "left").withColumn("content", F.coalesce("_own", "_parent")).drop("_own", "_parent", "_deal")
 
